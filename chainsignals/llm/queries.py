@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, media, token_store
+from . import common, media, near_dups, substrings, token_store
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,15 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.feature_digest(media.media_features(common.table(spark, sf_dir, "documents")))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(common.table(spark, sf_dir, "documents"), window=35)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(common.table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
     return dict(sorted(found.items()))
