@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, media, near_dups, substrings, token_store
+from . import common, media, near_dups, secret_spans, site_lines, substrings, token_store
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,15 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.feature_digest(media.media_features(common.table(spark, sf_dir, "documents")))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans.scan_secrets(common.table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = site_lines.drop_boilerplate(common.table(spark, sf_dir, "documents"), counts=True)
+    return cleaned.select("doc_id", "source", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(common.table(spark, sf_dir, "documents"), window=35)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -32,5 +41,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items()))
 
 
+OP6_SQL = """
+WITH pages AS (
+    SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents
+), on_page AS (
+    SELECT source, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line FROM pages
+), totals AS (
+    SELECT source, count(*) AS site_pages FROM pages GROUP BY source
+), dropped AS (
+    SELECT o.source, o.line FROM on_page o JOIN totals t USING (source)
+    GROUP BY o.source, o.line, t.site_pages HAVING count(*) >= 5 AND count(*) > 0.1 * t.site_pages
+), by_site AS (
+    SELECT source, list(line) AS drops FROM dropped GROUP BY source
+), kept AS (
+    SELECT p.doc_id, p.source, p.lines, list_filter(p.lines, lambda x: b.drops IS NULL OR NOT list_contains(b.drops, trim(x, ' '))) AS left_lines
+    FROM pages p LEFT JOIN by_site b USING (source)
+)
+SELECT doc_id, source, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(left_lines) AS BIGINT) AS n_removed,
+       sha256(array_to_string(left_lines, chr(10))) AS text_sha256
+FROM kept
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": OP6_SQL}
