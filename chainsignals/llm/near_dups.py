@@ -244,3 +244,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     by_set = signed.select("doc_id", "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return by_set.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group left; columns as they are."""
+    gone = common.materialize(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, media, near_dups, secret_spans, site_lines, substrings, token_store
+from . import common, decontaminate, media, near_dups, packing, quality, secret_spans, site_lines, substrings, token_store, toxicity
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,19 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.feature_digest(media.media_features(common.table(spark, sf_dir, "documents")))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"), capacity=4096)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans.scan_secrets(common.table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "n_matched", "n_windows", "n_slots", "n_consistent")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = site_lines.drop_boilerplate(common.table(spark, sf_dir, "documents"), counts=True)
     return cleaned.select("doc_id", "source", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
@@ -32,6 +41,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "source", "lang", "own_logit", "site_mean", "quality", "kept")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(common.table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
