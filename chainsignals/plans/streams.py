@@ -1 +1,80 @@
-"""Queries."""
+"""Streaming jobs over the event table, driven to the end so that they can be compared with batch."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import tables
+from ..streaming import jobs
+from .registry import query
+
+
+def _scratch(spark: SparkSession) -> str:
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def event_stream(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The events as a stream of files."""
+    ev = tables.events(spark, sf_dir)
+    ev.write.parquet(f"{path}/in")
+    return spark.readStream.schema(ev.schema).parquet(f"{path}/in")
+
+
+@query(tables.with_ctes("ev", "SELECT chain, pool, type, hour * 3600000000 AS hour_us, round(volume, 4) AS volume FROM (SELECT chain, pool, type, us // 3600000000 AS hour, sum(usd) AS volume FROM ev GROUP BY ALL) WHERE hour < (SELECT (max(us) - 7200000000) // 3600000000 FROM ev)"))
+def stm2_hourly_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours that the watermark has closed."""
+    path = _scratch(spark)
+    rows = jobs.run_once(jobs.hourly_volume(event_stream(spark, sf_dir, path)), f"{path}/out", f"{path}/checkpoint")
+    return rows.select("chain", "pool", "type", F.unix_micros("hour").alias("hour_us"), F.round("volume", 4).alias("volume"))
+
+
+@query(tables.with_ctes("ev", "SELECT event_id, us FROM ev"))
+def stm6_deduplicated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream in which every event comes twice."""
+    path = _scratch(spark)
+    stream = event_stream(spark, sf_dir, path)
+    rows = jobs.run_once(jobs.deduplicate(stream.unionByName(stream)).select("event_id", "us"), f"{path}/out", f"{path}/checkpoint")
+    return rows
+
+
+STREAM_COOLDOWN = """elig AS (SELECT event_id, wallet, pool, us FROM ev WHERE usd >= 60), emitted AS (
+    SELECT wallet, pool, min(us) AS us FROM elig GROUP BY ALL
+    UNION ALL SELECT e.wallet, e.pool, min(n.us) FROM emitted e JOIN elig n ON n.wallet = e.wallet AND n.pool = e.pool AND n.us >= e.us + 86400000000 GROUP BY e.wallet, e.pool, e.us)"""
+
+
+@query(tables.with_ctes("ev", "SELECT event_id, us FROM elig JOIN emitted USING (wallet, pool, us)", STREAM_COOLDOWN, recursive=True))
+def stm5_cooldown_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large events of a wallet and pool, at most one a day, from state."""
+    path = _scratch(jobs.with_state_store(spark))
+    stream = event_stream(spark, sf_dir, path).where("usd >= 60")
+    return jobs.run_once(jobs.cooldown(stream, ("wallet", "pool"), 86_400_000_000, ["event_id", "us"]), f"{path}/out", f"{path}/checkpoint")
+
+
+def _score_sql() -> str:
+    from .detection import BASE
+
+    return tables.with_ctes("ev", "SELECT event_id, round(z, 6) AS z FROM scored", BASE)
+
+
+@query(_score_sql())
+def stm3_scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores from the baseline in state equal those of the batch job."""
+    path = _scratch(jobs.with_state_store(spark))
+    scored = jobs.score(event_stream(spark, sf_dir, path).select("chain", "pool", "type", "event_id", "us", "usd"))
+    rows = jobs.run_once(scored, f"{path}/out", f"{path}/checkpoint")
+    return rows.select("event_id", F.round(F.when(~F.isnan("z"), F.col("z")), 6).alias("z"))
+
+
+@query(tables.with_ctes("ev", "SELECT sink, count(*) AS n, round(sum(usd), 2) AS usd FROM (SELECT unnest(CASE WHEN usd >= 50 THEN ['all', 'large'] ELSE ['all'] END) AS sink, usd FROM ev) GROUP BY sink"))
+def src7_stm1_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream to two sinks."""
+    path = _scratch(spark)
+    stream = event_stream(spark, sf_dir, path)
+    jobs.fan_out(stream, {"all": lambda b: b, "large": lambda b: b.where("usd >= 50")}, f"{path}/sinks", f"{path}/checkpoint").awaitTermination()
+    read = lambda sink: spark.read.parquet(f"{path}/sinks/{sink}").select(F.lit(sink).alias("sink"), "usd")
+    return read("all").unionByName(read("large")).groupBy("sink").agg(F.count("*").alias("n"), F.round(F.sum("usd"), 2).alias("usd"))
