@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from . import common
 from .near_dups import mix, word_hashes
 
-BATCH_BYTES = 16_000_000
-RANGE_WINDOWS = 1_000_000
+BATCH_BYTES = 8_000_000
+RANGE_WINDOWS = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
@@ -50,10 +50,9 @@ def rabin_karp(words: np.ndarray, window: int) -> np.ndarray:
     return mix((sums[window:] - sums[:-window]) * up[: len(words) - window + 1])
 
 
-def batch_windows(texts: list[bytes], window: int) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    """Words and window hashes of each text."""
-    words = [t.split() for t in texts]
-    return words, [rabin_karp(word_hashes(w), window) for w in words]
+def batch_windows(texts: list[bytes], window: int) -> list[np.ndarray]:
+    """Window hashes of each text; its words are not kept."""
+    return [rabin_karp(word_hashes(t.split()), window) for t in texts]
 
 
 def removal_intervals(repeated: np.ndarray, window: int, n_words: int) -> np.ndarray:
@@ -77,6 +76,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     than a window keep all; repeated rows repeat each other.  Other columns are ignored.
     Two different windows are taken for one with a chance of 2^-64.
     """
+    common.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"))
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -92,8 +92,7 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         return np.searchsorted(sorted_hashes >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
 
     def send(table: pa.Table) -> pa.Table:
-        _, hashes = batch_windows(table["text"].to_pylist(), window)
-        unique, counts = distinct_hashes(hashes)
+        unique, counts = distinct_hashes(batch_windows(table["text"].to_pylist(), window))
         at = cuts(unique)
         used = np.flatnonzero(np.diff(at)).tolist()
         parts = [(int(r), unique[at[r] : at[r + 1]].tobytes(), np.packbits(counts[at[r] : at[r + 1]] > 1).tobytes()) for r in used]
@@ -114,14 +113,16 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
         return pa.table({"batch": table["batch"].combine_chunks(), "range": table["range"].combine_chunks(), "repeated": pa.array(map(repeated, sent, marks), pa.binary())})
 
     def cut(texts_of: pa.Table, answers: pa.Table) -> pa.Table:
-        words, hashes = batch_windows(texts_of["text"].to_pylist(), window)
+        texts = texts_of["text"].to_pylist()
+        hashes = batch_windows(texts, window)
         unique, _ = distinct_hashes(hashes)
         at, flags = cuts(unique), np.zeros(len(unique), bool)
         for r, answer in zip(answers["range"].to_pylist(), answers["repeated"].to_pylist(), strict=True):
             flags[at[r] : at[r + 1]] = np.unpackbits(np.frombuffer(answer, np.uint8), count=at[r + 1] - at[r]).astype(bool)
         wanted = unique[flags]
         rows = []
-        for w, h in zip(words, hashes, strict=True):
+        for text, h in zip(texts, hashes, strict=True):
+            w = text.split()
             hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h if len(wanted) else np.zeros(len(h), bool)
             spans = removal_intervals(hit, window, len(w)) if hit.any() else np.zeros((0, 2), int)
             kept, last = [], 0
