@@ -67,7 +67,7 @@ def canonical_json() -> Column:
 
 
 def signal_payload() -> Column:
-    return F.to_json(F.struct("id", "chain", "protocol", "pool", "wallets", "signal_type", "confidence", "summary", "detected_at", "deliver_at", "z_score", "total_volume_usd", "event_type"))
+    return F.to_json(F.struct("id", "chain", "protocol", "pool", "wallets", "signal_type", "confidence", "summary", "detected_at", "deliver_at", "z_score", "total_volume_usd", "event_type"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
 
 
 def fingerprint() -> Column:

@@ -8,7 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import tables
+from ..functions import payloads
+from ..sources import io, schemas, tables
 from ..streaming import jobs
 from .registry import query
 
@@ -78,3 +79,57 @@ def src7_stm1_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.fan_out(stream, {"all": lambda b: b, "large": lambda b: b.where("usd >= 50")}, f"{path}/sinks", f"{path}/checkpoint").awaitTermination()
     read = lambda sink: spark.read.parquet(f"{path}/sinks/{sink}").select(F.lit(sink).alias("sink"), "usd")
     return read("all").unionByName(read("large")).groupBy("sink").agg(F.count("*").alias("n"), F.round(F.sum("usd"), 2).alias("usd"))
+
+
+GROUP_ALERTS = """windows AS (
+    SELECT a.event_id, a.chain, a.pool, a.type, a.us, count(DISTINCT b.wallet) AS n_wallets, sum(b.usd) AS window_usd FROM ev a
+    JOIN ev b ON a.chain = b.chain AND a.pool = b.pool AND a.type = b.type AND b.us BETWEEN a.us - 1800000000 AND a.us GROUP BY ALL
+), passing AS (SELECT * FROM windows WHERE n_wallets BETWEEN 2 AND 15 AND window_usd >= 100),
+emitted AS (
+    SELECT chain, pool, type, min(us) AS us FROM passing GROUP BY ALL
+    UNION ALL SELECT e.chain, e.pool, e.type, min(n.us) FROM emitted e JOIN passing n ON n.chain = e.chain AND n.pool = e.pool AND n.type = e.type AND n.us >= e.us + 1800000000 GROUP BY e.chain, e.pool, e.type, e.us)"""
+
+
+@query(tables.with_ctes("ev", "SELECT p.event_id, p.n_wallets, round(p.window_usd, 4) AS window_usd FROM passing p JOIN emitted e USING (chain, pool, type, us)", GROUP_ALERTS, recursive=True))
+def stm4_wallet_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of wallets that act together, from state."""
+    path = _scratch(jobs.with_state_store(spark))
+    stream = event_stream(spark, sf_dir, path).select("chain", "pool", "type", "event_id", "us", "wallet", "usd")
+    rows = jobs.run_once(jobs.wallet_alerts(stream, min_usd=100.0), f"{path}/out", f"{path}/checkpoint")
+    return rows.withColumn("window_usd", F.round("window_usd", 4))
+
+
+BURSTS = """gaps AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY chain, pool ORDER BY us) < 1800000000 THEN 0 ELSE 1 END AS starts FROM ev),
+sessions AS (SELECT *, sum(starts) OVER (PARTITION BY chain, pool ORDER BY us) AS session FROM gaps)"""
+
+
+@query(tables.with_ctes("ev", "SELECT chain, pool, min(us) AS start_us, count(*) AS n, round(sum(usd), 4) AS usd FROM sessions GROUP BY chain, pool, session", BURSTS))
+def stm11_session_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.bursts(tables.events(spark, sf_dir), ("chain", "pool")).withColumn("usd", F.round("usd", 4))
+
+
+@query(tables.with_ctes("ev", "SELECT event_id, chain, tx, pool, round(usd, 2) AS usd FROM ev WHERE us + 300000000 <= 1705320000000000"))
+def stm8_stm9_delayed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep over queued payloads that passes those whose hold of five minutes is over."""
+    path = _scratch(spark)
+    tables.events(spark, sf_dir).select(payloads.event_payload().alias("value")).write.text(f"{path}/queue")
+    ready = payloads.read_events(io.event_stream(spark, path=f"{path}/queue")).where("us + 300000000 <= 1705320000000000")
+    rows = jobs.run_once(ready, f"{path}/out", f"{path}/checkpoint")
+    return rows.select(F.substring("tx", 5, 20).cast("bigint").alias("event_id"), "chain", "tx", "pool", "usd")
+
+
+@query(tables.with_ctes("sig", "SELECT id, chain, protocol, pool, signal_type, confidence, round(z_score, 4) AS z_score, detected_us FROM sig"))
+def src6_src10_persisted_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signal payloads parsed, appended to their table and read with its schema."""
+    path = f"{_scratch(spark)}/signals"
+    io.persist_signals(io.parse_signals(tables.signals(spark, sf_dir).select(payloads.signal_payload().alias("value"))), path)
+    rows = io.read_table(spark, path, schemas.SIGNALS)
+    return rows.select("id", "chain", "protocol", "pool", "signal_type", "confidence", F.round("z_score", 4).alias("z_score"), F.unix_micros("detected_at").alias("detected_us"))
+
+
+@query(tables.with_ctes("sig", "SELECT chain, protocol, count(*) AS n FROM sig GROUP BY ALL"))
+def src9_srt4_json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written as JSON lines, largest first, and read back."""
+    path = f"{_scratch(spark)}/report"
+    io.write_report(tables.signals(spark, sf_dir).groupBy("chain", "protocol").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "chain", "protocol"), path)
+    return spark.read.schema("chain string, protocol string, n long").json(path)

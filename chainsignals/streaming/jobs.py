@@ -33,15 +33,14 @@ def deduplicate(events: DataFrame, key: tuple[str, ...] = ("chain", "tx", "log_i
 class Cooldown(StatefulProcessor):
     """Emits a row of a key unless one was emitted within the cooldown before it.
 
-    State is the time of the last emission; it expires after the cooldown of processing
-    time has passed without a row twice over.
+    State is the time of the last emission, one number for each key.
     """
 
-    def __init__(self, cooldown_us: int, columns: list[str], ttl_ms: int):
+    def __init__(self, cooldown_us: int, columns: list[str], ttl_ms: int | None):
         self.cooldown_us, self.columns, self.ttl_ms = cooldown_us, columns, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "us long", ttlDurationMs=self.ttl_ms)
+        self.last = handle.getValueState("last", "us long", **({"ttlDurationMs": self.ttl_ms} if self.ttl_ms else {}))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
@@ -117,12 +116,61 @@ class RollingBaseline(StatefulProcessor):
         pass
 
 
+class WalletWindows(StatefulProcessor):
+    """Alerts of wallets that act together, from the last window of a key's events in state.
+
+    An event is alerted when its window holds 2 to ``max_wallets`` wallets and ``min_usd``,
+    unless the key alerted within the cooldown.  State holds at most ``cap`` events.
+    """
+
+    def __init__(self, window_us: int, min_usd: float, max_wallets: int, cap: int):
+        self.window_us, self.min_usd, self.max_wallets, self.cap = window_us, min_usd, max_wallets, cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", "us long, wallet string, usd double")
+        self.last = handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
+        last = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for row in pd.concat(list(rows)).sort_values("us", kind="stable").itertuples():
+            seen.append((int(row.us), row.wallet, float(row.usd)))
+            seen = [x for x in seen if x[0] >= row.us - self.window_us][-self.cap :]
+            wallets, usd = {x[1] for x in seen}, sum(x[2] for x in seen)
+            if 2 <= len(wallets) <= self.max_wallets and usd >= self.min_usd and (last is None or row.us - last >= self.window_us):
+                last = int(row.us)
+                out.append((row.event_id, len(wallets), usd))
+        self.recent.put(seen)
+        if last is not None:
+            self.last.update((last,))
+        if out:
+            yield pd.DataFrame(out, columns=["event_id", "n_wallets", "window_usd"])
+
+    def close(self) -> None:
+        pass
+
+
+def wallet_alerts(rows: DataFrame, key: tuple[str, ...] = KEY, window_us: int = 1_800_000_000, min_usd: float = 100_000.0, max_wallets: int = 15, cap: int = 500) -> DataFrame:
+    """Streaming multi-wallet alerts on volume; the z gate is the batch job's."""
+    processor = WalletWindows(window_us, min_usd, max_wallets, cap)
+    return rows.groupBy(*key).transformWithStateInPandas(processor, "event_id long, n_wallets long, window_usd double", "Append", "None")
+
+
+def bursts(events: DataFrame, key: tuple[str, ...], gap: str = "30 minutes") -> DataFrame:
+    """Sessions of a key's events that are closer than ``gap``; works on streams with a watermark too."""
+    return events.groupBy(*key, F.session_window("ts", gap).alias("session")).agg(F.count("*").alias("n"), F.sum("usd").alias("usd")).select(*key, F.unix_micros("session.start").alias("start_us"), "n", "usd")
+
+
 def cooldown(rows: DataFrame, key: tuple[str, ...], cooldown_us: int, columns: list[str], ttl_ms: int | None = None) -> DataFrame:
-    """Streaming form of the cooldown operators; ``rows`` has the key, us and ``columns``."""
+    """Streaming form of the cooldown operators; ``rows`` has the key, us and ``columns``.
+
+    With ``ttl_ms`` the state of a key expires after so much processing time; that needs
+    a stream that runs on, as a stream with such timers never counts as finished.
+    """
     types = dict(rows.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in columns)
-    ttl = ttl_ms if ttl_ms is not None else 2 * cooldown_us // 1000
-    return rows.groupBy(*key).transformWithStateInPandas(Cooldown(cooldown_us, columns, ttl), schema, "Append", "ProcessingTime")
+    return rows.groupBy(*key).transformWithStateInPandas(Cooldown(cooldown_us, columns, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def score(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
