@@ -32,7 +32,7 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd", **options: object
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Lower the session's Arrow batches to ``most`` bytes: whole texts can be long, and a
     batch is held several times over by an executor and its Python worker."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,6 +87,19 @@ def _logit_column(model: Logistic) -> Column:
     return logit(common.text_bytes())
 
 
+def _probabilities(texts: DataFrame, model: Logistic) -> DataFrame:
+    """(host, path, p) of each row of (host, path, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                z = model.logit(np.stack([shape_features(t) for t in part["text"].to_pylist()]))
+                yield pa.RecordBatch.from_arrays([part["host"], part["path"], pa.array(1 / (1 + np.exp(-z)))], ["host", "path", "p"])
+
+    return texts.mapInArrow(run, "host string, path string, p double")
+
+
 def site_posteriors(scored: DataFrame) -> DataFrame:
     """(host, path, n, total, prior_mean, prior_strength, corpus_mean) for each path.
 
@@ -123,11 +137,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     Null and empty texts are scored on zero features; null hosts and paths form sites of
     their own; repeated rows get equal scores.
     """
+    common.small_batches(docs.sparkSession)
     model = fit_classifier(docs, labels, fit_rows)
     logit = _logit_column(model)
     own = [F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path")]
-    scored = docs.select(*own, logit.alias("z")).select("host", "path", (1 / (1 + F.exp(-F.col("z")))).alias("p"))
-    sites = site_posteriors(scored).withColumnsRenamed({"host": "_host", "path": "_path", "n": "_n", "total": "_total", "prior_mean": "_prior", "prior_strength": "_strength", "corpus_mean": "_corpus"})
+    sites = site_posteriors(_probabilities(docs.select(*own, common.text_bytes().alias("text")), model)).withColumnsRenamed({"host": "_host", "path": "_path", "n": "_n", "total": "_total", "prior_mean": "_prior", "prior_strength": "_strength", "corpus_mean": "_corpus"})
     rows = docs.withColumn("own_logit", logit)
     same = docs[host].cast("string").eqNullSafe(F.col("_host")) & docs[path].cast("string").eqNullSafe(F.col("_path"))
     joined = rows.join(sites, same, "left")
