@@ -35,7 +35,7 @@ BROADCAST_LEAKS = 2_000_000
 class Canonicalizer:
     """Typed template words of a text; facts about a word are cached in the worker."""
 
-    def __init__(self, max_entries: int = 300_000):
+    def __init__(self, max_entries: int = 100_000):
         self.max_entries = max_entries
         self.number: dict[str, int] = {}
         self._reset()
@@ -162,6 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_words
     The benchmark's windows are filtered by in the scan while they are at most
     ``FILTER_WINDOWS``; beyond, all windows go to the shuffled join.
     """
+    common.small_batches(docs.sparkSession)
     bench = common.materialize(benchmark_windows(benchmark, window, min_words), "benchmark")
     sizes = sorted(r.size for r in bench.select("size").distinct().collect())
     hashes = bench.select("hash").distinct()
