@@ -1,10 +1,11 @@
 """Near-duplicate documents by MinHash: universal hash minima, banding, verification, components.
 
 Documents with equal shingle sets form a class; one document stands for it.  Bands
-of minima put classes into buckets.  A small bucket is compared pair by pair.  A large
-bucket is compared with one centre; by the triangle inequality of the Jaccard distance
-only classes that the centre can't decide for stay, and these are dealt again by pairs
-of bands.  So work stays near linear in a bucket, and what is left is compared in full.
+of minima put classes into buckets.  A small bucket is compared pair by pair, a large
+one with a centre: the class that shares most buckets with others.  Classes that a
+centre does not link are joined exactly with all classes of their buckets by prefixes
+of their sets in order of rarity.  So a bucket of any size costs in proportion to it,
+and no pair that a bucket holds is left undecided.
 """
 
 from __future__ import annotations
@@ -143,81 +144,116 @@ def class_sets(docs: DataFrame, nodes: DataFrame, shingle: int, bands: int, rows
     return rows_of.mapInArrow(run, "node long, shingles binary, signature binary").dropDuplicates(["node"])
 
 
+def _unpack(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // _WIDTH, 8), np.uint8)
+    wide[:, :_WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, _WIDTH)
+    return wide.view("<u8").reshape(-1)
+
+
 def compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Signature check, then the exact Jaccard distance on full sets: (a, b, distance, linked).
+    """Signature check, then the similarity on full sets: (a, b, linked).
 
-    A pair whose signatures agree in under half of the minima is at a distance of 1 by
-    convention: its true distance is far above twice the linking distance.
+    Signatures that agree far less than the similarity asks for (by a quarter of all minima,
+    over nine standard deviations) settle a pair without its sets.
     """
 
-    def unpack(raw: bytes) -> np.ndarray:
-        wide = np.zeros((len(raw) // _WIDTH, 8), np.uint8)
-        wide[:, :_WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, _WIDTH)
-        return wide.view("<u8").reshape(-1)
-
-    floor = max(0.0, 2 * percent / 100 - 1 - 0.2)
+    floor = percent / 100 - 0.25
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            distance, linked = [], []
+            linked = []
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for s, t, x, y in zip(*(part[c].to_pylist() for c in ("sig_a", "sig_b", "set_a", "set_b")), strict=True):
                     alike = np.frombuffer(s, "<u4") == np.frombuffer(t, "<u4")
                     if alike.mean() < floor:
-                        distance.append(1.0)
                         linked.append(False)
                         continue
-                    u, v = unpack(x), unpack(y)
+                    u, v = _unpack(x), _unpack(y)
                     common_to_both = len(np.intersect1d(u, v, assume_unique=True))
                     union = len(u) + len(v) - common_to_both
-                    distance.append(1 - common_to_both / union)
                     linked.append(100 * common_to_both >= percent * union)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "distance", "linked"])
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     def side(x: str) -> DataFrame:
         return sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"), F.col("signature").alias(f"sig_{x}"))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(run, "a long, b long, distance double, linked boolean")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b", "set_a", "set_b").mapInArrow(run, "a long, b long, linked boolean")
 
 
 def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def verified_links(members: DataFrame, sets: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
-    """All pairs (u, v) of classes that share a bucket and reach the similarity."""
-    links: DataFrame | None = None
-    radius = 1 - percent / 100 + 1e-9
-    every = members
-
-    def add(found: DataFrame) -> None:
-        nonlocal links
-        found = found.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = found if links is None else links.unionByName(found)
-
-    for turn in range(rounds + 1):
-        buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
-        placed = common.materialize(members.join(buckets, "key"), "buckets")
-        last = turn == rounds
-        small = placed if last else placed.where(F.col("n") <= SMALL_BUCKET)
-        other = small.select("key", F.col("node").alias("other"))
-        pairs = small.select("key", "node").join(other, "key").where("node < other").select(*_ordered("node", "other"))
-        large = placed.where(F.col("n") > SMALL_BUCKET)
-        if not last:
-            pairs = pairs.unionByName(large.where("node <> centre").select(*_ordered("node", "centre")))
-        found = common.materialize(compare(pairs.distinct(), sets, percent), "distances")
-        add(found)
-        if last or large.isEmpty():
-            break
-        far = large.where("node <> centre").withColumns({"a": F.least("node", "centre"), "b": F.greatest("node", "centre")}).join(found, ["a", "b"]).select("key", "node", "distance", "linked")
-        nearest = far.where("not linked").groupBy("key").agg(F.min("distance").alias("nearest"))
-        left = far.join(nearest, "key").where(F.expr("not linked") | (F.col("distance") >= F.col("nearest") - radius)).select("key", "node")
-        # a linking pair of this bucket shares another band as well, all but surely
-        second = every.select("node", F.col("key").alias("second"))
-        members = left.join(second, "node").where("key <> second").select(F.xxhash64(F.least("key", "second"), F.greatest("key", "second")).alias("key"), "node").distinct() if turn == 0 else left
-        members = common.materialize(members, "members")
-    return links.distinct()
+def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, node, size, place): the rarest shingles of each set that a similar set must share one of.
+
+    Sets are ordered by how many sets hold a shingle.  Shingles of one set alone come
+    first and are left out, but count for the places of the others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                tokens = [_unpack(x) for x in part["shingles"].to_pylist()]
+                sizes = np.array([len(t) for t in tokens])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(part["node"].to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes))], ["token", "node", "size"])
+
+    held = sets.select("node", "shingles").mapInArrow(run, "token long, node long, size long")
+    spread = held.groupBy("token").agg(F.count("*").alias("spread")).where("spread > 1")
+    shared = held.join(spread, "token").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("spread", "token"))).alias("tokens"))
+    alone = F.col("size") - F.size("tokens")
+    # a similar set holds percent of this one at least, so one of the first size - percent + 1 places
+    places = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone
+    first = shared.where(places > 0).select("node", "size", alone.alias("alone"), F.posexplode(F.slice("tokens", F.lit(1), places.cast("int"))).alias("i", "t"))
+    return first.select("t.token", "node", "size", (F.col("alone") + F.col("i")).alias("place"))
+
+
+def prefix_pairs(sets: DataFrame, outliers: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of an outlier and a set of another group that can reach the similarity."""
+    first = common.materialize(_with_group(rare_prefixes(sets, percent), groups), "prefixes")
+    left = first.join(outliers, "node", "left_semi").alias("l")
+    right = first.alias("r")
+    # what stands after a shared shingle in either set bounds the intersection
+    needed = percent * (F.col("l.size") + F.col("r.size"))
+    fits = (100 + percent) * F.least(F.col("l.size") - F.col("l.place"), F.col("r.size") - F.col("r.place")) >= needed
+    pairs = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.group") != F.col("r.group")) & fits)
+    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+
+
+def _with_group(rows: DataFrame, groups: DataFrame, node: str = "node", group: str = "group") -> DataFrame:
+    """``rows`` with the group of a node; a node without links is its own."""
+    named = groups.select(F.col("node").alias(node), F.col("component").alias("_found"))
+    return rows.join(named, node, "left").withColumn(group, F.coalesce("_found", node)).drop("_found")
+
+
+def verified_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) by all pairs of classes that share a bucket and reach the similarity.
+
+    A pair of a bucket that could join two groups has a class outside the group of the
+    bucket's centre, so only these outliers are looked at again.
+    """
+    buckets = members.groupBy("key").agg(F.count("*").alias("n"))
+    placed = common.materialize(members.join(buckets, "key"), "buckets")
+    small = placed.where(F.col("n") <= SMALL_BUCKET).select("key", "node")
+    other = small.select("key", F.col("node").alias("other"))
+    near = small.join(other, "key").where("node < other").select(*_ordered("node", "other"))
+    large = placed.where(F.col("n") > SMALL_BUCKET)
+    popular = placed.groupBy("node").agg(F.sum("n").alias("met"))
+    centres = large.join(popular, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("centre"))
+    spokes = common.materialize(large.join(centres, "key").where("node <> centre").select("key", "node", "centre", *_ordered("node", "centre")), "spokes")
+    found = compare(near.unionByName(spokes.select("a", "b")).distinct(), sets, percent).where("linked")
+    groups = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    grouped = _with_group(_with_group(spokes, groups), groups, "centre", "centre_group")
+    undecided = common.materialize(grouped.where(F.col("group") != F.col("centre_group")).select("key", "node"), "undecided")
+    if undecided.isEmpty():
+        return groups
+    outliers = undecided.select("node").distinct()
+    crowd = placed.join(undecided.select("key").distinct(), "key", "left_semi").select("node").distinct()
+    more = compare(prefix_pairs(sets.join(crowd, "node", "left_semi"), outliers, groups, percent).distinct(), sets, percent).where("linked")
+    edges = more.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(edges))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 6) -> DataFrame:
@@ -229,6 +265,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     nothing.  A row without doc_id is its own group (component_id null) and kept.  Rows
     that repeat a doc_id count as one document.  Other columns are ignored.
     """
+    common.small_batches(docs.sparkSession)
     signed = common.materialize(sign(docs, shingle, bands, rows), "signed")
     full = signed.where("h1 is not null and doc_id is not null")
     classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
@@ -239,7 +276,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     members = common.materialize(members.join(crowded, "key"), "crowded")
     nodes = common.materialize(own.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1"), "nodes")
     sets = common.materialize(class_sets(docs, nodes, shingle, bands, rows), "sets", **{"parquet.block.size": 16 << 20})
-    groups = connected_components(verified_links(members, sets, percent))
+    groups = verified_groups(members, sets, percent)
     placed = classes.join(groups, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     by_set = signed.select("doc_id", "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
