@@ -33,10 +33,26 @@ _SIGN, _SKIP, _KEEP, _DROP = -0.7, -0.1, (-0.2, -4.0), (-1.7, -0.02)
 
 _WORD = re.compile(r"[^\W\d_]+")
 _THRICE = re.compile(r"([^\W\d_])\1\1")
-_TRAILING = ".,;:!?\"'»”’)]}#$%&*|~…"
-_LEADING = "\"'«“‘[{#%&*~¿¡"
-#: No disguised word is longer.
-_MOST = 40
+#: Punctuation at the edges of a token; some of it may stand for letters.
+_EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…¿¡·•–—€£"
+_PLAIN_EDGE = "".join(c for c in _EDGE if c not in LEET)
+#: Runs of edge signs next to a word that are tried as its letters one by one; besides, all of them together are.
+_EDGE_RUNS = 4
+_SIGNS, _JOINT_SIGNS = frozenset(LEET), frozenset(_SEPARATORS)
+_LETTER = re.compile(r"[^\W\d_]")
+#: A doubled sign may be a doubled letter; the channel alone mostly drops the second.
+_TWICE = re.compile(f"([{re.escape(''.join(LEET))}])\\1")
+_LONG_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
+#: Where parts of a token meet; a part stands for itself besides the whole token.
+_JOINTS = re.compile(f"(?:[^\\w{re.escape(''.join(LEET))}]|[{re.escape(_SEPARATORS)}])+")
+#: Single letters or signs set apart, wholly, before the end or at the beginning of a token.
+_SINGLE, _GAP = f"(?:[^\\W\\d_]|[{re.escape(''.join(LEET))}])", f"[{re.escape(_SEPARATORS)}]{{1,2}}"
+_SINGLES = re.compile(f"{_SINGLE}(?:{_GAP}{_SINGLE})*")
+_TAIL = re.compile(f"(?<=[{re.escape(_SEPARATORS)}]){_SINGLES.pattern}$")
+_HEAD = re.compile(f"{_SINGLES.pattern}(?=[{re.escape(_SEPARATORS)}])")
+_SPACED = re.compile(f"(?<![^\\W_])(?:{_SINGLE}{_GAP}){{2,}}{_SINGLE}(?![^\\W_])")
+#: Longer tokens are not kept in caches.
+_CACHED = 64
 _STATES = 28
 _PREFIXES = (4, 5, 6)
 
@@ -97,8 +113,8 @@ class Deobfuscator:
     def _class(letter: str) -> int:
         return ord(letter) - 96 if "a" <= letter <= "z" else 27
 
-    def lattice(self, stretch: str) -> list[list[tuple[str, float]]]:
-        """Options at each sign: the letters that it may give, or none."""
+    def lattice(self, stretch: str, twice: bool = False) -> list[list[tuple[str, float]]]:
+        """Options at each sign: the letters that it may give, or none; with ``twice`` a second sign is kept."""
         options = []
         before, run = "", 0
         for ch in stretch:
@@ -109,16 +125,17 @@ class Deobfuscator:
             run = run + 1 if ch == before else 0
             if run:
                 later = run > 1
-                found = [(x, p + _KEEP[later]) for x, p in found] + [("", _DROP[later])]
+                kept = [(x, p + _KEEP[later]) for x, p in found]
+                found = kept if twice and kept and not later else [*kept, ("", _DROP[later])]
             options.append(found or [("", _SKIP)])
             before = ch
         return options
 
-    def decode(self, stretch: str) -> str:
-        if (known := self.cache.get(stretch)) is not None:
+    def decode(self, stretch: str, twice: bool = False) -> str:
+        if (known := self.cache.get((stretch, twice))) is not None:
             return known
         log, best = self.log, {(0, 0): (0.0, None)}
-        for options in self.lattice(stretch):
+        for options in self.lattice(stretch, twice):
             after: dict = {}
             for (a, b), (p, path) in best.items():
                 for letter, q in options:
@@ -136,52 +153,124 @@ class Deobfuscator:
             letters.append(path[0])
             path = path[1]
         out = "".join(reversed(letters))
+        if len(stretch) > _CACHED:
+            return out
         if len(self.cache) >= self.max_entries:
             self.cache.clear()
-        self.cache[stretch] = out
+        self.cache[stretch, twice] = out
         return out
 
-    def hidden(self, token: str) -> str:
-        """The word that a token disguises by signs, separators or repetition, if it looks so."""
-        core = token.rstrip(_TRAILING).lstrip(_LEADING)
-        if len(core) > _MOST or len(core) < 3:
-            return ""
-        if core.isalpha():
-            return self.decode(core) if _THRICE.search(core) else ""
-        letters = sum(c.isalpha() for c in core)
-        return self.decode(core) if letters and 3 * letters >= len(core) else ""
-
-
-def tokens_of(text: str) -> tuple[list[str], list[str]]:
-    """Space-free tokens of the lower-cased text, and runs of three single signs or more put together."""
+    def hidden(self, token: str) -> set[str]:
+        """Words that a token or a part of it disguises by signs, separators or repetition."""
+        core = token.strip(_PLAIN_EDGE)
+        if len(core) < 3 or (core.isalpha() and not _THRICE.search(core)) or not _LETTER.search(core):
+            return set()
+        if _SIGNS.isdisjoint(core) and not _THRICE.search(core):
+            found = {self.decode(core)}  # nothing but joints to pass over
+        else:
+            stretches = {x for part in {core, *_JOINTS.split(core)} for x in readings(part)}
+            found = {self.decode(x, twice) for x in stretches for twice in ((False, True) if _TWICE.search(x) else (False,))}
+        if len(core) > 4:
+            found.update(self.decode(m[0]) for m in _SPACED.finditer(core))
+        return {w for w in found if len(w) > 2}
+
+
+def _run_starts(signs: str) -> list[int]:
+    return [i for i, c in enumerate(signs) if c in LEET and (not i or signs[i - 1] != c)]
+
+
+def readings(part: str) -> set[str]:
+    """The suspicious stretches that a part of a token may be, with edge signs read as letters or stripped."""
+    whole = part.strip(_PLAIN_EDGE)
+    core = whole.strip(_EDGE)
+    if not any(map(str.isalpha, core)):
+        return set()
+    whole = _LONG_RUN.sub(r"\1\1\1", whole)
+    inner = whole.lstrip(_EDGE)
+    left, core = whole[: len(whole) - len(inner)], inner.rstrip(_EDGE)
+    right = inner[len(core) :]
+    starts = {0, len(left), *_run_starts(left)[-_EDGE_RUNS:]}
+    ends = {0, len(right), *(len(right) - i for i in _run_starts(right[::-1])[-_EDGE_RUNS:])}
+    found = {left[i:] + core + right[:j] for i in starts for j in ends}
+    return {x for x in found if len(x) > 2 and (not x.isalpha() or _THRICE.search(x))}
+
+
+class Spacing(dict):
+    """Token to how it is made of single signs: 0 not, 1 wholly, 2 at its end, 3 at its beginning, 4 at both."""
+
+    def __init__(self, max_entries: int = 100_000):
+        self.max_entries = max_entries
+
+    def __missing__(self, token: str) -> int:
+        core = token.strip(_EDGE)
+        if len(token) == 1 or not core:
+            kind = 1
+        elif len(core) > 1 and (core.isalpha() or _JOINT_SIGNS.isdisjoint(core)):
+            kind = 0
+        elif singles(token, 1):
+            kind = 1
+        else:
+            kind = 2 * bool(singles(token, 2)) + 3 * bool(singles(token, 3))
+            kind = 4 if kind == 5 else kind
+        if len(token) <= _CACHED:
+            if len(self) >= self.max_entries:
+                self.clear()
+            self[token] = kind
+        return kind
+
+
+def singles(token: str, kind: int) -> str:
+    """The single signs of a token of a kind of ``Spacing``, or none."""
+    if kind == 1 and len(token) == 1:
+        return token
+    whole = token.strip(_PLAIN_EDGE)
+    if kind == 1:
+        core = whole.strip(_EDGE)
+        return next((x for x in (whole, core) if _SINGLES.fullmatch(x)), "")
+    m = _TAIL.search(whole) if kind == 2 else _HEAD.match(whole)
+    return m[0] if m else ""
+
+
+_RUN = re.compile(b"[\2\4]?\1+|[\2\4](?=[\3\4])")
+
+
+def tokens_of(text: str, spacing: Spacing) -> tuple[list[str], list[str]]:
+    """Space-free tokens of the lower-cased text, and runs over tokens of three single signs or more put together."""
     tokens = text.lower().split()
-    lengths = bytes([n if n < 3 else 3 for n in map(len, tokens)])
-    spaced = [" ".join(tokens[m.start() : m.end()]) for m in _RUN.finditer(lengths)] if b"\1\1\1" in lengths else []
+    kinds = bytes(map(spacing.__getitem__, tokens))
+    spaced = []
+    for m in _RUN.finditer(kinds):
+        i, j = m.span()
+        after = kinds[j : j + 1] in (b"\3", b"\4")
+        if j - i + after > 1:
+            run = [singles(t, 2 if k in (2, 4) else 1) for t, k in zip(tokens[i:j], kinds[i:j], strict=True)]
+            run += [singles(tokens[j], 3)] if after else []
+            if sum(c.isalnum() or c in LEET for part in run for c in part) > 2:
+                spaced.append(" ".join(run))
     return tokens, spaced
 
 
-_RUN = re.compile(b"\1{3,}")
-
-
 class Reader:
     """Words of a text, plain and restored; facts about a token are cached."""
 
     def __init__(self, channel: Deobfuscator, max_entries: int = 50_000):
         self.channel, self.cache, self.max_entries = channel, {}, max_entries
+        self.spacing = Spacing()
 
     def token(self, token: str) -> tuple[str, ...]:
         got = self.cache.get(token)
         if got is None:
             words = (token,) if token.isalpha() else tuple(_WORD.findall(token))
-            veiled = self.channel.hidden(token)
-            got = (*words, veiled) if len(veiled) > 2 else words
+            got = (*words, *(self.channel.hidden(token) - set(words)))
+            if len(token) > _CACHED:
+                return got
             if len(self.cache) >= self.max_entries:
                 self.cache.clear()
             self.cache[token] = got
         return got
 
     def words(self, text: str) -> set[str]:
-        tokens, spaced = tokens_of(text)
+        tokens, spaced = tokens_of(text, self.spacing)
         found = {w for t in set(tokens) for w in self.token(t)}
         found.update(w for w in map(self.channel.decode, spaced) if len(w) > 2)
         return found
@@ -242,6 +331,8 @@ class Lexicon:
     def token(self, token: str, reader: Reader) -> tuple:
         """(word, weight) of each telling word of a token."""
         got = tuple((w, x) for w in reader.token(token) if (x := self.weight(w)) > 0.5)
+        if len(token) > _CACHED:
+            return got
         if len(self.tokens) >= 250_000:
             self.tokens.clear()
         self.tokens[token] = got
@@ -249,7 +340,7 @@ class Lexicon:
 
     def document(self, text: str, reader: Reader) -> tuple[float, ...]:
         """Weights of the two most telling words, how many tell much, and the length."""
-        tokens, spaced = tokens_of(text)
+        tokens, spaced = tokens_of(text, reader.spacing)
         get, found = self.tokens.get, {}
         for t in set(tokens):
             got = get(t)

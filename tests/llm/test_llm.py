@@ -311,6 +311,21 @@ def test_toxicity_channel(spark):
     assert "idiot" in reader.words("you i d i o t there")
 
 
+def plain_reader(texts):
+    counts = sum(np.bincount(c[:-2] * 784 + c[1:-1] * 28 + c[2:], minlength=28**3) for c in (toxicity._classes(t.encode()) for t in texts))
+    return toxicity.Reader(toxicity.Deobfuscator(toxicity.CharacterModel(counts)))
+
+
+def test_toxicity_coverage():
+    """Long repetitions, tokens of mostly signs, signs at the edges, and singles with punctuation."""
+    reader = plain_reader(["stupid idiot clown worthless pathetic loser asshole people say that ass"] * 50)
+    cases = [("l" + "o" * 45 + "ser", "loser"), ("@$$h0l3", "asshole"), ("what a$$ said", "ass"), ("a$$!!", "ass"), ("$tup1d!!", "stupid"), ("(1d10t)", "idiot"), ("word—1d10t", "idiot")]
+    cases += [("x" * 50 + "-l0ser", "loser"), ("i d i o t!", "idiot"), ("i. d. i. o. t.", "idiot"), ("'i d i o t'", "idiot"), ("i.d i.o.t", "idiot"), ("foo-i d i o t-bar", "idiot"), ("$ t u p 1 d", "stupid")]
+    for disguised, plain in cases:
+        assert plain in reader.words(disguised), disguised
+    assert reader.words("$100 1,000 50% it, a plain word!") == {"it", "a", "plain", "word"} | {w for w in reader.words("word!")}
+
+
 def test_toxicity_edges(spark):
     got = toxicity.score_toxicity(edge_docs(spark), labels(spark)).collect()
     assert len(got) == len(edge_rows()) and all(0 <= r.score <= 1 for r in got)
