@@ -51,6 +51,10 @@ _SINGLES = re.compile(f"{_SINGLE}(?:{_GAP}{_SINGLE})*")
 _TAIL = re.compile(f"(?<=[{re.escape(_SEPARATORS)}]){_SINGLES.pattern}$")
 _HEAD = re.compile(f"{_SINGLES.pattern}(?=[{re.escape(_SEPARATORS)}])")
 _SPACED = re.compile(f"(?<![^\\W_])(?:{_SINGLE}{_GAP}){{2,}}{_SINGLE}(?![^\\W_])")
+#: Log probability of a word's end at a gap of a run of single signs, and how far below the best a way may be.
+_BREAK, _MARGIN = -1.0, 7.0
+#: Letters of a word between breaks, at most, and signs that are looked at together.
+_LONGEST, _STRETCH = 20, 80
 #: Longer tokens are not kept in caches.
 _CACHED = 64
 _STATES = 28
@@ -107,7 +111,7 @@ class Deobfuscator:
     """Viterbi decoding of suspicious stretches; a bounded cache holds decoded ones."""
 
     def __init__(self, model: CharacterModel, max_entries: int = 50_000):
-        self.log, self.cache, self.max_entries = model.log, {}, max_entries
+        self.log, self.cache, self.runs, self.max_entries = model.log, {}, {}, max_entries
 
     @staticmethod
     def _class(letter: str) -> int:
@@ -160,6 +164,64 @@ class Deobfuscator:
         self.cache[stretch, twice] = out
         return out
 
+    def spaced(self, run: str) -> set[str]:
+        """Words of a run of single signs.
+
+        A gap may end a word, at a cost and the language model's odds.  Trigrams alone
+        often favour a wrong break ("ai diot"), so every word counts that lies on a way
+        through the run within ``_MARGIN`` of the best one; so does the run as one word.
+        """
+        if (known := self.runs.get(run)) is not None:
+            return known
+        found = {self.decode(run)}
+        if _LETTER.search(run):
+            signs = [o for o in self.lattice(run) if o != [("", _SKIP)]]
+            half = _STRETCH // 2
+            for at in range(0, max(1, len(signs) - half), half):
+                last = at + _STRETCH >= len(signs)
+                found |= self._between_breaks(signs[at : at + _STRETCH], at == 0, last)
+        found = {w for w in found if len(w) > 2}
+        if len(run) <= _CACHED:
+            if len(self.runs) >= self.max_entries:
+                self.runs.clear()
+            self.runs[run] = found
+        return found
+
+    def _between_breaks(self, signs: list, first: bool, last: bool) -> set[str]:
+        """Likely words of some signs; those that touch an end which is not the run's own are left to its neighbour."""
+        log, n = self.log, len(signs)
+        head: list[dict[int, float]] = [{0: 0.0}, *({} for _ in signs)]
+        ways = []  # words as (from, letter before, to, last letter, score, letters)
+        for i in range(n):
+            for before, score in head[i].items():
+                states = {(before, 0): (0.0, "")}
+                for j in range(i, min(n, i + _LONGEST)):
+                    after: dict = {}
+                    gap = _SKIP if j > i else 0.0
+                    for (a, b), (p, word) in states.items():
+                        for letter, q in signs[j]:
+                            if letter:
+                                c = self._class(letter)
+                                state, total, spelt = (b, c), p + gap + q + log[a][b][c], word + letter
+                            else:
+                                state, total, spelt = (a, b), p + gap + q, word
+                            if state not in after or total > after[state][0]:
+                                after[state] = (total, spelt)
+                    states = after
+                    for (a, b), (p, word) in states.items():
+                        if b:
+                            total = p + log[a][b][0] + (_BREAK if j + 1 < n else 0.0)
+                            ways.append((i, before, j + 1, b, total, word))
+                            if score + total > head[j + 1].get(b, -math.inf):
+                                head[j + 1][b] = score + total
+        tail: list[dict[int, float]] = [*({} for _ in signs), dict.fromkeys(head[n], 0.0)]
+        for i, before, j, b, p, _ in reversed(ways):
+            rest = tail[j].get(b, -math.inf) + p
+            if rest > tail[i].get(before, -math.inf):
+                tail[i][before] = rest
+        least = max(head[n].values(), default=0.0) - _MARGIN
+        return {w for i, before, j, b, p, w in ways if (first or i) and (last or j < n) and head[i][before] + p + tail[j].get(b, -math.inf) >= least}
+
     def hidden(self, token: str) -> set[str]:
         """Words that a token or a part of it disguises by signs, separators or repetition."""
         core = token.strip(_PLAIN_EDGE)
@@ -171,7 +233,7 @@ class Deobfuscator:
             stretches = {x for part in {core, *_JOINTS.split(core)} for x in readings(part)}
             found = {self.decode(x, twice) for x in stretches for twice in ((False, True) if _TWICE.search(x) else (False,))}
         if len(core) > 4:
-            found.update(self.decode(m[0]) for m in _SPACED.finditer(core))
+            found.update(w for m in _SPACED.finditer(core) for w in self.spaced(m[0]))
         return {w for w in found if len(w) > 2}
 
 
@@ -272,7 +334,7 @@ class Reader:
     def words(self, text: str) -> set[str]:
         tokens, spaced = tokens_of(text, self.spacing)
         found = {w for t in set(tokens) for w in self.token(t)}
-        found.update(w for w in map(self.channel.decode, spaced) if len(w) > 2)
+        found.update(w for run in spaced for w in self.channel.spaced(run))
         return found
 
 
@@ -349,8 +411,7 @@ class Lexicon:
             if got:
                 found.update(got)
         for run in spaced:
-            if (x := self.weight(w := reader.channel.decode(run))) > 0.5:
-                found[w] = x
+            found.update((w, x) for w in reader.channel.spaced(run) if (x := self.weight(w)) > 0.5)
         top = [*sorted(found.values(), reverse=True)[:2], 0.0, 0.0]
         return (top[0], top[1], math.log1p(sum(x > 2 for x in found.values())), math.log1p(len(tokens)))
 

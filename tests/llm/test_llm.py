@@ -326,6 +326,14 @@ def test_toxicity_coverage():
     assert reader.words("$100 1,000 50% it, a plain word!") == {"it", "a", "plain", "word"} | {w for w in reader.words("word!")}
 
 
+def test_toxicity_word_breaks():
+    """Spaced-out words next to one-letter words and to each other."""
+    reader = plain_reader(["you are a stupid idiot and i say that people see what a loser this clown is"] * 50)
+    for spaced, words in [("you are a i d i o t", ["idiot"]), ("i i d i o t", ["idiot"]), ("y o u i d i o t", ["you", "idiot"]), ("w h a t a 1 0 s e r", ["what", "loser"]), ("s e e t h i s " * 30 + "c l o w n", ["clown"]), ("c l o w n " + "s e e t h i s " * 30, ["clown"])]:
+        found = reader.words(spaced)
+        assert all(w in found for w in words), spaced[:20]
+
+
 def test_toxicity_edges(spark):
     got = toxicity.score_toxicity(edge_docs(spark), labels(spark)).collect()
     assert len(got) == len(edge_rows()) and all(0 <= r.score <= 1 for r in got)
