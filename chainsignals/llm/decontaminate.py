@@ -153,9 +153,10 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_words: int = 5, min_share: float = 0.5, min_consistent: float = 0.8) -> DataFrame:
     """(doc_id, text_hash, item_id, n_matched, n_windows, n_slots, n_consistent) for each leaked item.
 
-    An item leaks into a document that holds at least ``min_share`` of its template
-    windows in one alignment or several, with at least ``min_consistent`` of its slot
-    values standing for a single value each.  Items under ``min_words`` words can't be
+    An alignment of an item with a document is judged by itself: at least
+    ``min_consistent`` of its slot values must stand for a single value each, or its
+    windows don't count.  An item leaks into a document that holds at least
+    ``min_share`` of its template windows in consistent alignments.  Items under ``min_words`` words can't be
     told from chance and are left out.  Null and empty texts hold nothing; repeated rows
     are reported once; a null doc_id is reported as null.  Other columns are ignored.
 
@@ -173,13 +174,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_words
     hits = document_windows(docs, sizes, wanted).withColumnRenamed("place", "at").withColumnRenamed("slots", "filled")
     found = common.materialize(hits.join(bench, "hash").where(F.size("slots") == F.size("filled")), "matches")
     pair = ["doc_id", "text_hash", "item_id"]
-    matched = found.groupBy(*pair).agg(F.countDistinct("place").alias("n_matched"), F.max("n_windows").alias("n_windows"))
-    slots = found.select(*pair, (F.col("at") - F.col("place")).alias("shift"), F.explode(F.arrays_zip("slots", "filled")).alias("s")).select(*pair, "shift", "s.slots", "s.filled").distinct()
+    found = found.withColumn("shift", F.col("at") - F.col("place"))
+    slots = found.select(*pair, "shift", F.explode(F.arrays_zip("slots", "filled")).alias("s")).select(*pair, "shift", "s.slots", "s.filled").distinct()
     per_value = slots.groupBy(*pair, "shift", "slots").agg(F.count("*").alias("values"))
-    per_item = per_value.groupBy(*pair).agg(F.count("*").alias("n_slots"), F.count_if(F.col("values") == 1).alias("n_consistent"))
+    judged = per_value.groupBy(*pair, "shift").agg(F.count("*").alias("n_slots"), F.count_if(F.col("values") == 1).alias("n_consistent"))
+    consistent = F.col("n_consistent") >= min_consistent * F.col("n_slots")
+    bad = judged.where(~consistent)
+    alike = [found[c].eqNullSafe(bad[c]) for c in (*pair, "shift")]
+    kept = found.join(bad, alike[0] & alike[1] & alike[2] & alike[3], "left_anti")
+    matched = kept.groupBy(*pair).agg(F.countDistinct("place").alias("n_matched"), F.max("n_windows").alias("n_windows"))
+    per_item = judged.where(consistent).groupBy(*pair).agg(F.sum("n_slots").alias("n_slots"), F.sum("n_consistent").alias("n_consistent"))
     same = [matched[c].eqNullSafe(per_item[c]) for c in pair]
     joined = matched.join(per_item, same[0] & same[1] & same[2], "left").select(*[matched[c] for c in pair], "n_matched", F.col("n_windows").cast("long").alias("n_windows"), F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_consistent", F.lit(0)).alias("n_consistent"))
-    return joined.where((F.col("n_matched") >= min_share * F.col("n_windows")) & (F.col("n_consistent") >= min_consistent * F.col("n_slots")))
+    return joined.where(F.col("n_matched") >= min_share * F.col("n_windows"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:

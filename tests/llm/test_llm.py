@@ -240,6 +240,16 @@ def test_decontamination_templates(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_judges_alignments(spark):
+    """An inconsistent variant elsewhere in the document hides no exact copy."""
+    item = "A farmer called Tom has 12 kg of apples. Then Tom gives 5 kg to Ann and eats 5 apples. How many are left?"
+    mixed = item.replace("Then Tom", "Then Zoe").replace("eats 5", "eats 9").replace("5 kg", "8 kg").replace("12 kg", "30 lb")
+    docs = spark.createDataFrame([(1, f"{item} And now for something else. {mixed}"), (2, mixed), (None, f"{mixed} Or so. {item}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item)], "item_id long, text string")
+    rows = decontaminate.find_leaks(docs, bench).collect()
+    assert {r.doc_id for r in rows} == {1, None} and all(r.n_matched == r.n_windows for r in rows)
+
+
 def test_lines_against_sql(spark):
     import duckdb
 
