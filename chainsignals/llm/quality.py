@@ -4,7 +4,8 @@ A logistic classifier on the shape of a text gives its own evidence.  Sums of it
 probabilities by host and by path of the host give site posteriors: a path is shrunk
 toward its host and a host toward the whole corpus, by strengths that the spread
 between sites sets (method of moments).  A document's odds are its own likelihood ratio
-times the odds of its path without the document itself.
+times the odds of its path without the document itself.  ``documents`` carries no URL
+path, so by default lang stands in for the path and source for the host.
 """
 
 from __future__ import annotations
