@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,10 @@ UNITS = frozenset("% cm day days dollar dollars euro euros ft g gallons gram gra
 _NUMBER = re.compile(r"[-+$€£]?\d[\d.,/:]*(%|[^\W\d_]{0,10})")
 _EDGE = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])) + "«»“”‘’…¡¿–—"
 _WORD, _NUM, _NAME, _UNIT = range(4)
+#: Words that begin sentences and are no names, so they need one reading only (fixed values).
+_NO_NAMES = frozenset("a an the this that these those it its he she they we you i his her their our your my if in on at by for from of to with as after before during when while since until then there here how what who whom whose which where why and or but so yet each every all both some any no not is are was were be do does did has have had can could should would".split())
+#: Words of a window with two readings of which all combinations are tried; with more, none, each one and all.
+_READINGS = 8
 #: Benchmark windows of which the hashes go to every task as a sorted array (8 bytes each).
 FILTER_WINDOWS = 2_000_000
 #: Up to so many leaked documents are broadcast (16 bytes each).
@@ -52,7 +57,7 @@ class Canonicalizer:
             kind = _NUM
         elif lower in UNITS or (not core and word in UNITS):
             kind = _UNIT
-        elif core[:1].isupper() and core[1:] == core[1:].lower():
+        elif core[:1].isupper() and core[1:] == core[1:].lower() and lower not in _NO_NAMES:
             kind = _NAME
         self.template.append(xxhash.xxh3_64_intdigest(lower or word))
         self.value.append(xxhash.xxh3_64_intdigest(lower or word, 1))
@@ -61,11 +66,12 @@ class Canonicalizer:
         self.number[word] = n = len(self.number)
         return n
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template hash, value hash and slot mark of each word.
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template hash, value hash, slot mark and mark of a second reading of each word.
 
-        A capitalised word is a name unless it begins the text or follows a sentence's
-        end; a unit is one only after a number.
+        A capitalised word is a name; where it begins the text or follows a sentence's
+        end it is read as a word, and its second reading is a name.  A unit is one only
+        after a number.
         """
         words = text.split()
         if len(self.number) + len(words) > self.max_entries:
@@ -75,14 +81,22 @@ class Canonicalizer:
         kind = np.array([self.kind[i] for i in at], np.int8)
         template = np.array([self.template[i] for i in at], np.uint64)
         if not len(at):
-            return template, template, kind.astype(bool)
+            return template, template, kind.astype(bool), kind.astype(bool)
         before_end = np.concatenate([[True], np.array([self.ends[i] for i in at[:-1]], bool)])
         before_number = np.concatenate([[False], kind[:-1] == _NUM])
         slot = (kind == _NUM) | ((kind == _NAME) & ~before_end) | ((kind == _UNIT) & before_number)
         if slot.any():
             template = np.where(slot, kind.astype(np.uint64), template)
-        value = np.array([self.value[i] for i in at], np.uint64) if slot.any() else template
-        return template, value, slot
+        either = (kind == _NAME) & before_end
+        value = np.array([self.value[i] for i in at], np.uint64) if slot.any() or either.any() else template
+        return template, value, slot, either
+
+
+def _choices(places: list[int]) -> list[tuple[int, ...]]:
+    """Which of the words with two readings are read as names."""
+    if len(places) > _READINGS:
+        return [(), *((p,) for p in places), tuple(places)]
+    return [chosen for n in range(len(places) + 1) for chosen in combinations(places, n)]
 
 
 def _windows(template: np.ndarray, size: int) -> np.ndarray:
@@ -94,29 +108,28 @@ _HITS = "doc_id long, text_hash long, hash long, place int, slots array<long>"
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, min_words: int) -> DataFrame:
-    """Template windows of the items; an item of fewer words than a window is one window."""
+    """Template windows of the items in all readings; an item of fewer words than a window is one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonicalizer()
         for batch in batches:
             rows = []
             for item, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                template, value, slot = canonical(text or "")
+                template, value, slot, either = canonical(text or "")
                 if len(template) < min_words:
                     continue
                 size = min(window, len(template))
                 n = len(template) - size + 1
-                # inside a sentence the capitalised first word would be read as a name
-                first = template.copy()
-                first[0] = np.uint64(_NAME)
-                as_name = slot.copy()
-                as_name[0] = True
-                _, plain, _ = canonical(f"x {text}")
-                named = value.copy() if slot.any() else plain[1:].copy()
-                variants = [(template, value, slot, range(n))] + ([(first, named, as_name, range(1))] if text.split()[0].strip(_EDGE)[:1].isupper() else [])
-                for t, v, s, places in variants:
-                    hashes = _windows(t, size).view(np.int64).tolist()
-                    rows += [(item, n, size, hashes[p], p, v[p : p + size][s[p : p + size]].view(np.int64).tolist()) for p in places]
+                hashes = _windows(template, size).view(np.int64).tolist()
+                for p in range(n):
+                    v, marks = value[p : p + size], slot[p : p + size]
+                    for chosen in _choices(np.flatnonzero(either[p : p + size]).tolist()):
+                        h, named = hashes[p], marks
+                        if chosen:
+                            read, named = template[p : p + size].copy(), marks.copy()
+                            read[list(chosen)], named[list(chosen)] = np.uint64(_NAME), True
+                            h = int(_windows(read, size).view(np.int64)[0])
+                        rows.append((item, n, size, h, p, v[named].view(np.int64).tolist()))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["item_id", "n_windows", "size", "hash", "place", "slots"])
@@ -125,7 +138,11 @@ def benchmark_windows(benchmark: DataFrame, window: int, min_words: int) -> Data
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """Template windows of the documents; with ``wanted`` (sorted hashes) only those."""
+    """Template windows of the documents; with ``wanted`` (sorted hashes) only those.
+
+    A window is read with the words at its sentence starts as words and, if it has
+    capitalised ones there, with all of these as names; the items' windows have the mixed readings.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonicalizer()
@@ -135,14 +152,19 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
                 part = batch.slice(at, 256)
                 rows = []
                 for doc_id, text_hash, text in zip(*(part[c].to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
-                    template, value, slot = canonical(text)
-                    for size in sizes:
-                        hashes = _windows(template, size)
+                    template, value, slot, either = canonical(text)
+                    readings = [(slot, size, _windows(template, size)) for size in sizes]
+                    if either.any():
+                        named = np.where(either, np.uint64(_NAME), template)
+                        readings += [(slot | either, size, _windows(named, size)) for size in sizes]
+                    for k, (marks, size, hashes) in enumerate(readings):
                         if wanted is None:
                             hit = range(len(hashes))
                         else:
                             hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes).tolist() if len(hashes) else []
-                        rows += [(doc_id, text_hash, int(hashes[p : p + 1].view(np.int64)[0]), p, value[p : p + size][slot[p : p + size]].view(np.int64).tolist()) for p in hit]
+                        if k >= len(sizes):  # windows without a second reading are there already
+                            hit = [p for p in hit if either[p : p + size].any()]
+                        rows += [(doc_id, text_hash, int(hashes[p : p + 1].view(np.int64)[0]), p, value[p : p + size][marks[p : p + size]].view(np.int64).tolist()) for p in hit]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "text_hash", "hash", "place", "slots"])
 

@@ -250,6 +250,21 @@ def test_decontamination_judges_alignments(spark):
     assert {r.doc_id for r in rows} == {1, None} and all(r.n_matched == r.n_windows for r in rows)
 
 
+def test_decontamination_sentence_starts(spark):
+    """Names at the beginning of sentences are asked with others, in items of many words and of few."""
+    item = "Tom has 5 apples. Ann has 7 apples. Bob has 3 apples. How many apples in all?"
+    other = "Zoe has 8 apples. Max has 2 apples. Lea has 4 apples. How many apples in all?"
+    docs = spark.createDataFrame([(1, f"Read this. {other} Thanks."), (2, "It was late. Eve sold 4 pears to Kim yesterday. Bye."), (3, f"see {item} so"), (4, "How many pears has she? Nobody knows. Some have 5.")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, item), (8, "Sue sold 9 pears to Pat yesterday.")], "item_id long, text string")
+    whole = decontaminate.FILTER_WINDOWS
+    try:
+        for limit in (whole, -1):
+            decontaminate.FILTER_WINDOWS = limit
+            assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == {(1, 9), (2, 8), (3, 9)}
+    finally:
+        decontaminate.FILTER_WINDOWS = whole
+
+
 def test_lines_against_sql(spark):
     import duckdb
 
