@@ -1,48 +1,71 @@
 """Operators whose answer depends on what was emitted before: cooldowns, dedup, budgets.
 
-Rows that pass every other test are few.  A gap as long as the cooldown makes the next
-row independent of all before, so keys are cut into chunks at gaps and only a chunk is
-walked in order.
+Rows that pass every other test are few.  They are walked in order, partition by
+partition, in Arrow batches with a small state between them: no group becomes a frame of
+its own, however many small ones there are, and none is held whole, however large it is.
+A gap as long as the cooldown makes the next row independent of all before, so keys are
+cut into chunks at gaps and the chunks dealt over the tasks.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter, deque
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def chunked(rows: DataFrame, key: tuple[str, ...], gap_us: int, order: tuple[str, ...] = ("us",)) -> DataFrame:
-    """``rows`` with the number of their independent chunk within the key."""
+    """``rows`` with the number of their independent chunk within the key, and starts_chunk, 1 for its first row."""
     w = Window.partitionBy(*key).orderBy(*order)
     starts = (F.col("us") - F.lag("us").over(w) > gap_us).cast("int")
-    return rows.withColumn("starts_chunk", F.coalesce(starts, F.lit(1))).withColumn("chunk", F.sum("starts_chunk").over(w)).drop("starts_chunk")
+    return rows.withColumn("starts_chunk", F.coalesce(starts, F.lit(1))).withColumn("chunk", F.sum("starts_chunk").over(w))
+
+
+def _walked(rows: DataFrame, group: tuple[str, ...], order: tuple[str, ...], walk: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``walk`` over partitions that hold whole groups, sorted by group and order."""
+    dealt = rows.repartition(*[F.col(c) for c in group]).sortWithinPartitions(*group, *order)
+    return dealt.mapInArrow(walk, schema)
+
+
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
 
 
 def emit_with_cooldown(rows: DataFrame, key: tuple[str, ...], cooldown_us: int, order: tuple[str, ...] = ("us",), signature: str | None = None, memory_us: int | None = None) -> DataFrame:
     """Rows that are emitted: none within ``cooldown_us`` after the last emitted of its key.
 
-    A row exactly the cooldown later is emitted, unless ``signature`` was emitted within
-    ``memory_us`` (inclusive) before.
+    A row exactly the cooldown later is emitted, unless ``signature`` (a column, arrays
+    too) was emitted within ``memory_us`` (inclusive) before.
     """
     memory = cooldown_us if memory_us is None else memory_us
     dealt = chunked(rows, key, max(cooldown_us, memory), order)
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order), kind="stable")
-        last, seen, keep = None, {}, []
-        marks = [tuple(x) if hasattr(x, "__len__") and not isinstance(x, str) else x for x in frame[signature]] if signature else [None] * len(frame)
-        for t, mark in zip(frame["us"], marks, strict=True):
-            ok = last is None or t - last >= cooldown_us
-            if ok and signature:
-                ok = mark not in seen or seen[mark] < t - memory
-            if ok:
-                last = t
-                seen[mark] = t
-            keep.append(ok)
-        return frame[keep]
-
-    return dealt.groupBy(*key, "chunk").applyInPandas(walk, dealt.schema).drop("chunk")
+    mark = F.to_json(F.struct(signature)) if signature else F.lit("")
+    dealt = dealt.withColumn("_mark", mark)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, {}
+        for batch in batches:
+            starts, us = batch["starts_chunk"].to_numpy(), batch["us"].to_numpy()
+            marks = batch["_mark"].to_pylist() if signature else None
+            keep = np.zeros(len(us), bool)
+            for i, (first, t) in enumerate(zip(starts.tolist(), us.tolist(), strict=True)):
+                if first:
+                    last, seen = None, {}
+                if last is not None and t - last < cooldown_us:
+                    continue
+                if signature:
+                    if marks[i] in seen and seen[marks[i]] >= t - memory:
+                        continue
+                    seen = {m: at for m, at in seen.items() if at >= t - memory}
+                    seen[marks[i]] = t
+                last, keep[i] = t, True
+            yield batch.filter(pa.array(keep))
+
+    return _walked(dealt, (*key, "chunk"), order, walk, _ddl(dealt)).drop("starts_chunk", "chunk", "_mark")
 
 
 def first_claims(rows: DataFrame, key: tuple[str, ...], hold_us: int, order: tuple[str, ...] = ("us",)) -> DataFrame:
@@ -53,26 +76,34 @@ def first_claims(rows: DataFrame, key: tuple[str, ...], hold_us: int, order: tup
 def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key: tuple[str, ...] = ("day",), order: tuple[str, ...] = ("us",)) -> DataFrame:
     """``rows`` with allowed: spent so far plus ``amount`` stays within ``budget``.
 
-    Only allowed rows for which ``spends`` is true add to what the key has spent.
+    Only allowed rows for which ``spends`` is true add to what the key has spent.  A row
+    without an amount is refused.  The walk carries one number for each key.
     """
-    schema = rows.withColumn("allowed", F.lit(True)).withColumn("spent_before", F.lit(0.0)).schema
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(order), kind="stable").copy()
-        spent, allowed, before = 0.0, [], []
-        for value, counts in zip(frame[amount], frame[spends], strict=True):
-            ok = spent + value <= budget
-            allowed.append(ok)
-            before.append(spent)
-            if ok and counts:
-                spent += value
-        frame["allowed"], frame["spent_before"] = allowed, before
-        return frame
-
-    return rows.groupBy(*key).applyInPandas(walk, schema)
-
-
-def anchor_clusters(events: DataFrame, key: tuple[str, ...] = ("pool", "type"), window_us: int = 1_800_000_000, min_wallets: int = 2, whale_z: float = 4.0) -> DataFrame:
+    w = Window.partitionBy(*key).orderBy(*order)
+    starts = rows.withColumn("_starts", (F.row_number().over(w) == 1).cast("int"))
+    result = rows.withColumn("allowed", F.lit(True)).withColumn("spent_before", F.lit(0.0))
+    names = rows.columns
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spent = 0.0
+        for batch in batches:
+            allowed, before = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows)
+            values = zip(batch["_starts"].to_pylist(), batch[amount].to_pylist(), batch[spends].to_pylist(), strict=True)
+            for i, (first, value, counts) in enumerate(values):
+                if first:
+                    spent = 0.0
+                before[i] = spent
+                if value is not None and spent + value <= budget:
+                    allowed[i] = True
+                    if counts:
+                        spent += value
+            kept = [batch[c] for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(allowed), pa.array(before)], [*names, "allowed", "spent_before"])
+
+    return _walked(starts, key, order, walk, _ddl(result))
+
+
+def anchor_clusters(events: DataFrame, key: tuple[str, ...] = ("chain", "pool", "type"), window_us: int = 1_800_000_000, min_wallets: int = 2, whale_z: float = 4.0, order: tuple[str, ...] = ("us", "event_id")) -> DataFrame:
     """Batch clusters: anchored windows of new wallets, then lone whales.
 
     Within a key, events are walked by time.  The window of an anchor that holds at least
@@ -80,24 +111,60 @@ def anchor_clusters(events: DataFrame, key: tuple[str, ...] = ("pool", "type"),
     the volume of all the window's events.  Events of ``whale_z`` and more whose wallet is in no cluster of
     several wallets give a cluster each; keys count in the order of their first event.
 
-    Wallets are remembered over a whole key, so the input must be the flagged events only.
+    The input must be the flagged events only: the walk holds the events of a window and
+    the wallets that the key has clustered, and looks at each event once as it enters and once as it leaves.
     """
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("us", kind="stable").reset_index(drop=True)
-        us, out, known = frame["us"].to_numpy(), [], set()
-        ends = us.searchsorted(us + window_us, side="right")
-        for i, end in enumerate(ends):
-            part = frame.iloc[i:end]
-            new = sorted(set(part["wallet"]) - known)
-            if len(new) >= min_wallets:
-                known |= set(new)
-                out.append({**{k: frame[k].iloc[0] for k in key}, "wallets": new, "total_volume_usd": part["usd"].sum(), "z_score": part["z"].max(), "event_count": len(part), "first_us": us[i], "last_us": us[end - 1]})
-        return pd.DataFrame(out, columns=[*key, "wallets", "total_volume_usd", "z_score", "event_count", "first_us", "last_us"])
-
+    columns = [*key, *dict.fromkeys((*order, "us", "wallet", "usd", "z"))]
+    w = Window.partitionBy(*key).orderBy(*order)
+    rows = events.select(*columns).withColumn("_starts", (F.row_number().over(w) == 1).cast("int"))
     types = dict(events.dtypes)
     schema = ", ".join([*(f"{k} {types[k]}" for k in key), "wallets array<string>", "total_volume_usd double", "z_score double", "event_count long", "first_us long", "last_us long"])
-    multi = events.groupBy(*key).applyInPandas(walk, schema)
+    names = [*key, "wallets", "total_volume_usd", "z_score", "event_count", "first_us", "last_us"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window: deque = deque()  # (us, wallet, usd, z) of the events from the anchor on
+        new: Counter = Counter()  # their wallets that are in no cluster yet
+        known: set[str] = set()
+        of: list = []
+        found: list[list] = []
+
+        def leave(until: int | None) -> None:
+            """Judge the anchors whose windows end before ``until``."""
+            while window and (until is None or window[0][0] + window_us < until):
+                if len(new) >= min_wallets:
+                    us, _, usd, z = zip(*window, strict=True)
+                    found.append([*of, sorted(new), float(sum(usd)), max(z), len(window), us[0], us[-1]])
+                    known.update(new)
+                    new.clear()
+                _, wallet, _, _ = window.popleft()
+                if wallet in new:
+                    new[wallet] -= 1
+                    if not new[wallet]:
+                        del new[wallet]
+
+        def rows_found() -> pa.RecordBatch:
+            out = list(zip(*found, strict=True)) or [[]] * len(names)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, arrow, strict=True)], names)
+
+        arrow = [pa.string() if types[k] == "string" else pa.int64() for k in key] + [pa.list_(pa.string()), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+        for batch in batches:
+            values = [batch[c].to_pylist() for c in ("_starts", "us", "wallet", "usd", "z")]
+            at = [batch[k] for k in key]
+            for i, (first, us, wallet, usd, z) in enumerate(zip(*values, strict=True)):
+                if first:
+                    leave(None)
+                    known, of = set(), [x[i].as_py() for x in at]
+                    new.clear()
+                leave(us)
+                window.append((us, wallet, usd, z))
+                if wallet not in known:
+                    new[wallet] += 1
+            yield rows_found()
+        leave(None)
+        yield rows_found()
+
+    multi = _walked(rows, key, order, walk, schema)
     firsts = events.groupBy(*key).agg(F.min("us").alias("key_first"))
     placed = multi.join(firsts, list(key)).select(F.explode("wallets").alias("wallet"), "key_first").groupBy("wallet").agg(F.min("key_first").alias("clustered_from"))
     whales = events.where(F.col("z") >= whale_z).join(firsts, list(key)).join(placed, "wallet", "left").where("clustered_from is null or clustered_from > key_first")

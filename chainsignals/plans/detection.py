@@ -159,34 +159,81 @@ def flt8_flt9_coordinated_windows(spark: SparkSession, sf_dir: str) -> DataFrame
     return rows.select("event_id", F.col("n_wallets").cast("long").alias("n_wallets"), F.round("window_usd", 4).alias("window_usd"), F.round("z_window", 4).alias("z_window"))
 
 
-@query(
-    tables.with_ctes(
-        "ev",
-        "SELECT g.event_id, round(g.window_usd, 4) AS window_usd, g.n_events FROM groups g JOIN emitted e USING (chain, pool, type, us)",
-        f"""{BASE},\n{GROUPS}, emitted AS (
-    SELECT chain, pool, type, min(us) AS us FROM groups GROUP BY ALL
+#: Emission with the wallet sets remembered for as long as the cooldown, its end included.
+GROUP_EMITTED = f"""{BASE},\n{GROUPS}, emitted AS (
+    SELECT chain, pool, type, min(us) AS us, arg_min(wallets, us) AS wallets FROM groups GROUP BY ALL
     UNION ALL
-    SELECT e.chain, e.pool, e.type, min(n.us) FROM emitted e JOIN groups n ON n.chain = e.chain AND n.pool = e.pool AND n.type = e.type AND n.us >= e.us + {COOLDOWN} GROUP BY e.chain, e.pool, e.type, e.us
-)""",
-        recursive=True,
-    )
-)
+    SELECT e.chain, e.pool, e.type, min(n.us), arg_min(n.wallets, n.us) FROM emitted e JOIN groups n ON n.chain = e.chain AND n.pool = e.pool AND n.type = e.type AND n.us >= e.us + {COOLDOWN}
+        AND NOT (n.us = e.us + {COOLDOWN} AND n.wallets = e.wallets) GROUP BY e.chain, e.pool, e.type, e.us
+)"""
+
+
+@query(tables.with_ctes("ev", "SELECT g.event_id, round(g.window_usd, 4) AS window_usd, g.n_events FROM groups g JOIN emitted e USING (chain, pool, type, us)", GROUP_EMITTED, recursive=True))
 def grd2_group_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = greedy.emit_with_cooldown(group_eligible(spark, sf_dir), ("chain", "pool", "type"), COOLDOWN, signature="wallets")
     return rows.select("event_id", F.round("window_usd", 4).alias("window_usd"), "n_events")
 
 
-@query()
+KIND_SQL = f"CASE type WHEN 'swap' THEN CASE WHEN usd > {WHALE_USD} THEN 'whale_entry' ELSE 'accumulation' END WHEN 'mint' THEN 'liquidity_added' WHEN 'burn' THEN 'liquidity_removed' ELSE 'unusual_volume' END"
+SOLO_EMITTED = f"""{ELIGIBLE}, solo AS (
+    SELECT chain, wallet, pool, type, min(us) AS us FROM eligible GROUP BY ALL
+    UNION ALL
+    SELECT e.chain, e.wallet, e.pool, e.type, min(n.us) FROM solo e JOIN eligible n ON n.chain = e.chain AND n.wallet = e.wallet AND n.pool = e.pool AND n.type = e.type AND n.us >= e.us + {COOLDOWN} GROUP BY e.chain, e.wallet, e.pool, e.type, e.us
+), both_kinds AS (
+    SELECT e.chain, e.protocol, e.pool, e.type, e.wallet AS wallets, e.usd, e.z, 1 AS event_count, e.us AS first_us, e.us AS last_us FROM eligible e JOIN solo USING (chain, wallet, pool, type, us)
+    UNION ALL
+    SELECT g.chain, v.protocol, g.pool, g.type, array_to_string(g.wallets, ','), g.window_usd, g.z_window, g.n_events, g.first_us, g.last_us FROM groups g JOIN emitted m USING (chain, pool, type, us) JOIN ev v ON v.event_id = g.event_id
+)"""
+
+
+@query(
+    tables.with_ctes(
+        "ev",
+        f"SELECT chain, protocol, pool, type, wallets, round(usd, 4) AS total_volume_usd, round(z, 4) AS z_score, event_count, first_us, last_us, {KIND_SQL} AS signal_type FROM both_kinds",
+        f"{GROUP_EMITTED},\n{SOLO_EMITTED}",
+        recursive=True,
+    )
+)
 def set4_all_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Solo and multi-wallet candidates together."""
     groups = greedy.emit_with_cooldown(group_eligible(spark, sf_dir), ("chain", "pool", "type"), COOLDOWN, signature="wallets")
-    return classify.candidates(solo_emitted(spark, sf_dir), groups, WHALE_USD)
+    return _plain(classify.candidates(solo_emitted(spark, sf_dir), groups, WHALE_USD))
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    """Wallets as text and rounded numbers, for comparison."""
+    return rows.withColumns({"wallets": F.array_join("wallets", ","), "total_volume_usd": F.round("total_volume_usd", 4), "z_score": F.round("z_score", 4)})
+
+
+#: Anchors are walked one by one with the list of the wallets that their key has clustered.
+ANCHORS = f"""flagged AS (
+    SELECT *, row_number() OVER (PARTITION BY chain, pool, type ORDER BY us, event_id) AS k FROM scored WHERE z >= {Z}
+), anchored AS (
+    SELECT a.chain, a.pool, a.type, a.k, a.us AS first_us, list_sort(list(DISTINCT b.wallet)) AS held, sum(b.usd) AS usd, max(b.z) AS z, count(*) AS n, max(b.us) AS last_us
+    FROM flagged a JOIN flagged b ON a.chain = b.chain AND a.pool = b.pool AND a.type = b.type AND b.k >= a.k AND b.us <= a.us + 1800000000 GROUP BY ALL
+), walk AS (
+    SELECT chain, pool, type, k, held AS fresh, CASE WHEN len(held) >= 2 THEN held ELSE CAST([] AS VARCHAR[]) END AS known FROM anchored WHERE k = 1
+    UNION ALL
+    SELECT chain, pool, type, k, fresh, CASE WHEN len(fresh) >= 2 THEN list_concat(known, fresh) ELSE known END FROM (
+        SELECT a.chain, a.pool, a.type, a.k, list_filter(a.held, lambda x: NOT list_contains(w.known, x)) AS fresh, w.known FROM walk w JOIN anchored a ON a.chain = w.chain AND a.pool = w.pool AND a.type = w.type AND a.k = w.k + 1)
+), multi AS (
+    SELECT w.chain, w.pool, w.type, w.fresh, a.usd, a.z, a.n, a.first_us, a.last_us FROM walk w JOIN anchored a USING (chain, pool, type, k) WHERE len(w.fresh) >= 2
+), key_starts AS (
+    SELECT chain, pool, type, min(us) AS key_first FROM flagged GROUP BY ALL
+), clustered AS (
+    SELECT wallet, min(key_first) AS since FROM (SELECT unnest(fresh) AS wallet, key_first FROM multi JOIN key_starts USING (chain, pool, type)) GROUP BY wallet
+), clusters AS (
+    SELECT chain, pool, type, array_to_string(fresh, ',') AS wallets, usd, z, n, first_us, last_us FROM multi
+    UNION ALL
+    SELECT f.chain, f.pool, f.type, f.wallet, f.usd, f.z, 1, f.us, f.us FROM flagged f JOIN key_starts s USING (chain, pool, type) LEFT JOIN clustered c ON c.wallet = f.wallet
+    WHERE f.z >= 4 AND (c.since IS NULL OR c.since > s.key_first)
+)"""
 
 
-@query()
+@query(tables.with_ctes("ev", "SELECT chain, pool, type, wallets, round(usd, 4) AS total_volume_usd, round(z, 4) AS z_score, n AS event_count, first_us, last_us FROM clusters", f"{BASE},\n{ANCHORS}", recursive=True))
 def grd3_batch_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = scored_events(spark, sf_dir).where("is_anomaly")
-    return greedy.anchor_clusters(flagged)
+    return _plain(greedy.anchor_clusters(flagged))
 
 
 @query(
