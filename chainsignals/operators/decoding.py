@@ -23,13 +23,13 @@ def scan_logs(logs: DataFrame, pools: DataFrame, from_block: int, to_block: int,
     """Logs of registered pools in a range of blocks (inclusive), with topics."""
     block = flexible_int(F.col("block_number"))
     rows = logs.where(F.col("chain").isin(*(chains or dims.CHAINS)) & block.between(from_block, to_block) & (F.size("topics") > 0))
-    registered = F.broadcast(pools.select("chain", F.lower("pool").alias("pool")))
+    registered = pools.select("chain", F.lower("pool").alias("pool"))
     return rows.withColumn("pool", F.lower("address")).join(registered, ["chain", "pool"], "left_semi").drop("pool")
 
 
 def route(logs: DataFrame, pools: DataFrame) -> DataFrame:
     """Attach pool data and the kind of event; logs of other pools, topics or lengths drop out."""
-    registry = F.broadcast(pools.select(F.col("chain"), F.lower("pool").alias("pool"), "protocol", "token0", "token1"))
+    registry = pools.select(F.col("chain"), F.lower("pool").alias("pool"), "protocol", "token0", "token1")
     topics = F.broadcast(dims.topics(logs.sparkSession))
     rows = logs.where(F.size("topics") > 0).withColumn("pool", F.lower("address")).withColumn("topic0", F.lower(F.col("topics")[0])).withColumn("digits", hex_data(F.col("data")))
     found = rows.join(registry, ["chain", "pool"]).join(topics, "topic0")
@@ -71,8 +71,8 @@ def decode(routed: DataFrame, tokens: DataFrame, prices: DataFrame, gmx_precisio
         (to_double(a0, signed) + to_double(b0, F.lit(False))).alias("amount0"), (to_double(a1, signed) + to_double(b1, F.lit(False))).alias("amount1"),
     )
     priced = tokens.select(F.lower("address").alias("address"), "price_key", "decimals").join(prices.select(F.col("chain"), "price_key", "price"), "price_key")
-    side = lambda i: F.broadcast(priced.select("chain", F.col("address").alias(f"priced{i}"), F.col("price").alias(f"price{i}"), F.col("decimals").alias(f"decimals{i}")))
-    native = F.broadcast(prices.where("price_key = 'mnt'").select("chain", F.col("price").alias("native")))
+    side = lambda i: priced.select("chain", F.col("address").alias(f"priced{i}"), F.col("price").alias(f"price{i}"), F.col("decimals").alias(f"decimals{i}"))
+    native = prices.where("price_key = 'mnt'").select("chain", F.col("price").alias("native"))
     joined = rows.join(side(0), ["chain", "priced0"], "left").join(side(1), ["chain", "priced1"], "left").join(native, "chain", "left")
     zero = F.lit(0.0)
     amount0, amount1 = F.col("amount0"), F.col("amount1")

@@ -10,9 +10,35 @@ DAY_US = 86_400_000_000
 BROADCAST_RULES = 200_000
 
 
-def any_or(values: Column, x: Column) -> Column:
-    """True if the filter list is null, empty, or holds ``x``."""
-    return values.isNull() | (F.size(values) == 0) | F.coalesce(F.array_contains(values, x), F.lit(False))
+def wanted(values: Column) -> Column:
+    """Join keys of a filter list: one for each entry, or one for any value if it is null or empty."""
+    listed = F.transform(F.array_distinct(values), lambda x: F.concat(F.lit("="), x))
+    return F.when(values.isNull() | (F.size(values) == 0), F.array(F.lit("*"))).otherwise(listed)
+
+
+def offered(value: Column) -> Column:
+    """Join keys under which a value is found: its own, and that of rules without a filter."""
+    return F.array(F.concat(F.lit("="), value), F.lit("*"))
+
+
+def _exploded(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    for name, key in keys.items():
+        rows = rows.withColumn(name, F.explode(key))
+    return rows
+
+
+def by_filters(signals: DataFrame, rules: DataFrame, filters: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Signals (alias g) and rules (alias r) that agree on all ``filters``, name to (signal's value, rule's list).
+
+    Every filter is an equi key: a rule has a row for each combination of the values that it
+    lists, a signal one for each choice between its own value and "any".  So a pair meets
+    once, and neither side is compared with all of the other.  Few rules are broadcast;
+    many are shuffled with the signals by all keys.
+    """
+    keys = {name: f"_{name}" for name in filters}
+    left = _exploded(signals, {keys[n]: offered(value) for n, (value, _) in filters.items()})
+    right = _exploded(rules, {keys[n]: wanted(values) for n, (_, values) in filters.items()})
+    return left.alias("g").join(_side(right).alias("r"), list(keys.values())).drop(*keys.values())
 
 
 def _side(rules: DataFrame) -> DataFrame:
@@ -31,18 +57,12 @@ def feed(signals: DataFrame, chain: str | None = None, signal_type: str | None =
 def match_subscriptions(signals: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(id, sub_id, ...) pairs that a subscriber's filters let through.
 
-    The chain filter becomes an equi key: a subscriber has a row for each chain that it
-    wants, one without a chain filter a row for each chain there is.  The rest are residual
-    tests, so neither side is compared with all of the other.
+    A signal without a chain counts as one of the first chain.
     """
-    chains = signals.select(F.coalesce("chain", F.lit("mantle")).alias("want")).distinct()
-    listed = subscriptions.where("size(chains) > 0").select("*", F.explode(F.array_distinct("chains")).alias("want"))
-    # as many rows as there are chains
-    free = subscriptions.where("chains is null or size(chains) = 0").join(F.broadcast(chains))
-    wanted = _side(listed.unionByName(free)).alias("s")
-    keyed = signals.withColumn("want", F.coalesce("chain", F.lit("mantle"))).alias("g")
-    passes = (F.col("g.want") == F.col("s.want")) & (F.col("g.confidence") >= F.col("s.min_confidence")) & any_or(F.col("s.signal_types"), F.col("g.signal_type")) & any_or(F.col("s.protocols"), F.col("g.protocol"))
-    return keyed.join(wanted, passes).select("g.*", "s.sub_id", "s.channel", "s.is_pro", "s.pro_expires_at").drop("want")
+    chain = F.coalesce("chain", F.lit("mantle"))
+    rules = subscriptions.select("sub_id", "channel", "is_pro", "pro_expires_at", "min_confidence", "chains", "signal_types", "protocols")
+    found = by_filters(signals, rules, {"chain": (chain, F.col("chains")), "type": (F.col("signal_type"), F.col("signal_types")), "protocol": (F.col("protocol"), F.col("protocols"))})
+    return found.where(F.col("g.confidence") >= F.col("r.min_confidence")).select(*[F.col(f"g.{c}") for c in signals.columns], "r.sub_id", "r.channel", "r.is_pro", "r.pro_expires_at")
 
 
 def entitled(is_pro: Column, expires_us: Column, now_us: Column) -> Column:
@@ -51,10 +71,17 @@ def entitled(is_pro: Column, expires_us: Column, now_us: Column) -> Column:
 
 
 def cap_free_tier(matches: DataFrame, per_day: int = 3) -> DataFrame:
-    """Matches that are delivered: all of pro accounts, the first ``per_day`` a UTC day of the others."""
+    """Matches that are delivered: all of pro accounts, the first ``per_day`` a UTC day of the others.
+
+    Matches of pro accounts need no rank.  Of the others only the first of a day are
+    ranked: each task keeps ``per_day`` rows of a subscriber and day before the shuffle.
+    Accounts that are pro for good have no others.
+    """
     w = Window.partitionBy("sub_id", F.floor(F.col("detected_us") / DAY_US)).orderBy("detected_us", "id")
-    pro = entitled(F.col("is_pro"), F.unix_micros("pro_expires_at"), F.col("detected_us"))
-    return matches.withColumn("nth", F.row_number().over(w)).withColumn("pro", pro).where(F.col("pro") | (F.col("nth") <= per_day))
+    pro = F.coalesce(entitled(F.col("is_pro"), F.unix_micros("pro_expires_at"), F.col("detected_us")), F.lit(False))
+    always = F.coalesce(F.col("is_pro") & F.col("pro_expires_at").isNull(), F.lit(False))
+    first = matches.where(~always).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_day).drop("nth")
+    return matches.where(pro).withColumn("pro", F.lit(True)).unionByName(first.where(~pro).withColumn("pro", F.lit(False)))
 
 
 def expire(subscriptions: DataFrame, now_us: int) -> DataFrame:
@@ -65,23 +92,23 @@ def expire(subscriptions: DataFrame, now_us: int) -> DataFrame:
 
 def match_webhooks(signals: DataFrame, webhooks: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
     """(webhook_id, id) of active webhooks whose filters pass and that were not delivered before."""
-    hooks = _side(webhooks.where("active")).alias("w")
-    f = F.col("w.filters")
-    optional = lambda x, y: x.isNull() | (x == y)
-    passes = optional(f["chain"], F.col("g.chain")) & optional(f["signal_type"], F.col("g.signal_type")) & (f["min_confidence"].isNull() | (F.col("g.confidence") >= f["min_confidence"]))
-    found = signals.alias("g").join(hooks, passes).select("w.webhook_id", "g.id")
+    one = lambda x: F.when(x.isNotNull(), F.array(x))
+    hooks = webhooks.where("active").select("webhook_id", *[F.col(f"filters.{c}").alias(f"f_{c}") for c in ("chain", "signal_type", "min_confidence")])
+    rows = signals.select("id", "chain", "signal_type", "confidence")
+    found = by_filters(rows, hooks, {"chain": (F.col("chain"), one(F.col("f_chain"))), "type": (F.col("signal_type"), one(F.col("f_signal_type")))})
+    found = found.where(F.col("f_min_confidence").isNull() | (F.col("confidence") >= F.col("f_min_confidence"))).select("webhook_id", "id")
     return found if delivered is None else found.join(delivered.select("webhook_id", F.col("signal_id").alias("id")), ["webhook_id", "id"], "left_anti")
 
 
 def execution_requests(signals: DataFrame, agents: DataFrame) -> DataFrame:
     """Requests of active agents whose rules a signal meets, with the rules' defaults."""
-    side = _side(agents.where("active")).alias("a")
-    r = F.col("a.rules")
-    passes = (F.col("g.confidence") >= F.coalesce(r["min_confidence"], F.lit(60))) & any_or(r["signal_types"], F.col("g.signal_type")) & any_or(r["protocols"], F.col("g.protocol")) & (F.col("g.z_score") >= F.coalesce(r["min_z_score"], F.lit(0.0)))
+    found = by_filters(signals, agents.where("active").select("agent_id", "balance_usd", "rules"), {"type": (F.col("signal_type"), F.col("rules.signal_types")), "protocol": (F.col("protocol"), F.col("rules.protocols"))})
+    r = F.col("r.rules")
+    passes = (F.col("g.confidence") >= F.coalesce(r["min_confidence"], F.lit(60))) & (F.col("g.z_score") >= F.coalesce(r["min_z_score"], F.lit(0.0)))
     action = F.coalesce(r["action"], F.lit("swap"))
     known = F.when(action.isin("swap", "add_liquidity", "remove_liquidity"), action).otherwise("swap")
-    return signals.alias("g").join(side, passes).select(
-        "a.agent_id",
+    return found.where(passes).select(
+        "r.agent_id",
         F.col("g.id").alias("signal_id"),
         "g.chain",
         "g.protocol",
@@ -90,7 +117,7 @@ def execution_requests(signals: DataFrame, agents: DataFrame) -> DataFrame:
         "g.confidence",
         "g.z_score",
         F.col("g.detected_us").alias("us"),
-        "a.balance_usd",
+        "r.balance_usd",
         known.alias("action_type"),
         F.coalesce(r["amount_usd"], F.lit(100.0)).alias("amount_usd"),
         F.coalesce(r["max_slippage"], F.lit(0.02)).alias("max_slippage"),
@@ -103,7 +130,7 @@ def guard(requests: DataFrame, blacklist: DataFrame, max_position_pct: float = 5
 
     A position cap or slippage of 0 means the default.
     """
-    bad = F.broadcast(blacklist.select(F.lower("pool").alias("_bad")).distinct())
+    bad = _side(blacklist.select(F.lower("pool").alias("_bad")).distinct())
     rows = requests.join(bad, F.lower("pool") == F.col("_bad"), "left")
     pct = F.coalesce(F.nullif("max_position_pct", F.lit(0.0)), F.lit(max_position_pct))
     slip = F.coalesce(F.nullif("max_slippage", F.lit(0.0)), F.lit(max_slippage))

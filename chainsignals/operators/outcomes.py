@@ -16,7 +16,7 @@ def tracked_asset(signals: DataFrame, pool_assets: DataFrame, chain_assets: Data
     """price_key of a signal: that of its pool, else of its chain, else ``default``."""
     pools = pool_assets.select(F.col("chain").alias("_c"), F.lower("pool").alias("_p"), F.col("price_key").alias("_exact"))
     chains = chain_assets.select(F.col("chain").alias("_c2"), F.col("price_key").alias("_chain"))
-    joined = signals.join(F.broadcast(pools), (F.col("chain") == F.col("_c")) & (F.lower("pool") == F.col("_p")), "left").join(F.broadcast(chains), F.col("chain") == F.col("_c2"), "left")
+    joined = signals.join(pools, (F.col("chain") == F.col("_c")) & (F.lower("pool") == F.col("_p")), "left").join(chains, F.col("chain") == F.col("_c2"), "left")
     return joined.withColumn("price_key", F.coalesce("_exact", "_chain", F.lit(default))).drop("_c", "_p", "_exact", "_c2", "_chain")
 
 
@@ -41,7 +41,7 @@ def resolve_outcomes(signals: DataFrame, ticks: DataFrame, now_us: int, key: tup
     priced = asof(horizons(entered), ticks, key, at="due_us", out="price").drop("price_us")
     if static is not None:
         fixed = static.select(*key, F.col("price").alias("_static"))
-        priced = priced.join(F.broadcast(fixed), list(key), "left").withColumns({c: F.coalesce(c, "_static") for c in ("entry_price", "price")}).drop("_static")
+        priced = priced.join(fixed, list(key), "left").withColumns({c: F.coalesce(c, "_static") for c in ("entry_price", "price")}).drop("_static")
     due = F.col("due_us") <= now_us
     failed = F.col("price").isNull() | F.col("entry_price").isNull()
     status = F.when(~due, "pending").when(failed, "failed").otherwise("completed")
