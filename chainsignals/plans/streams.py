@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,9 @@ from .registry import query
 
 
 def _scratch(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -51,7 +52,7 @@ STREAM_COOLDOWN = """elig AS (SELECT event_id, wallet, pool, us FROM ev WHERE us
 @query(tables.with_ctes("ev", "SELECT event_id, us FROM elig JOIN emitted USING (wallet, pool, us)", STREAM_COOLDOWN, recursive=True))
 def stm5_cooldown_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large events of a wallet and pool, at most one a day, from state."""
-    path = _scratch(jobs.with_state_store(spark))
+    path = _scratch(spark)
     stream = event_stream(spark, sf_dir, path).where("usd >= 60")
     return jobs.run_once(jobs.cooldown(stream, ("wallet", "pool"), 86_400_000_000, ["event_id", "us"]), f"{path}/out", f"{path}/checkpoint")
 
@@ -65,7 +66,7 @@ def _score_sql() -> str:
 @query(_score_sql())
 def stm3_scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores from the baseline in state equal those of the batch job."""
-    path = _scratch(jobs.with_state_store(spark))
+    path = _scratch(spark)
     scored = jobs.score(event_stream(spark, sf_dir, path).select("chain", "pool", "type", "event_id", "us", "usd"))
     rows = jobs.run_once(scored, f"{path}/out", f"{path}/checkpoint")
     return rows.select("event_id", F.round(F.when(~F.isnan("z"), F.col("z")), 6).alias("z"))
@@ -81,24 +82,48 @@ def src7_stm1_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read("all").unionByName(read("large")).groupBy("sink").agg(F.count("*").alias("n"), F.round(F.sum("usd"), 2).alias("usd"))
 
 
-GROUP_ALERTS = """windows AS (
-    SELECT a.event_id, a.chain, a.pool, a.type, a.us, count(DISTINCT b.wallet) AS n_wallets, sum(b.usd) AS window_usd FROM ev a
-    JOIN ev b ON a.chain = b.chain AND a.pool = b.pool AND a.type = b.type AND b.us BETWEEN a.us - 1800000000 AND a.us GROUP BY ALL
-), passing AS (SELECT * FROM windows WHERE n_wallets BETWEEN 2 AND 15 AND window_usd >= 100),
-emitted AS (
-    SELECT chain, pool, type, min(us) AS us FROM passing GROUP BY ALL
-    UNION ALL SELECT e.chain, e.pool, e.type, min(n.us) FROM emitted e JOIN passing n ON n.chain = e.chain AND n.pool = e.pool AND n.type = e.type AND n.us >= e.us + 1800000000 GROUP BY e.chain, e.pool, e.type, e.us)"""
+def _group_sql() -> str:
+    from .detection import GROUP_EMITTED
 
+    return tables.with_ctes("ev", "SELECT g.event_id, len(g.wallets) AS n_wallets, round(g.window_usd, 4) AS window_usd FROM groups g JOIN emitted e USING (chain, pool, type, us)", GROUP_EMITTED, recursive=True)
 
-@query(tables.with_ctes("ev", "SELECT p.event_id, p.n_wallets, round(p.window_usd, 4) AS window_usd FROM passing p JOIN emitted e USING (chain, pool, type, us)", GROUP_ALERTS, recursive=True))
+
+@query(_group_sql())
 def stm4_wallet_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts of wallets that act together, from state."""
-    path = _scratch(jobs.with_state_store(spark))
+    """Alerts of wallets that act together, from state; the gates and results of the batch job."""
+    path = _scratch(spark)
     stream = event_stream(spark, sf_dir, path).select("chain", "pool", "type", "event_id", "us", "wallet", "usd")
-    rows = jobs.run_once(jobs.wallet_alerts(stream, min_usd=100.0), f"{path}/out", f"{path}/checkpoint")
+    rows = jobs.run_once(jobs.wallet_alerts(stream, min_usd=250.0, limit=0.5), f"{path}/out", f"{path}/checkpoint")
     return rows.withColumn("window_usd", F.round("window_usd", 4))
 
 
+@query(
+    tables.with_ctes(
+        "ev",
+        "SELECT e.event_id, e.us // 3600000000 < o.hour AS late FROM ev e LEFT JOIN opened o USING (chain, pool, type) WHERE e.event_id % 10 = 0 UNION ALL SELECT event_id, false FROM ev WHERE event_id % 10 <> 0",
+        "opened AS (SELECT chain, pool, type, max(us // 3600000000) AS hour FROM ev WHERE event_id % 10 <> 0 GROUP BY ALL)",
+    )
+)
+def stm7_stm10_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the events arrives after the rest, when the stream is started again from its checkpoint."""
+    path = _scratch(spark)
+    ev = tables.events(spark, sf_dir)
+    for part in ("event_id % 10 <> 0", "event_id % 10 = 0"):
+        ev.where(part).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(ev.schema).parquet(f"{path}/in").select("chain", "pool", "type", "event_id", "us", "usd")
+        rows = jobs.run_once(jobs.score(stream), f"{path}/out", f"{path}/checkpoint")
+    return rows.select("event_id", "late")
+
+
+@query(tables.with_ctes("pay", "SELECT chain, '0x' || payment_id AS tx_hash, round(amount, 4) AS amount, block_number, us FROM pay"))
+def src10_persisted_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments appended to their table by chain and read with its schema."""
+    path = f"{_scratch(spark)}/payments"
+    pay = tables.payments(spark, sf_dir).select("chain", F.concat(F.lit("0x"), "payment_id").alias("tx_hash"), F.lit(0).alias("log_index"), "from_address", "amount", "block_number", F.timestamp_micros("us").alias("ts"))
+    io.append_table(pay, path, schemas.PAYMENTS, "chain")
+    return io.read_table(spark, path, schemas.PAYMENTS).select("chain", "tx_hash", F.round("amount", 4).alias("amount"), "block_number", F.unix_micros("ts").alias("us"))
+
+
 BURSTS = """gaps AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY chain, pool ORDER BY us) < 1800000000 THEN 0 ELSE 1 END AS starts FROM ev),
 sessions AS (SELECT *, sum(starts) OVER (PARTITION BY chain, pool ORDER BY us) AS session FROM gaps)"""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import schemas
 
@@ -18,11 +19,15 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
     return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts), **options).load()
 
 
-def event_stream(spark: SparkSession, servers: str | None = None, topic: str | None = None, path: str | None = None, files_per_batch: int = 100) -> DataFrame:
-    """The event queue as a stream of text values: a Kafka topic, or a folder of JSON lines."""
+def event_stream(spark: SparkSession, servers: str | None = None, topic: str | None = None, path: str | None = None, files_per_batch: int = 100, offsets_per_batch: int = 1_000_000) -> DataFrame:
+    """The event queue as a stream of text values: a Kafka topic, or a folder of JSON lines.
+
+    A batch takes so many files or offsets at most, so that a backlog is worked off in
+    steps, each of which is committed before the next.
+    """
     if path is not None:
         return spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).load(path)
-    return spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topic}).load().select(F.col("value").cast("string").alias("value"))
+    return spark.readStream.format("kafka").options(**{"kafka.bootstrap.servers": servers, "subscribe": topic, "maxOffsetsPerTrigger": str(offsets_per_batch)}).load().select(F.col("value").cast("string").alias("value"))
 
 
 def parse_signals(values: DataFrame, column: str = "value", default_chain: str = "mantle") -> DataFrame:
@@ -47,6 +52,12 @@ def parse_signals(values: DataFrame, column: str = "value", default_chain: str =
     )
 
 
+def append_table(rows: DataFrame, path: str, schema: str, *by: str) -> None:
+    """Append ``rows`` to a stored table as its schema has them, in folders of the columns ``by``."""
+    wanted = StructType.fromDDL(schema)
+    rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted]).write.mode("append").partitionBy(*by).parquet(path)
+
+
 def persist_signals(signals: DataFrame, path: str) -> None:
     """Append signals to their table, by chain."""
     signals.write.mode("append").partitionBy("chain").parquet(path)

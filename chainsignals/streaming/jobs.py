@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +17,16 @@ from ..operators.baseline import KEY
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def with_state_store(spark: SparkSession) -> SparkSession:
-    """State on local disk with changelogs in the checkpoint, as ``transformWithState`` needs."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return spark
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """State on local disk with changelogs in the checkpoint, as ``transformWithState`` needs, for queries started inside."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def hourly_volume(events: DataFrame, key: tuple[str, ...] = KEY, late: str = "2 hours") -> DataFrame:
@@ -64,96 +73,119 @@ class Cooldown(StatefulProcessor):
 class RollingBaseline(StatefulProcessor):
     """z-scores against the completed hours of a key, from at most ``hours`` sums in state.
 
-    Rows of an hour earlier than the open one are scored against what is complete, and
-    their volume is left out: late rows do not reopen an hour.
+    Rows of an hour earlier than the open one are marked late: they are scored against what
+    is complete and their volume is left out, so an hour is never reopened.  The state is
+    one value, read and written once for a key and batch; rows are scored hour by hour.
     """
 
+    STATE = "first long, hour long, volume double, hours array<long>, volumes array<double>"
+
     def __init__(self, hours: int = 336, min_hours: int = 24):
         self.hours, self.min_hours = hours, min_hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getMapState("sums", "hour long", "volume double")
-        self.open = handle.getValueState("open", "first long, hour long, volume double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, hour, volume = self.open.get() if self.open.exists() else (None, None, 0.0)
-        done = {k[0]: v[0] for k, v in self.sums.iterator()} if self.sums.exists() else {}
+        self.baseline = handle.getValueState("baseline", self.STATE)
+
+    def scored(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        """The batch's rows of the key by time, with mean, std and late; moves the state on."""
+        frame = pd.concat(list(rows)).sort_values("us", kind="stable")
+        first, hour, volume, hours, volumes = self.baseline.get() if self.baseline.exists() else (None, None, 0.0, [], [])
+        done = dict(zip(hours, volumes, strict=True))
+        of = frame["us"].to_numpy() // 3_600_000_000
+        usd = frame["usd"].to_numpy(float)
+        mean, std, late = np.zeros(len(of)), np.full(len(of), np.nan), np.zeros(len(of), bool)
+        starts = np.flatnonzero(np.diff(of, prepend=of[0] - 1))
         stats = None
-        frames = [f for f in rows]
-        frame = pd.concat(frames).sort_values("us", kind="stable")
-        out = []
-        for row in frame.itertuples():
-            now = int(row.us // 3_600_000_000)
+        for a, b in zip(starts, [*starts[1:], len(of)], strict=True):
+            now = int(of[a])
             if hour is None:
                 first = hour = now
             if now > hour:
                 done[hour] = volume
-                self.sums.updateValue((hour,), (volume,))
+                done = {h: v for h, v in done.items() if h >= now - self.hours}
                 hour, volume, stats = now, 0.0, None
-                for old in [h for h in done if h < now - self.hours]:
-                    del done[old]
-                    self.sums.removeKey((old,))
             if stats is None:
                 stats = self._stats(done, first, hour)
             if now == hour:
-                volume += row.usd
-            mean, std = stats
-            out.append((row.event_id, (row.usd - mean) / std if std else None))
-        self.open.update((first, hour, float(volume)))
-        yield pd.DataFrame(out, columns=["event_id", "z"]).astype({"event_id": "int64", "z": "float64"})
+                volume += float(usd[a:b].sum())
+            mean[a:b], std[a:b], late[a:b] = *stats, now < hour
+        self.baseline.update((int(first), int(hour), float(volume), [int(h) for h in done], [float(v) for v in done.values()]))
+        return frame.assign(mean=mean, std=std, late=late)
 
-    def _stats(self, done: dict[int, float], first: int, hour: int) -> tuple[float, float | None]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = self.scored(rows)
+        z = (frame["usd"] - frame["mean"]) / frame["std"]
+        yield pd.DataFrame({"event_id": frame["event_id"], "z": z, "late": frame["late"]})
+
+    def _stats(self, done: dict[int, float], first: int, hour: int) -> tuple[float, float]:
         n = min(self.hours, hour - first)
         if n < self.min_hours:
-            return 0.0, None
-        values = [v for h, v in done.items() if h >= hour - self.hours]
-        mean = sum(values) / n
-        var = (sum((v - mean) ** 2 for v in values) + (n - len(values)) * mean * mean) / n
-        level = len(values) == n and len(set(values)) == 1
-        return mean, None if level or var <= 0 else var**0.5
+            return 0.0, np.nan
+        values = np.array([v for h, v in done.items() if h >= hour - self.hours])
+        mean = values.sum() / n
+        var = (((values - mean) ** 2).sum() + (n - len(values)) * mean * mean) / n
+        level = len(values) == n and (values == values[0]).all()
+        return mean, np.nan if level or var <= 0 else var**0.5
 
     def close(self) -> None:
         pass
 
 
-class WalletWindows(StatefulProcessor):
-    """Alerts of wallets that act together, from the last window of a key's events in state.
+class WalletWindows(RollingBaseline):
+    """Alerts of wallets that act together, from the baseline and the last window of a key's events in state.
 
-    An event is alerted when its window holds 2 to ``max_wallets`` wallets and ``min_usd``,
-    unless the key alerted within the cooldown.  State holds at most ``cap`` events.
+    An event that can be scored is alerted when its window holds 2 to ``max_wallets``
+    wallets and ``min_usd``, and this sum's z-score reaches ``limit``, unless the key
+    alerted within the cooldown or the same wallets did within the window.  State holds at
+    most ``cap`` events and the wallet sets of one window.
     """
 
-    def __init__(self, window_us: int, min_usd: float, max_wallets: int, cap: int):
-        self.window_us, self.min_usd, self.max_wallets, self.cap = window_us, min_usd, max_wallets, cap
+    def __init__(self, window_us: int, min_usd: float, max_wallets: int, cap: int, limit: float):
+        super().__init__()
+        self.window_us, self.min_usd, self.max_wallets, self.cap, self.limit = window_us, min_usd, max_wallets, cap, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.recent = handle.getListState("recent", "us long, wallet string, usd double")
-        self.last = handle.getValueState("last", "us long")
+        self.alerts = handle.getListState("alerts", "us long, wallets string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
-        last = self.last.get()[0] if self.last.exists() else None
+        frame = self.scored(rows)
+        frame = frame[frame["std"].notna()]
+        window = deque(tuple(r) for r in self.recent.get()) if self.recent.exists() else deque()
+        alerts = [tuple(r) for r in self.alerts.get()] if self.alerts.exists() else []
+        inside = Counter(x[1] for x in window)
         out = []
-        for row in pd.concat(list(rows)).sort_values("us", kind="stable").itertuples():
-            seen.append((int(row.us), row.wallet, float(row.usd)))
-            seen = [x for x in seen if x[0] >= row.us - self.window_us][-self.cap :]
-            wallets, usd = {x[1] for x in seen}, sum(x[2] for x in seen)
-            if 2 <= len(wallets) <= self.max_wallets and usd >= self.min_usd and (last is None or row.us - last >= self.window_us):
-                last = int(row.us)
-                out.append((row.event_id, len(wallets), usd))
-        self.recent.put(seen)
-        if last is not None:
-            self.last.update((last,))
+        for event_id, us, wallet, usd, mean, std in zip(*(frame[c].tolist() for c in ("event_id", "us", "wallet", "usd", "mean", "std")), strict=True):
+            window.append((us, wallet, usd))
+            inside[wallet] += 1
+            while window[0][0] < us - self.window_us or len(window) > self.cap:
+                gone = window.popleft()[1]
+                inside[gone] -= 1
+                if not inside[gone]:
+                    del inside[gone]
+            if not 2 <= len(inside) <= self.max_wallets:
+                continue
+            total = sum(x[2] for x in window)
+            if total < self.min_usd or (total - mean) / std < self.limit or (alerts and us - alerts[-1][0] < self.window_us):
+                continue
+            signature = ",".join(sorted(inside))
+            alerts = [x for x in alerts if x[0] >= us - self.window_us]
+            if signature not in (x[1] for x in alerts):
+                alerts.append((us, signature))
+                out.append((event_id, len(inside), total))
+        if window:
+            self.recent.put(list(window))
+        if alerts:
+            self.alerts.put(alerts)
         if out:
             yield pd.DataFrame(out, columns=["event_id", "n_wallets", "window_usd"])
 
-    def close(self) -> None:
-        pass
-
 
-def wallet_alerts(rows: DataFrame, key: tuple[str, ...] = KEY, window_us: int = 1_800_000_000, min_usd: float = 100_000.0, max_wallets: int = 15, cap: int = 500) -> DataFrame:
-    """Streaming multi-wallet alerts on volume; the z gate is the batch job's."""
-    processor = WalletWindows(window_us, min_usd, max_wallets, cap)
+def wallet_alerts(rows: DataFrame, key: tuple[str, ...] = KEY, window_us: int = 1_800_000_000, min_usd: float = 100_000.0, max_wallets: int = 15, cap: int = 500, limit: float = 2.5, excluded: tuple[str, ...] = ("transfer",)) -> DataFrame:
+    """Streaming multi-wallet alerts with all gates of the batch job; ``rows`` has the key, event_id, us, wallet and usd."""
+    processor = WalletWindows(window_us, min_usd, max_wallets, cap, limit)
+    rows = rows.where(~F.col("type").isin(*excluded)) if excluded else rows
     return rows.groupBy(*key).transformWithStateInPandas(processor, "event_id long, n_wallets long, window_usd double", "Append", "None")
 
 
@@ -174,8 +206,8 @@ def cooldown(rows: DataFrame, key: tuple[str, ...], cooldown_us: int, columns: l
 
 
 def score(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
-    """(event_id, z) of a stream of events, with the baseline in state."""
-    return rows.groupBy(*key).transformWithStateInPandas(RollingBaseline(), "event_id long, z double", "Append", "None")
+    """(event_id, z, late) of a stream of events, with the baseline in state; late rows are those of an hour before the open one."""
+    return rows.groupBy(*key).transformWithStateInPandas(RollingBaseline(), "event_id long, z double, late boolean", "Append", "None")
 
 
 def fan_out(rows: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], root: str, checkpoint: str, **trigger: object):
@@ -191,6 +223,11 @@ def fan_out(rows: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]],
 
 
 def run_once(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over all that is there, into Parquet, and read the result."""
-    rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    """Drive a stream over all that is there, into Parquet, and read the result.
+
+    Run again with the same checkpoint it goes on where it stopped: a batch counts once
+    its files are in the sink's log, and a repeated one replaces what it left.
+    """
+    with rocksdb_state(rows.sparkSession):
+        rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
