@@ -12,15 +12,21 @@ def parse_reply(raw: Column) -> Column:
     """A classifier's reply as struct<summary, confidence, signal_type, key_factors>, or null.
 
     Code fences are stripped.  A reply needs a JSON object with a summary and, if it has
-    a confidence, a number in it; confidence is cut to 0-100, unknown types become
-    unusual_volume, and at most five factors stay.
+    a confidence, something that counts as a whole number: a number (cut to its integer
+    part), a boolean (0 or 1) or a text of digits with a sign at most.  A null, a list, an object and
+    texts such as "1e2" or "8.5" make the reply invalid; a missing confidence is 0.
+    Confidence is cut to 0-100, unknown types become unusual_volume, and at most five
+    factors stay.
     """
     body = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
     get = lambda name: F.get_json_object(body, f"$.{name}")
     parsed = F.from_json(body, "map<string,string>")
     summary = F.trim(get("summary"))
-    given = get("confidence")
-    number = F.when(given.isNull(), 0).otherwise(F.regexp_extract(given, r"^\s*(-?\d+)(\.\d+)?\s*$", 1).try_cast("int"))
+    given = F.try_variant_get(F.try_parse_json(body), "$.confidence", "variant")
+    what = F.schema_of_variant(given)
+    digits = F.regexp_extract(F.try_variant_get(given, "$", "string"), r"^\s*([+-]?\d+)\s*$", 1).try_cast("double")
+    value = F.when(what == "STRING", digits).when(what == "BOOLEAN", F.try_variant_get(given, "$", "boolean").cast("double")).otherwise(F.try_variant_get(given, "$", "double"))
+    number = F.when(given.isNull(), F.lit(0)).when(value.isNotNull() & ~what.startswith("ARRAY") & ~what.startswith("OBJECT"), F.least(F.greatest(value, F.lit(-1.0)), F.lit(101.0)).cast("int"))
     kind = F.lower(F.trim(get("signal_type")))
     factors = F.filter(F.transform(F.from_json(get("key_factors"), "array<string>"), F.trim), lambda f: f.isNotNull() & (f != ""))
     single = F.when(get("key_factors").isNotNull() & ~get("key_factors").startswith("["), F.array(get("key_factors")))

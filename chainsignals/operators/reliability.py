@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MINUTE_US = 60_000_000
-#: Minutes until the next try after the n-th failure.
+#: Minutes until the next try after the n-th failure (fixed values).
 BACKOFF = (1, 2, 4, 8, 16)
 
 
@@ -18,8 +18,24 @@ def failure_streaks(rows: DataFrame, key: tuple[str, ...], ok: str = "ok", order
     return island.withColumn("streak", F.sum((~F.col(ok)).cast("int")).over(inside)).withColumnRenamed("_island", "island")
 
 
+def finished_deliveries(attempts: DataFrame, max_attempts: int = 5, order: tuple[str, ...] = ("us",)) -> DataFrame:
+    """One row for each delivery that is over, by its last attempt: webhook_id, signal_id, ok, attempts, and the order columns.
+
+    A delivery ends with its first success, or exhausted by its ``max_attempts``-th failure;
+    what is still to be retried is not over, and attempts after the end don't count.
+    """
+    delivery = ["webhook_id", "signal_id"]
+    nth = attempts.withColumn("attempts", F.row_number().over(Window.partitionBy(*delivery).orderBy(*order)))
+    ends = nth.where(F.col("ok") | (F.col("attempts") == max_attempts)).where(F.col("attempts") <= max_attempts)
+    last = ends.groupBy(*delivery).agg(F.min_by(F.struct("ok", "attempts", *order), "attempts").alias("end"))
+    return last.select(*delivery, "end.*")
+
+
 def disabled_at(rows: DataFrame, key: tuple[str, ...], limit: int = 10, ok: str = "ok", order: tuple[str, ...] = ("us",)) -> DataFrame:
-    """The first time at which a key's streak reaches ``limit``."""
+    """The first time at which a key's streak reaches ``limit``.
+
+    For webhooks ``rows`` are ``finished_deliveries``: a failure that a retry mends ends no streak and adds to none.
+    """
     return failure_streaks(rows, key, ok, order).where(F.col("streak") == limit).groupBy(*key).agg(F.min("us").alias("disabled_us"))
 
 

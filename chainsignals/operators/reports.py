@@ -79,3 +79,8 @@ def ready_for_delivery(signals: DataFrame, now_us: int) -> DataFrame:
 
 def queue_depth(signals: DataFrame, now_us: int) -> DataFrame:
     return signals.agg(F.count("*").alias("depth"), F.count_if(F.col("deliver_us") > now_us).alias("pending"), F.count_if(F.col("deliver_us") <= now_us).alias("ready"))
+
+
+def state_counts(rows: DataFrame, state: Column, *states: str) -> DataFrame:
+    """One row: how many rows are in each state, and in all."""
+    return rows.agg(*[F.count_if(state == s).alias(s) for s in states], F.count("*").alias("total"))

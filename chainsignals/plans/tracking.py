@@ -92,6 +92,16 @@ def agg4_jn7_track_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.track_report(outcome_rows(spark, sf_dir))
 
 
+#: The overall row is that of all horizons.
+DAY_REPORT = f"""SELECT * FROM ({REPORT.replace("status = 'completed'", "status = 'completed' AND horizon = '24h'")}) WHERE dimension <> 'total' UNION ALL SELECT * FROM ({REPORT}) WHERE dimension = 'total'"""
+
+
+@query(tables.with_ctes("sig ticks", DAY_REPORT, OUT))
+def agg4_horizon_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of one horizon."""
+    return outcomes.track_report(outcome_rows(spark, sf_dir), horizon="24h")
+
+
 @query(
     tables.with_ctes(
         "sig ticks",
@@ -141,13 +151,8 @@ def agg9_win6_protocol_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(tables.with_ctes("sig", "SELECT chain, signals, round(100 * signals / sum(signals) OVER (), 1) AS pct FROM (SELECT chain, count(*) AS signals FROM sig GROUP BY chain)"))
 def agg10_set1_chain_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union of a log per chain, then shares."""
-    sig = tables.signals(spark, sf_dir)
-    per_chain = [sig.where(F.col("chain") == c).select("chain", "id") for c in dims.CHAINS]
-    merged = per_chain[0]
-    for part in per_chain[1:]:
-        merged = merged.unionByName(part)
-    return reports.shares(merged, F.col("chain"), "chain")
+    """Shares of the chains in their merged log, which is one table with a chain column."""
+    return reports.shares(tables.signals(spark, sf_dir), F.col("chain"), "chain")
 
 
 @query(tables.with_ctes("exe", "SELECT action_type, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS executed, count(*) FILTER (WHERE status <> 'success') AS aborted, round(100 * count(*) FILTER (WHERE status = 'success') / count(*), 1) AS success_pct FROM exe GROUP BY action_type"))
@@ -179,7 +184,8 @@ def agg13_audit_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(tables.with_ctes("sig", "SELECT count(*) FILTER (WHERE confidence >= 50) AS enriched, count(*) FILTER (WHERE confidence BETWEEN 5 AND 49) AS discarded, count(*) FILTER (WHERE confidence < 5) AS errors, count(*) AS total FROM sig"))
 def agg16_enrichment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("confidence")
-    return tables.signals(spark, sf_dir).agg(F.count_if(c >= 50).alias("enriched"), F.count_if(c.between(5, 49)).alias("discarded"), F.count_if(c < 5).alias("errors"), F.count("*").alias("total"))
+    state = F.when(c >= 50, "enriched").when(c >= 5, "discarded").otherwise("errors")
+    return reports.state_counts(tables.signals(spark, sf_dir), state, "enriched", "discarded", "errors")
 
 
 @query(tables.with_ctes("sig", "SELECT id, detected_us + 300000000 AS deliver_us FROM sig WHERE confidence >= 50"))

@@ -19,7 +19,7 @@ TOPICS = {
 }
 KIND_TOPIC = {kind: topic for topic, kind in TOPICS.items()}
 KIND_TYPE = {"agni_swap": "swap", "v3_swap": "swap", "lb_swap": "swap", "gmx_swap": "swap", "mint": "mint", "burn": "burn", "gmx_increase": "open_position", "gmx_decrease": "close_position", "transfer": "transfer"}
-#: Words of 32 bytes that a log of a kind must have.
+#: Words of 32 bytes that a log of a kind must have (fixed values).
 KIND_WORDS = {"agni_swap": 7, "v3_swap": 5, "mint": 4, "burn": 3, "lb_swap": 6, "gmx_swap": 7, "gmx_increase": 9, "gmx_decrease": 9, "transfer": 1}
 #: Contracts that trade for others (fixed values, lower case).
 PROXIES = (
@@ -31,16 +31,19 @@ PROXIES = (
     "0x5e325eda8064b456f4781070c0738d849c824258",
     "0xa51afafe0263b40edaef0df8781ea9aa03e381a3",
 )
+#: Chains, their price keys, explorers and proper names, and those of protocols (fixed values).
 CHAINS = ("mantle", "arbitrum", "hashkey", "ethereum")
 CHAIN_ASSET = {"mantle": "mnt", "arbitrum": "eth"}
 EXPLORERS = {"mantle": "https://explorer.mantle.xyz", "arbitrum": "https://arbiscan.io", "hashkey": "https://hsk.blockscout.com", "ethereum": "https://etherscan.io"}
 CHAIN_NAMES = {"mantle": "Mantle", "arbitrum": "Arbitrum", "hashkey": "HashKey Chain", "ethereum": "Ethereum"}
 PROTOCOL_NAMES = {"agni_finance": "Agni Finance", "merchant_moe": "Merchant Moe", "fluxion": "Fluxion", "uniswap_v3": "Uniswap V3", "trader_joe": "Trader Joe", "gmx": "GMX"}
-SIGNAL_LABELS = {"accumulation": "Accumulation", "distribution": "Distribution", "whale_entry": "Whale Entry", "whale_exit": "Whale Exit", "unusual_volume": "Unusual Volume", "liquidity_added": "Liquidity Added", "liquidity_removed": "Liquidity Removed"}
-SIGNAL_EMOJIS = {"accumulation": "📈", "distribution": "📉", "whale_entry": "🐋", "whale_exit": "🚨", "unusual_volume": "⚡", "liquidity_added": "💧", "liquidity_removed": "🔻"}
-SIGNAL_TYPES = tuple(SIGNAL_LABELS)
+#: Kinds of signal (fixed values).
+SIGNAL_TYPES = ("accumulation", "distribution", "whale_entry", "whale_exit", "unusual_volume", "liquidity_added", "liquidity_removed")
+SIGNAL_LABELS = {kind: kind.replace("_", " ").title() for kind in SIGNAL_TYPES}
+SIGNAL_EMOJIS = dict(zip(SIGNAL_TYPES, "🧺📤🐳🏃📊➕➖", strict=True))
+OTHER_EMOJI = "❔"
 UP_TYPES, DOWN_TYPES = ("accumulation", "whale_entry"), ("distribution", "whale_exit")
-#: Horizons of an outcome, in hours.
+#: Horizons of an outcome, in hours (fixed values).
 HORIZONS = {"1h": 1, "4h": 4, "24h": 24, "7d": 168}
 
 

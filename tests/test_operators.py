@@ -4,9 +4,12 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chainsignals.functions import keccak, payloads, texts, words
 from chainsignals.operators import baseline, billing, classify, greedy, matching, multiwallet, outcomes, prices, reliability
+from chainsignals.sources import io
+from chainsignals.streaming import jobs
 
 MINUTE, HOUR = 60_000_000, 3_600_000_000
 T0 = 472_000 * HOUR
@@ -98,7 +101,7 @@ def test_exact_windows_with_cap_and_ties(spark):
 
 def test_anchor_clusters(spark):
     rows = [("p", "swap", "a", 0, 10.0, 3.0), ("p", "swap", "b", 5 * MINUTE, 10.0, 5.0), ("p", "swap", "c", 6 * MINUTE, 10.0, 3.0), ("q", "mint", "d", 100 * MINUTE, 50.0, 4.5), ("q", "mint", "b", 200 * MINUTE, 50.0, 4.5)]
-    found = greedy.anchor_clusters(spark.createDataFrame(rows, "pool string, type string, wallet string, us long, usd double, z double")).collect()
+    found = greedy.anchor_clusters(spark.createDataFrame(rows, "pool string, type string, wallet string, us long, usd double, z double"), ("pool", "type"), order=("us",)).collect()
     assert sorted(r.wallets for r in found) == [["a", "b", "c"], ["d"]]
 
 
@@ -145,6 +148,13 @@ REPLIES = [
     ('```json\n{"summary": "s", "confidence": -5, "signal_type": "x"}\n```', ("s", 0, "unusual_volume", ["Unusual on-chain activity detected"])),
     ('{"summary": " ", "confidence": 5}', None),
     ('{"summary": "s", "confidence": "n/a"}', None),
+    ('{"summary": "s", "confidence": null}', None),
+    ('{"summary": "s", "confidence": "1e2"}', None),
+    ('{"summary": "s", "confidence": {"a": 1}}', None),
+    ('{"summary": "s", "confidence": false}', ("s", 0, "unusual_volume", ["Unusual on-chain activity detected"])),
+    ('{"summary": "s", "confidence": -3.7e0}', ("s", 0, "unusual_volume", ["Unusual on-chain activity detected"])),
+    ('{"summary": "s", "confidence": " +12 "}', ("s", 12, "unusual_volume", ["Unusual on-chain activity detected"])),
+    ('{"summary": "s", "confidence": 1e300}', ("s", 100, "unusual_volume", ["Unusual on-chain activity detected"])),
     ("not json", None),
     ("", None),
     (None, None),
@@ -161,7 +171,7 @@ def test_texts(spark):
     row = spark.range(1).select(texts.format_usd(F.lit(1_250_000.0)).alias("a"), texts.format_usd(F.lit(999.6)).alias("b"), texts.confidence_bar(F.lit(82)).alias("c"), texts.wallet_list(F.array(*[F.lit("0x" + str(i) * 20) for i in range(7)])).alias("d")).first()
     assert (row.a, row.b) in {("$1.2M", "$1000"), ("$1.3M", "$1000")}
     assert row.c == "🟢 ████████░░ 82%"
-    assert row.d.count("\n") == 5 and row.d.endswith("... and 2 more")
+    assert row.d.count("\n") == 5 and row.d.endswith("\nand 2 more")
 
 
 def test_guards_in_order(spark):
@@ -189,3 +199,100 @@ def test_tiers_and_streaks(spark):
 def test_hits(spark):
     rows = spark.createDataFrame([("accumulation", 1.0), ("whale_exit", 1.0), ("unusual_volume", 1.0), ("accumulation", None)], "signal_type string, pct_change double")
     assert [r.h for r in rows.select(classify.is_hit().alias("h")).collect()] == [True, False, None, None]
+
+
+def anchor_model(rows, window, least):
+    """Clusters of one key's (us, wallet) by looking at every anchor's window anew."""
+    rows, known, out = sorted(rows), set(), []
+    for i, (us, _) in enumerate(rows):
+        part = [r for r in rows[i:] if r[0] <= us + window]
+        new = {w for _, w in part} - known
+        if len(new) >= least:
+            known |= new
+            out.append((us, part[-1][0], len(part), tuple(sorted(new))))
+    return out
+
+
+def test_anchor_clusters_by_model(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("pq"), rng.randrange(4000), f"w{rng.randrange(25)}") for _ in range(400)]
+    df = spark.createDataFrame([(p, "swap", w, us, 1.0, 3.0) for p, us, w in rows], "pool string, type string, wallet string, us long, usd double, z double")
+    found = greedy.anchor_clusters(df, ("pool", "type"), 60, 2, order=("us", "wallet")).collect()
+    want = [x for p in "pq" for x in anchor_model([(us, w) for k, us, w in rows if k == p], 60, 2)]
+    assert sorted((r.first_us, r.last_us, r.event_count, tuple(r.wallets)) for r in found) == sorted(want)
+
+
+def test_rules_meet_signals_by_keys(spark):
+    """Broadcast or shuffled, with every kind of filter, and without cartesian products."""
+    sig = spark.createDataFrame([(1, "c", "t", "p", 70), (2, None, "t", "q", 70), (3, "d", None, "p", 10)], "id long, chain string, signal_type string, protocol string, confidence int")
+    subs = spark.createDataFrame([(i, "x", False, None, 50, *f) for i, f in enumerate([(None, [], None), (["c", "c", "e"], None, None), (["mantle"], ["t"], ["q", "r"]), (["d"], None, ["p"])])], "sub_id int, channel string, is_pro boolean, pro_expires_at timestamp, min_confidence int, chains array<string>, signal_types array<string>, protocols array<string>")
+    hooks = spark.createDataFrame([(1, True, ("c", None, None)), (2, True, (None, "t", 60)), (3, True, (None, None, None)), (4, False, (None, None, None))], "webhook_id int, active boolean, filters struct<chain:string,signal_type:string,min_confidence:int>")
+    few = matching.BROADCAST_RULES
+    try:
+        for limit in (few, -1):
+            matching.BROADCAST_RULES = limit
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m" if limit == few else "-1")
+            found = matching.match_subscriptions(sig, subs)
+            assert sorted((r.id, r.sub_id) for r in found.collect()) == [(1, 0), (1, 1), (2, 0), (2, 2)]
+            pairs = matching.match_webhooks(sig, hooks)
+            assert sorted(map(tuple, pairs.collect())) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3)]
+            for df in (found, pairs):
+                assert "Cartesian" not in df._jdf.queryExecution().toString() and "NestedLoop" not in df._jdf.queryExecution().toString()
+    finally:
+        matching.BROADCAST_RULES = few
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+
+
+def test_deliveries_that_are_over(spark):
+    """A failure that a retry mends is none; what is still retried is not over."""
+    tries = [(1, 1, 0, False), (1, 1, 1, True), (1, 2, 2, False), (1, 2, 3, False), (1, 3, 4, False), (1, 4, 5, False), (1, 4, 6, False), (1, 4, 7, True)]
+    rows = spark.createDataFrame(tries, "webhook_id long, signal_id long, us long, ok boolean")
+    over = reliability.finished_deliveries(rows, 2)
+    assert sorted((r.signal_id, r.us, r.ok) for r in over.collect()) == [(1, 1, True), (2, 3, False), (4, 6, False)]
+    assert [r.disabled_us for r in reliability.disabled_at(over, ("webhook_id",), 2).collect()] == [6]
+
+
+def test_every_table_makes_the_round_trip(spark, tmp_path):
+    for name, schema in io.TABLES.items():
+        rows = spark.createDataFrame([tuple(None for _ in StructType.fromDDL(schema))], schema)
+        io.append_table(rows, f"{tmp_path}/{name}", schema)
+        io.append_table(rows, f"{tmp_path}/{name}", schema)
+        back = io.read_table(spark, f"{tmp_path}/{name}", schema)
+        assert back.schema == rows.schema and back.count() == 2
+
+
+def test_jdbc_table_by_ranges(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.range(1, 101).selectExpr("id", "id * 1.5 as amount").write.jdbc(url, "payments", properties={"driver": driver})
+    back = io.read_jdbc(spark, url, "payments", "id", 1, 101, 4, driver=driver)
+    assert back.rdd.getNumPartitions() == 4 and back.agg(F.sum("id")).first()[0] == 5050
+
+
+def test_stream_goes_on_after_a_failed_batch(spark, tmp_path):
+    """A batch whose sink fails half-way is repeated after a restart and counts once."""
+    for part in range(3):
+        spark.range(part * 10, part * 10 + 10).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    calls = []
+
+    def fails_once(batch):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("the sink is down")
+        return batch
+
+    sinks = {"first": lambda b: b, "second": fails_once}
+    with pytest.raises(Exception, match="the sink is down"):
+        jobs.fan_out(source(), sinks, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/out/first").count() == 20 and spark.read.parquet(f"{tmp_path}/out/second").count() == 10
+    jobs.fan_out(source(), sinks, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    for name in sinks:
+        assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out/{name}").collect()) == list(range(30))
+
+
+def test_streams_leave_the_session_as_it_was(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    with jobs.rocksdb_state(spark):
+        assert spark.conf.get(name) == jobs.ROCKSDB
+    assert spark.conf.get(name) == before
