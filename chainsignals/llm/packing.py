@@ -8,36 +8,50 @@ then find their places by their rank among the pieces of their length, counted b
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .tokenize import END_ID, encoder
 
-PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids binary"
+#: ``row`` numbers the pieces of a task, so that equal ones are told apart; once stored it no longer changes.
+PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
+#: Pieces of one length that are ranked together, and parts of all lengths together, about, at most.
+PART_ROWS, MOST_PARTS = 256, 65_536
 
 
-def token_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None) -> DataFrame:
-    """Ids of every whole text with an end id, cut into pieces of ``capacity`` ids only where longer."""
+def token_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Every whole text as ids with an end id, cut into pieces of ``capacity`` ids only where longer.
+
+    Columns are those of ``PIECE_SCHEMA``, and ids (little-endian, 32 bits) on request.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, "<u4")
         end, width = np.array([END_ID], enc.dtype).tobytes(), 4 * capacity
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "row", "ids"][: 6 + with_ids]
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 6 + with_ids]
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
                 rows = []
                 for d, x in zip(part["doc_id"].to_pylist(), enc.encode(part["text"].to_pylist()), strict=True):
                     x += end
-                    rows += [(d, p, p * capacity, len(ids) // 4, ids) for p, ids in enumerate(x[i : i + width] for i in range(0, len(x), width))]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+                    for p, i in enumerate(range(0, len(x), width)):
+                        ids = x[i : i + width]
+                        row += 1
+                        rows.append((d, p, p * capacity, len(ids) // 4, zlib.crc32(ids), row, ids)[: 6 + with_ids])
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text")).mapInArrow(run, PIECE_SCHEMA)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"))
+    return texts.mapInArrow(run, PIECE_SCHEMA + ", ids binary" * with_ids)
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -134,17 +148,18 @@ def _places(groups: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.nda
     return {name: np.array(v, np.int64) for name, v in zip(("length", "rank", "bin", "per_bin", "offset"), zip(*rows, strict=True) if rows else [[]] * 5, strict=True)}
 
 
-def place_pieces(pieces: DataFrame, capacity: int = 4096, hot_rows: int = 4096) -> DataFrame:
-    """``pieces`` with sequence_id and offset added.
+def place_pieces(pieces: DataFrame, capacity: int = 4096, part_rows: int = PART_ROWS) -> DataFrame:
+    """Stored ``pieces`` with sequence_id and offset in place of row.
 
-    A length with many pieces is ranked in several parts by a hash, so no task gets all
-    pieces of a hot length; there are at most capacity + 8192 parts, whatever the data.
+    A length with many pieces is ranked in several parts by a hash of the stored row
+    number, so neither a hot length nor many equal pieces land in one task.  There are at
+    most capacity + ``MOST_PARTS`` parts, whatever the data.
     """
-    names = pieces.columns
+    names = [c for c in pieces.columns if c != "row"]
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    target = max(hot_rows, -(-sum(counts.values()) // 8192))
+    target = max(part_rows, -(-sum(counts.values()) // MOST_PARTS))
     parts = [max(1, -(-counts.get(n, 0) // target)) for n in range(1, capacity + 1)]
-    salt = F.pmod(F.xxhash64(*names), F.element_at(F.lit(parts), F.col("length").cast("int"))).cast("int")
+    salt = F.pmod(F.xxhash64("row"), F.element_at(F.lit(parts), F.col("length").cast("int"))).cast("int")
     dealt = pieces.withColumn("part", salt)
     sizes = sorted((r.length, r.part, r.n) for r in dealt.groupBy("length", "part").agg(F.count("*").alias("n")).collect())
     part_key = np.array([n << 20 | p for n, p, _ in sizes], np.int64)
@@ -166,27 +181,31 @@ def place_pieces(pieces: DataFrame, capacity: int = 4096, hot_rows: int = 4096)
             kept = [batch[c] for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(places["bin"][i] + bins), pa.array(places["offset"][i] + slot * n)], [*names, "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "part").orderBy("doc_id", "piece")
-    schema = ", ".join(f"`{n}` {t}" for n, t in [*pieces.dtypes, ("sequence_id", "long"), ("offset", "long")])
-    return dealt.withColumn("nth", F.row_number().over(order)).mapInArrow(run, schema)
+    order = Window.partitionBy("length", "part").orderBy("row")
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*[x for x in pieces.dtypes if x[0] != "row"], ("sequence_id", "long"), ("offset", "long")])
+    return dealt.withColumn("nth", F.row_number().over(order)).drop("row").mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None) -> DataFrame:
     """Place of every piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is its end id alone; rows that repeat a doc_id are documents of
-    their own; other columns are ignored.
+    A null or empty text is its end id alone; a long text is encoded whole and cut into
+    pieces; rows that repeat a doc_id, null ids too, are documents of their own; an empty
+    table gives no rows.  Only doc_id and text are read, so other columns may have any name.
+    Which of equally long pieces goes where is left to the stored row order.
     """
-    common.small_batches(docs.sparkSession)
-    pieces = common.materialize(token_pieces(docs, capacity, tokenizer), "pieces", **{"parquet.block.size": 16 << 20})
-    light = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return place_pieces(common.materialize(light, "lengths"), capacity)
+    with common.small_batches(docs.sparkSession, 2 << 20):
+        pieces = common.materialize(token_pieces(docs, capacity, tokenizer), "pieces")
+        return place_pieces(pieces, capacity)
 
 
 def packed_sequences(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None) -> DataFrame:
-    """The sequences themselves: sequence_id, ids, and the lengths of the pieces in them."""
-    common.small_batches(docs.sparkSession)
-    pieces = common.materialize(token_pieces(docs, capacity, tokenizer), "pieces", **{"parquet.block.size": 16 << 20})
-    placed = place_pieces(pieces, capacity)
+    """The sequences themselves: sequence_id, ids, and the lengths of the pieces in them.
+
+    Documents are treated as in ``pack_documents``.
+    """
+    with common.small_batches(docs.sparkSession, 2 << 20):
+        pieces = common.materialize(token_pieces(docs, capacity, tokenizer, with_ids=True), "pieces", **{"parquet.block.size": 16 << 20})
+        placed = place_pieces(pieces, capacity)
     inside = F.array_sort(F.collect_list(F.struct("offset", "length", F.hex("ids").alias("ids"))))
     return placed.groupBy("sequence_id").agg(inside.alias("inside")).select("sequence_id", F.unhex(F.array_join(F.transform("inside", lambda x: x.ids), "")).alias("ids"), F.transform("inside", lambda x: x.length).alias("lengths"))

@@ -2,8 +2,9 @@
 
 White space and the vocabulary's splitting rule cut a normalized text into pieces
 (letter runs, single digits, runs of other signs) that are encoded one by one.
-Words and pieces repeat, so each worker keeps two bounded caches, from space-free
-word and from piece to ids, and hands only new pieces to the tokenizers library.
+Words and pieces repeat, so each worker keeps two caches, from space-free word and
+from piece to ids, and hands only new pieces to the tokenizers library.  The caches are
+bounded in bytes, as a worker lives through many tasks beside the executor's JVM.
 A text with any character outside the plain Latin range, or with what may be a
 special token, goes to the library as a whole.
 """
@@ -22,10 +23,38 @@ _PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *(x for x in range(0xC0, 0x100) i
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 
 
+class Generations:
+    """A cache of ids in two dictionaries; when the newer is full it replaces the older.
+
+    What is met again in the older moves to the newer, so frequent keys stay and those
+    met once go.  Both together hold ``max_bytes`` at most, beside one batch of keys.
+    """
+
+    #: Bytes of an entry besides its characters and ids: two object heads and a slot.
+    ENTRY = 170
+
+    def __init__(self, max_bytes: int):
+        self.half, self.size = max_bytes // 2, 0
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Those of ``keys`` that neither dictionary holds; the others are in the newer one after it."""
+        known = {k: v for k in keys if (v := self.old.get(k)) is not None}
+        self.add(known)
+        return keys - known.keys() - self.new.keys()
+
+    def add(self, found: dict[str, bytes]) -> None:
+        if self.size > self.half:
+            self.old, self.new, self.size = self.new, {}, 0
+        self.new.update(found)
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + self.ENTRY * len(found)
+
+
 class PieceEncoder:
     """Encodes whole texts (UTF-8 bytes) to ids as little-endian bytes."""
 
-    def __init__(self, path: str | None = None, dtype: str = "<u4", max_entries: int = 500_000):
+    def __init__(self, path: str | None = None, dtype: str = "<u4", cache_bytes: int = 80 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -38,41 +67,44 @@ class PieceEncoder:
         self.ascii, self.latin = Tokenizer(self.whole.model), Tokenizer(self.whole.model)
         self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.dtype, self.max_entries = np.dtype(dtype), max_entries
+        self.dtype = np.dtype(dtype)
         vocab = self.whole.get_vocab()
         if max(vocab.values()) > np.iinfo(self.dtype).max:
             raise ValueError(f"ids of {path} do not fit {dtype}")
         self.ends_piece = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_piece[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Generations(cache_bytes * 2 // 3), Generations(cache_bytes // 3)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn_pieces(self, by, pieces: list[str]) -> None:
-        width = self.dtype.itemsize
+    def _encode_pieces(self, by, pieces: list[str]) -> dict[str, bytes]:
+        width, found = self.dtype.itemsize, {}
         for at in range(0, len(pieces), 1024):
             part = pieces[at : at + 1024]
             ids = np.array(by.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
             ends = ((np.flatnonzero(self.ends_piece[ids]) + 1) * width).tolist()
             if len(ends) == len(part):
                 raw = ids.tobytes()
-                self.pieces.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+                found.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
             else:
-                self.pieces.update((p, self._whole(p)) for p in part)
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > self.max_entries:
-            self.words.clear()
-        if len(self.pieces) > self.max_entries:
-            self.pieces.clear()
-        cut = {w: _PIECES.findall(w) for w in words}
-        new = {p for ps in cut.values() for p in ps if p not in self.pieces}
-        self._learn_pieces(self.ascii, [p for p in new if p.isascii()])
-        self._learn_pieces(self.latin, [p for p in new if not p.isascii()])
-        known = self.pieces
-        self.words.update((w, known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])) for w, ps in cut.items())
+                found.update((p, self._whole(p)) for p in part)
+        return found
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each word, from the caches where they are there."""
+        new = self.words.missing(words)
+        cut = {w: _PIECES.findall(w) for w in new}
+        pieces = {p for ps in cut.values() for p in ps}
+        unknown = self.pieces.missing(pieces)
+        found = self._encode_pieces(self.ascii, [p for p in unknown if p.isascii()])
+        found |= self._encode_pieces(self.latin, [p for p in unknown if not p.isascii()])
+        known = {p: found[p] if p in found else self.pieces.new[p] for p in pieces}
+        self.pieces.add(found)
+        learned = {w: known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for w, ps in cut.items()}
+        known_words = {w: self.words.new[w] for w in words - new}
+        self.words.add(learned)
+        return known_words | learned
 
     @staticmethod
     def _plain(text: str) -> bool:
@@ -88,22 +120,21 @@ class PieceEncoder:
         while at < len(texts):
             group: list[tuple[list[bytes], list[tuple[int, str]]]] = []
             size = 0
-            while at < len(texts) and (not group or size + len(texts[at]) <= 4_000_000):
+            while at < len(texts) and (not group or size + len(texts[at]) <= 2_000_000):
                 text = texts[at].decode("utf-8", "replace")
                 if self._plain(text):
                     words = text.lower().split()
-                    ids = list(map(self.words.get, words))
+                    ids = list(map(self.words.new.get, words))
                     group.append((ids, [(i, words[i]) for i, x in enumerate(ids) if x is None]))
                 else:
                     group.append(([self._whole(text)], []))
                 size += len(text)
                 at += 1
             new = {w for _, gaps in group for _, w in gaps}
-            if new:
-                self._learn(new)
+            learned = self._learn(new) if new else {}
             for ids, gaps in group:
                 for i, w in gaps:
-                    ids[i] = self.words[w]
+                    ids[i] = learned[w]
                 out.append(b"".join(ids))
         return out
 
