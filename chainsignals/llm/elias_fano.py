@@ -20,13 +20,16 @@ def encode(values: np.ndarray) -> bytes:
     """Bytes of a non-decreasing int64 sequence; the first value is the base."""
     values = np.asarray(values, np.int64)
     n = len(values)
-    if n and (np.diff(values) < 0).any():
+    if (values[1:] < values[:-1]).any():
         raise ValueError("values must not decrease")
     base = int(values[0]) if n else 0
-    v = (values - base).astype(np.uint64)
+    # modulo 2^64, so that values at both ends of the range keep their distance
+    v = values.view(np.uint64) - np.uint64(base % 2**64)
     top = int(v[-1]) if n else 0
     low = max(0, (top // n).bit_length() - 1) if n else 0
-    lows = ((v[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if low else np.zeros((n, 0), np.uint8)
+    lows = np.empty((n, low), np.uint8)
+    for bit in range(low):
+        lows[:, bit] = (v >> np.uint64(bit)) & np.uint64(1)
     low_bytes = np.packbits(lows.reshape(-1), bitorder="little").tobytes()
     where = (v >> np.uint64(low)).astype(np.int64) + np.arange(n)
     upper = np.zeros(int(where[-1]) + 1 if n else 0, np.uint8)
@@ -70,11 +73,20 @@ class EliasFano:
             low = (int.from_bytes(self.lows[bit // 8 : end], "little") >> (bit % 8)) & ((1 << self.low) - 1)
         return self.base + ((place - i) << self.low | low)
 
+    def rank(self, value: int) -> int:
+        """How many values are smaller, by binary search over ``select``."""
+        at, end = 0, self.n
+        while at < end:
+            middle = (at + end) // 2
+            at, end = (middle + 1, end) if self.select(middle) < value else (at, middle)
+        return at
+
     def values(self) -> np.ndarray:
         """All values at once."""
         ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.upper, np.uint8), bitorder="little"))[: self.n]
-        v = (ones - np.arange(self.n)).astype(np.int64) << self.low
+        v = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low)
         if self.low and self.n:
             bits = np.unpackbits(np.frombuffer(self.lows, np.uint8), bitorder="little", count=self.n * self.low).reshape(self.n, self.low)
-            v |= bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low, dtype=np.int64))
-        return v + self.base
+            for bit in range(self.low):
+                v |= bits[:, bit].astype(np.uint64) << np.uint64(bit)
+        return (v + np.uint64(self.base % 2**64)).view(np.int64)

@@ -23,7 +23,7 @@ from .tokenize import END_ID, encoder
 
 MAGIC = b"EFTOK1\x00\x00"
 _HEAD = struct.Struct("<8sQQQBxxxxxxx")
-SEGMENT_SCHEMA = "part int, segment int, n_docs long, n_tokens long, payload binary"
+SEGMENT_SCHEMA = "part int, segment int, n_docs long, n_tokens long, first_id long, last_id long, payload binary"
 
 
 def pack_segment(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
@@ -75,13 +75,14 @@ def encode_segments(docs: DataFrame, tokenizer: str | None = None, segment_token
 
         def flush() -> pa.RecordBatch:
             nonlocal doc_ids, ids, size, segment
-            row = [[part], [segment], [len(ids)], [size // enc.dtype.itemsize], [pack_segment(doc_ids, ids, enc.dtype.itemsize)]]
+            row = [part, segment, len(ids), size // enc.dtype.itemsize, doc_ids[0], doc_ids[-1], pack_segment(doc_ids, ids, enc.dtype.itemsize)]
             doc_ids, ids, size, segment = [], [], 0, segment + 1
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["part", "segment", "n_docs", "n_tokens", "payload"])
+            types = (pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], ["part", "segment", "n_docs", "n_tokens", "first_id", "last_id", "payload"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part_of = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 128):
+                part_of = batch.slice(at, 128)
                 for d, x in zip(part_of["doc_id"].to_pylist(), enc.encode(part_of["text"].to_pylist()), strict=True):
                     doc_ids.append(d)
                     ids.append(x + end)
@@ -133,9 +134,41 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     return rows.join(segment_starts(store), ["part", "segment"]).select(*kept)
 
 
+def read_document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of one document, once for each row that had this id.
+
+    Binary search and select on the segments' codes find it; no bounds are expanded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, number, payload in zip(*(batch[c].to_pylist() for c in ("part", "segment", "payload")), strict=True):
+                segment = Segment(payload)
+                at = segment.nulls + segment.doc_ids.rank(doc_id)
+                found = []
+                while at < segment.n and segment.doc_id(at) == doc_id:
+                    found.append(segment.document(at).astype("<u4").tobytes())
+                    at += 1
+                if found:
+                    columns = [pa.array([part] * len(found), pa.int32()), pa.array([number] * len(found), pa.int32()), pa.array(found, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["part", "segment", "ids"])
+
+    store = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
+    near = store.where((F.col("first_id").isNull() | (F.col("first_id") <= doc_id)) & (F.col("last_id") >= doc_id))
+    rows = near.select("part", "segment", "payload").mapInArrow(run, "part int, segment int, ids binary").collect()
+    return [np.frombuffer(r.ids, "<u4") for r in sorted(rows, key=lambda r: (r.part, r.segment))]
+
+
 def token_store(docs: DataFrame, **options: object) -> DataFrame:
-    """Write a store in the shared folder and read its documents back."""
-    common.small_batches(docs.sparkSession)
-    path = common.shared_path(docs.sparkSession, "tokens")
-    write_store(docs, path, **options)
-    return read_documents(docs.sparkSession, path)
+    """Write a store in the shared folder and read its documents back.
+
+    A row for each document: doc_id, start, n_tokens, ids_crc32.  Null texts count as
+    empty and have their end id alone; null ids come first; long texts are encoded whole;
+    rows that share an id follow each other in an order that their text fixes; an empty
+    table gives no rows.  Only doc_id and text are read, so other columns may have any name.
+    """
+    spark = docs.sparkSession
+    path = common.shared_path(spark, "tokens")
+    with common.small_batches(spark):
+        write_store(docs, path, **options)
+        return common.materialize(read_documents(spark, path), "token-index")
