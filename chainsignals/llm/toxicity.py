@@ -135,6 +135,16 @@ class Deobfuscator:
             before = ch
         return options
 
+    def odds(self, word: str) -> float:
+        """Log probability of a word between boundaries."""
+        a = b = 0
+        total = 0.0
+        for letter in word:
+            c = self._class(letter)
+            total += self.log[a][b][c]
+            a, b = b, c
+        return total + self.log[a][b][0]
+
     def decode(self, stretch: str, twice: bool = False) -> str:
         if (known := self.cache.get((stretch, twice))) is not None:
             return known
@@ -374,6 +384,17 @@ def _evidence_rows(total: dict[str, list[int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], ["feature", "n0", "t0", "n1", "t1"])
 
 
+#: Each sign as its likeliest letter, to see whether pieces of a word may be joined at all.
+_LIKELY = str.maketrans({sign: letters[0] for sign, letters in LEET.items()})
+#: Pieces of one word, at most, and by how much the joined word must be likelier than the pieces as words.
+_PIECES, _JOIN_MARGIN = 6, 3.0
+
+
+def _piece(token: str) -> str:
+    """A token that may be a piece of a word, without punctuation; an exclamation mark at its end is one."""
+    return token.strip(_PLAIN_EDGE).rstrip("!")
+
+
 class Lexicon:
     """Log odds of features, and the few numbers by which a document is scored."""
 
@@ -385,33 +406,67 @@ class Lexicon:
             t, n = sum(row[2 * k + 1] for k in folds), sum(row[2 * k] for k in folds)
             self.odds[f] = math.log((t + 0.5 * toxic / (toxic + clean)) / (n + 0.5 * clean / (toxic + clean)) * clean / toxic) if t > 1 else 0.0
         self.tokens: dict[str, tuple] = {}
+        telling = [f for f, x in self.odds.items() if x > 0.5]
+        #: What telling words and beginnings of words begin with, as far as a space may cut them.
+        self.starts = {f[:k] for f in telling for k in range(1, len(f))}
 
     def weight(self, word: str) -> float:
         odds = self.odds
         return max([odds.get(f, 0.0) for f in features_of(word)])
 
     def token(self, token: str, reader: Reader) -> tuple:
-        """(word, weight) of each telling word of a token."""
-        got = tuple((w, x) for w in reader.token(token) if (x := self.weight(w)) > 0.5)
+        """(word, weight) of each telling word of a token, and its letters if it may be a piece of a word."""
+        telling = tuple((w, x) for w in reader.token(token) if (x := self.weight(w)) > 0.5)
+        piece = _piece(token).translate(_LIKELY)
+        got = telling, piece if piece.isalpha() and len(piece) <= _LONGEST else ""
         if len(token) > _CACHED:
             return got
-        if len(self.tokens) >= 250_000:
+        if len(self.tokens) >= 200_000:
             self.tokens.clear()
         self.tokens[token] = got
         return got
 
+    def joined(self, tokens: list[str], i: int, reader: Reader) -> str:
+        """The telling word that a space cut at token ``i``, or none.
+
+        A space may vanish at the channel's cost for a separator, if the language model
+        finds the word clearly likelier than the pieces as words of their own.
+        """
+        word, channel = self.token(tokens[i], reader)[1], reader.channel
+        apart = channel.odds(word)
+        for n, token in enumerate(tokens[i + 1 : i + _PIECES], start=1):
+            piece = self.token(token, reader)[1]
+            if not piece:
+                return ""
+            word, apart = word + piece, apart + _BREAK + channel.odds(piece)
+            if self.weight(word) > 0.5:
+                stretch = " ".join(map(_piece, tokens[i : i + n + 1]))
+                whole = channel.decode(stretch)
+                if self.weight(whole) > 0.5 and channel.odds(whole) + n * _SKIP >= apart + _JOIN_MARGIN:
+                    return whole
+            if word not in self.starts:
+                return ""
+        return ""
+
     def document(self, text: str, reader: Reader) -> tuple[float, ...]:
         """Weights of the two most telling words, how many tell much, and the length."""
         tokens, spaced = tokens_of(text, reader.spacing)
-        get, found = self.tokens.get, {}
+        get, found, begins = self.tokens.get, {}, set()
         for t in set(tokens):
             got = get(t)
             if got is None:
                 got = self.token(t, reader)
-            if got:
-                found.update(got)
+            telling, piece = got
+            if telling:
+                found.update(telling)
+            elif piece in self.starts:
+                begins.add(t)
         for run in spaced:
             found.update((w, x) for w in reader.channel.spaced(run) if (x := self.weight(w)) > 0.5)
+        if begins:
+            for i in [i for i, t in enumerate(tokens) if t in begins]:
+                if w := self.joined(tokens, i, reader):
+                    found[w] = self.weight(w)
         top = [*sorted(found.values(), reverse=True)[:2], 0.0, 0.0]
         return (top[0], top[1], math.log1p(sum(x > 2 for x in found.values())), math.log1p(len(tokens)))
 
@@ -433,7 +488,7 @@ class ToxicityModel:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, scratch: common.Scratch, rows: int = FIT_ROWS) -> ToxicityModel:
     """Learn from labelled documents whose crc32 of the id as text is not a multiple of 5.
 
     Word evidence for one half of the sample comes from the other half while the weights
@@ -443,7 +498,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityMod
     for r in trigram_counts(docs).collect():  # at most 28^3 rows
         counts[r.trigram] = r.n
     learnable = F.crc32(F.col("doc_id").cast("string")) % 5 != 0
-    sample = common.materialize(labelled_sample(docs, labels, "toxic", rows, learnable).withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)).cast("int")), "labelled")
+    sample = scratch.table(labelled_sample(docs, labels, "toxic", rows, learnable).withColumn("fold", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(2)).cast("int")), "labelled")
     sizes = np.zeros(4, np.int64)
     for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect():
         sizes[2 * r.fold + int(r.label)] = r.n
@@ -464,11 +519,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityMod
 def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted for every document.
 
-    Only the text is scored; null and empty texts get the score of no words.  Repeated rows
-    get equal scores.  A null doc_id is not held out.  Other columns are ignored.
+    Only the text is scored; null and empty texts get the score of no words, long ones are
+    read whole.  Rows with equal texts get equal scores, and a score of exactly 0.5 counts
+    as toxic.  A null doc_id is not held out.  An empty table gives no rows.  Only doc_id
+    and text are read, so other columns may have any name.
     """
-    common.small_batches(docs.sparkSession)
-    model = fit(docs, labels, rows)
+    with common.scratch(docs.sparkSession) as scratch, common.small_batches(docs.sparkSession):
+        return _score(docs, fit(docs, labels, scratch, rows))
+
+
+def _score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
@@ -479,5 +539,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) ->
 
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), common.text_bytes().alias("text"))
-    scored = texts.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = common.materialize(texts.mapInArrow(run, "doc_id long, held_out boolean, score double"), "toxicity")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
