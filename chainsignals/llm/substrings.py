@@ -1,6 +1,8 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark.
 
-Documents are dealt into batches by a hash of their row.  A batch sends the sorted
+Documents are dealt into batches by a hash of their row and its place, so that equal
+rows spread too; all batches read one exchange, and an answer that does not fit a batch
+is an error.  A batch sends the sorted
 distinct hashes of its windows, split into ranges of the hash, with a mark for those
 that it holds more than once: a window that very many documents share travels once per
 batch.  A range finds the hashes that two batches hold and answers each batch with one
@@ -10,7 +12,7 @@ The text is shuffled once, as both steps read the same exchange.
 
 from __future__ import annotations
 
-
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,13 @@ from pyspark.sql import functions as F
 from . import common
 from .near_dups import mix, word_hashes
 
-BATCH_BYTES = 8_000_000
-RANGE_WINDOWS = 500_000
+#: Text of a batch and windows of a range on small inputs, and on large ones at most.
+BATCH_BYTES, MOST_BATCH_BYTES = 8_000_000, 48_000_000
+RANGE_WINDOWS, MOST_RANGE_WINDOWS = 500_000, 8_000_000
+#: Hashes that a row between a batch and a range should hold, at least.
+ROW_HASHES = 100
+#: Bytes of a word and its space in prose; one-letter words make three times as many windows.
+WORD_BYTES = 6
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
@@ -66,6 +73,21 @@ def removal_intervals(repeated: np.ndarray, window: int, n_words: int) -> np.nda
     return np.stack([np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)], axis=1)
 
 
+def layout(size: int, tasks: int) -> tuple[int, int]:
+    """Number of batches and bits of ranges for so many bytes of text.
+
+    Batches times ranges is the number of rows between them, which grows with the square of
+    the input while both keep their size.  So beyond some 40 GB both grow, within what a
+    task can hold, for rows of ``ROW_HASHES`` hashes: at 1 TB a row still holds 100,
+    at 100 TB about four.
+    """
+    windows = size / WORD_BYTES
+    more = math.sqrt(max(1.0, ROW_HASHES * windows / (BATCH_BYTES / WORD_BYTES * RANGE_WINDOWS)))
+    batch = min(MOST_BATCH_BYTES, BATCH_BYTES * more)
+    held = min(MOST_RANGE_WINDOWS, RANGE_WINDOWS * more * more * BATCH_BYTES / batch)
+    return max(2 * tasks, math.ceil(size / batch)), max(4, int(windows / held).bit_length())
+
+
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """Words of each document that lie in no repeated window.
 
@@ -73,17 +95,16 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     kept_text (kept words joined by one space, as UTF-8 bytes).  A word is removed if a
     window of ``window`` words over it has a word sequence that also starts anywhere
     else, in the same document too.  Null and empty texts have no words; texts shorter
-    than a window keep all; repeated rows repeat each other.  Other columns are ignored.
+    than a window keep all; long texts are read whole; repeated rows repeat each other; an
+    empty table gives no rows.  Only doc_id and text are read, so other columns may have any
+    name.
     Two different windows are taken for one with a chance of 2^-64.
     """
-    common.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"))
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_batches = max(2 * common.shuffle_partitions(spark), -(-size // BATCH_BYTES))
-    # a word and its space take two bytes at least, five or more in prose
-    bits = max(4, int(size / 6 / RANGE_WINDOWS).bit_length())
-    dealt = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)))
+    n_batches, bits = layout(size, common.shuffle_partitions(spark))
+    dealt = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n_batches)))
 
     def distinct_hashes(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_counts=True)
@@ -110,15 +131,19 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
                 m = m | (shared[np.minimum(np.searchsorted(shared, h), len(shared) - 1)] == h)
             return np.packbits(m).tobytes()
 
-        return pa.table({"batch": table["batch"].combine_chunks(), "range": table["range"].combine_chunks(), "repeated": pa.array(map(repeated, sent, marks), pa.binary())})
+        return pa.table({"batch": table["batch"].combine_chunks(), "range": table["range"].combine_chunks(), "n": pa.array(map(len, sent), pa.int32()), "repeated": pa.array(map(repeated, sent, marks), pa.binary())})
 
     def cut(texts_of: pa.Table, answers: pa.Table) -> pa.Table:
         texts = texts_of["text"].to_pylist()
         hashes = batch_windows(texts, window)
         unique, _ = distinct_hashes(hashes)
         at, flags = cuts(unique), np.zeros(len(unique), bool)
-        for r, answer in zip(answers["range"].to_pylist(), answers["repeated"].to_pylist(), strict=True):
-            flags[at[r] : at[r + 1]] = np.unpackbits(np.frombuffer(answer, np.uint8), count=at[r + 1] - at[r]).astype(bool)
+        if sum(answers["n"].to_pylist()) != len(unique):
+            raise RuntimeError("the answers are not those of this batch")
+        for r, n, answer in zip(answers["range"].to_pylist(), answers["n"].to_pylist(), answers["repeated"].to_pylist(), strict=True):
+            if n != at[r + 1] - at[r]:
+                raise RuntimeError("the answers are not those of this batch")
+            flags[at[r] : at[r + 1]] = np.unpackbits(np.frombuffer(answer, np.uint8), count=n).astype(bool)
         wanted = unique[flags]
         rows = []
         for text, h in zip(texts, hashes, strict=True):
@@ -136,5 +161,5 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
 
     types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
     sent = dealt.groupBy("batch").applyInArrow(send, "range int, batch long, hashes binary, marks binary")
-    answers = sent.groupBy("range").applyInArrow(count, "batch long, range int, repeated binary")
+    answers = sent.groupBy("range").applyInArrow(count, "batch long, range int, n int, repeated binary")
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, starts array<int>, ends array<int>, kept_text binary")
