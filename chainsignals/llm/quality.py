@@ -23,6 +23,8 @@ from .logistic import Logistic
 
 #: Labelled rows that the classifier is fitted on, about, at most.
 FIT_ROWS = 8_000
+#: Up to so many sites all go to every executor (some 100 bytes each); beyond, only those with most documents do.
+BROADCAST_SITES = 200_000
 _SHAPE = 96 + 9
 
 
@@ -105,9 +107,8 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     """(host, path, n, total, prior_mean, prior_strength, corpus_mean) for each path.
 
     ``scored`` has host, path and p.  prior_mean is the host's shrunk mean, to which the
-    path is shrunk with prior_strength.
+    path is shrunk with prior_strength.  The result is a stored table.
     """
-    paths = common.materialize(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("total")), "paths")
 
     def strength(groups: DataFrame, mean: Column) -> DataFrame:
         # between-group variance by moments, with the noise of n Bernoulli draws taken off
@@ -116,45 +117,89 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
         spread = F.greatest(F.lit(1e-6), (F.col("between") - F.col("noise")) / F.greatest(F.lit(1.0), F.col("rows")))
         return stats.select((F.col("mean") * (1 - F.col("mean")) / spread).alias("k"), "mean")
 
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    whole = hosts.agg((F.sum("total") / F.sum("n")).alias("m")).first().m
-    corpus_mean = F.lit(0.5 if whole is None else float(whole))
-    k_host, _ = _bounded(strength(hosts, corpus_mean).first())
-    shrunk = hosts.select(F.col("host").alias("of"), ((F.col("total") + k_host * corpus_mean) / (F.col("n") + k_host)).alias("prior_mean"))
-    joined = common.materialize(paths.join(shrunk, F.col("host").eqNullSafe(F.col("of"))).drop("of"), "sites")
-    k_path, _ = _bounded(strength(joined, F.col("prior_mean")).first())
-    return joined.select("host", "path", "n", "total", "prior_mean", F.lit(k_path).alias("prior_strength"), corpus_mean.alias("corpus_mean"))
+    with common.scratch(scored.sparkSession) as scratch:
+        paths = scratch.table(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("total")), "paths")
+        hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+        whole = hosts.agg((F.sum("total") / F.sum("n")).alias("m")).first().m
+        corpus_mean = F.lit(0.5 if whole is None else float(whole))
+        k_host = _bounded(strength(hosts, corpus_mean).first().k)
+        shrunk = hosts.select(F.col("host").alias("of"), ((F.col("total") + k_host * corpus_mean) / (F.col("n") + k_host)).alias("prior_mean"))
+        joined = scratch.table(paths.join(shrunk, F.col("host").eqNullSafe(F.col("of"))).drop("of"), "sites")
+        k_path = _bounded(strength(joined, F.col("prior_mean")).first().k)
+        return common.materialize(joined.select("host", "path", "n", "total", "prior_mean", F.lit(k_path).alias("prior_strength"), corpus_mean.alias("corpus_mean")), "posteriors")
 
 
-def _bounded(row) -> tuple[float, float]:
+def _bounded(strength: float | None) -> float:
     """A strength between one document and a million."""
-    k = 1e6 if row.k is None else float(min(1e6, max(1.0, row.k)))
-    return k, 0.5 if row.mean is None else float(row.mean)
+    return 1e6 if strength is None else float(min(1e6, max(1.0, strength)))
+
+
+def with_sites(rows: DataFrame, sites: DataFrame, host: str, path: str) -> tuple[DataFrame, Column]:
+    """``rows`` with one more column, a struct of their site's numbers, and that column.
+
+    ``rows`` may carry texts.  Few sites are broadcast.  Of many, those that hold more than
+    an even share of the documents are broadcast, and there are fewer of these than
+    partitions; only rows of the other sites meet theirs by a shuffle, and the rows that
+    are done are spread over it by their content.
+    """
+    spark = rows.sparkSession
+    names = {c: common.fresh(f"_{c}", rows.columns) for c in ("host", "path", "site", "salt", "hot")}
+    numbers = F.struct("n", "total", "prior_mean", "prior_strength").alias(names["site"])
+    keyed = sites.select(F.col("host").alias(names["host"]), F.col("path").alias(names["path"]), numbers)
+    at = [common.quoted(host).cast("string"), common.quoted(path).cast("string")]
+    same = at[0].eqNullSafe(common.quoted(names["host"])) & at[1].eqNullSafe(common.quoted(names["path"]))
+    site = common.quoted(names["site"])
+    if sites.count() <= BROADCAST_SITES:
+        return rows.join(F.broadcast(keyed), same, "left").drop(names["host"], names["path"]), site
+    share = sites.agg(F.sum("n")).first()[0] / max(1, common.shuffle_partitions(spark))
+    large = keyed.where(site["n"] > share).withColumnRenamed(names["site"], names["hot"])
+    small = keyed.where(site["n"] <= share).withColumn(names["salt"], F.lit(0))
+    hot, salt = common.quoted(names["hot"]), common.quoted(names["salt"])
+    done = rows.join(F.broadcast(large), same, "left").drop(names["host"], names["path"])
+    spread = F.when(hot.isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("text"), F.lit(1 << 20))).cast("int")
+    joined = done.join(small, same & (spread == salt), "left")
+    return joined.select(*common.columns_of(rows), F.coalesce(hot, site).alias(names["site"])), site
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``docs`` with own_logit, site_mean, quality and kept added; all rows stay.
 
-    Null and empty texts are scored on zero features; null hosts and paths form sites of
-    their own; repeated rows get equal scores.
+    Null and empty texts are scored on zero features, long ones whole; null hosts and
+    paths form sites of their own; rows with equal text, host and path get equal scores,
+    and a score of exactly ``threshold`` is kept.  Without labels, or with labels of one
+    class only, the own evidence is the base rate.  An empty table gives no rows.  An
+    added column whose name ``docs`` has gets underscores after its name.
+
+    The result is lazy and sends texts to Python when it is read, so the session's Arrow
+    batches stay at 4 MB.
     """
-    common.small_batches(docs.sparkSession)
+    scored, names = _scored(docs, labels, host, path, threshold, fit_rows)
+    return scored.select(*common.columns_of(docs), *[common.quoted(x) for x in names])
+
+
+def _scored(docs: DataFrame, labels: DataFrame, host: str, path: str, threshold: float, fit_rows: int) -> tuple[DataFrame, list[str]]:
+    """Scored rows and the names of own_logit, site_mean, quality and kept in them."""
+    common.lower_batches(docs.sparkSession)
+    names = [common.fresh(c, docs.columns) for c in ("own_logit", "site_mean", "quality", "kept")]
+    own, mean, quality, kept = names
     model = fit_classifier(docs, labels, fit_rows)
-    logit = _logit_column(model)
-    own = [F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path")]
-    sites = site_posteriors(_probabilities(docs.select(*own, common.text_bytes().alias("text")), model)).withColumnsRenamed({"host": "_host", "path": "_path", "n": "_n", "total": "_total", "prior_mean": "_prior", "prior_strength": "_strength", "corpus_mean": "_corpus"})
-    rows = docs.withColumn("own_logit", logit)
-    same = docs[host].cast("string").eqNullSafe(F.col("_host")) & docs[path].cast("string").eqNullSafe(F.col("_path"))
-    joined = rows.join(sites, same, "left")
-    p = 1 / (1 + F.exp(-F.col("own_logit")))
-    others = (F.greatest(F.lit(0.0), F.col("_total") - p) + F.col("_strength") * F.col("_prior")) / (F.col("_n") - 1 + F.col("_strength"))
-    mean = F.least(F.lit(1 - 1e-4), F.greatest(F.lit(1e-4), others))
+    texts = docs.select(common.quoted(host).cast("string").alias("host"), common.quoted(path).cast("string").alias("path"), common.text_bytes().alias("text"))
+    sites = site_posteriors(_probabilities(texts, model))
+    joined, site = with_sites(docs.withColumn(own, _logit_column(model)), sites, host, path)
+    p = 1 / (1 + F.exp(-common.quoted(own)))
+    others = (F.greatest(F.lit(0.0), site["total"] - p) + site["prior_strength"] * site["prior_mean"]) / (site["n"] - 1 + site["prior_strength"])
+    joined = joined.withColumn(mean, F.least(F.lit(1 - 1e-4), F.greatest(F.lit(1e-4), others)))
     # the classifier's own base rate is taken out of its odds before the site's comes in
-    odds = F.col("own_logit") - F.lit(model.base) + F.log(mean / (1 - mean))
-    quality = 1 / (1 + F.exp(-odds))
-    return joined.select(*[rows[c] for c in docs.columns], "own_logit", mean.alias("site_mean"), quality.alias("quality"), (quality >= threshold).alias("kept"))
+    odds = common.quoted(own) - F.lit(model.base) + F.log(common.quoted(mean) / (1 - common.quoted(mean)))
+    joined = joined.withColumn(quality, 1 / (1 + F.exp(-odds)))
+    return joined.withColumn(kept, common.quoted(quality) >= threshold), names
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, **options: object) -> DataFrame:
-    """Rows of ``docs`` that the classifier keeps, with their columns."""
-    return score_quality(docs, labels, **options).where("kept").select(*docs.columns)
+def keep_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Rows of ``docs`` that the classifier keeps, with exactly their columns.
+
+    Rows are judged as in ``score_quality``: null and empty texts too, repeated rows
+    alike, ties kept; columns of ``docs`` may have any name.
+    """
+    scored, (*_, kept) = _scored(docs, labels, host, path, threshold, fit_rows)
+    return scored.where(common.quoted(kept)).select(*common.columns_of(docs))
