@@ -137,11 +137,16 @@ def read_media(media: DataFrame) -> DataFrame:
 def media_features(docs: DataFrame) -> DataFrame:
     """Store the media column in the shared folder, read it back and compute its features.
 
-    An empty or null text is 64 silent-coded zero bytes; equal texts give equal rows.
+    An empty or null text is 64 zero bytes; long texts are stored and transformed whole, a
+    bounded number of frames at a time; equal texts give equal rows, repeated ones too; an
+    empty table gives no rows.  Of equally strong bins the first is the peak.  Only doc_id
+    and text are read, so other columns may have any name.  The time-coded arrays are
+    columns of a stored table, which the result reads.
     """
-    common.small_batches(docs.sparkSession)
-    stored = common.materialize(encode_media(docs), "media", **{"parquet.block.size": 16 << 20})
-    return read_media(stored)
+    spark = docs.sparkSession
+    with common.scratch(spark) as scratch, common.small_batches(spark):
+        stored = scratch.table(encode_media(docs), "media", **{"parquet.block.size": 16 << 20})
+        return common.materialize(read_media(stored), "features")
 
 
 def feature_digest(features: DataFrame) -> DataFrame:
