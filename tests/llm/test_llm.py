@@ -12,8 +12,8 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from chainsignals.llm import components, decontaminate, elias_fano, media, near_dups, packing, quality, queries, secret_spans, site_lines, substrings, token_store, toxicity
-from edge_rows import edge_docs, edge_rows, empty_docs
+from chainsignals.llm import common, components, decontaminate, elias_fano, media, near_dups, packing, quality, queries, secret_spans, site_lines, substrings, token_store, toxicity
+from edge_rows import edge_docs, edge_rows, empty_docs, long_docs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -43,6 +43,12 @@ def test_elias_fano():
         coded = elias_fano.EliasFano(elias_fano.encode(values))
         assert (coded.values() == values).all()
         assert [coded.select(i) for i in range(n)] == values.tolist()
+        assert [coded.rank(x) for x in (-6, 0, 3, top)] == np.searchsorted(values, [-6, 0, 3, top]).tolist()
+    far = np.array([-(2**63), -(2**62) - 9, 0, 2**62 + 9, 2**63 - 1])
+    coded = elias_fano.EliasFano(elias_fano.encode(far))
+    assert coded.values().tolist() == far.tolist() == [coded.select(i) for i in range(5)]
+    with pytest.raises(ValueError):
+        elias_fano.encode(np.array([3, 2]))
     dense = elias_fano.encode(np.cumsum(rng.integers(1, 2000, 10_000)))
     assert len(dense) < 10_000 * 2
 
@@ -64,6 +70,12 @@ def test_token_store_edges(spark, tokenizer, tmp_path):
     rows = sorted(got, key=lambda r: r.start)
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
     assert [r.doc_id for r in rows[:2]] == [None, None] and [r.doc_id for r in rows[2:]] == sorted(r.doc_id for r in rows[2:])
+    for d, n in ((20, 2), (8, 1), (7, 1), (999, 0)):
+        ids = token_store.read_document(spark, f"{tmp_path}/store", d)
+        assert [x.tolist() for x in ids] == [tokenizer(r[1]).tolist() for r in edge_rows() if r[0] == d] and len(ids) == n
+    far = spark.createDataFrame([(-(2**62) - 9, "a"), (2**62 + 9, "b")], "doc_id long, text string")
+    token_store.write_store(far, f"{tmp_path}/far", partitions=1)
+    assert [r.doc_id for r in token_store.read_documents(spark, f"{tmp_path}/far").orderBy("doc_id").collect()] == [-(2**62) - 9, 2**62 + 9]
     segment = token_store.Segment(spark.read.parquet(f"{tmp_path}/store").first().payload)
     assert segment.document(0)[-1] == 1
     assert token_store.token_store(empty_docs(spark)).count() == 0
@@ -93,13 +105,40 @@ def test_media_features_and_edges(spark):
     tone = (128 + 100 * np.sin(2 * np.pi * 1000 * np.arange(8000) / media.RATE)).astype(np.uint8)
     hashes, times = media.fingerprints(tone)
     assert (np.diff(times) >= 0).all() and len(hashes) == len(times)
-    assert np.isclose(np.bincount(hashes >> 21).argmax() * media.RATE / media.FRAME, 1000, atol=2 * media.RATE / media.FRAME) or 64 in set((hashes >> 21).tolist())
+    assert set((hashes >> 21).tolist()) >= {1000 * media.FRAME // media.RATE}
+    rng = np.random.default_rng(2)
+    for n in (64, 512, 1300, 9000):
+        samples = rng.integers(0, 256, n).astype(np.uint8)
+        assert [tuple(x.tolist()) for x in media.fingerprints(samples)] == [tuple(x) for x in peak_pairs(samples)]
     blocks = np.concatenate(list(media.stft_blocks(tone, rows=7)))
     assert np.allclose(blocks, np.concatenate(list(media.stft_blocks(tone))))
     assert media.media_features(edge_docs(spark)).count() == len(edge_rows())
     assert media.media_features(empty_docs(spark)).count() == 0
 
 
+def peak_pairs(samples):
+    """Peaks and pairs by loops, from a Fourier sum of each frame."""
+    starts = range(0, max(1, -(-(len(samples) - media.FRAME) // media.HOP) + 1))
+    power = []
+    for k in starts:
+        part = np.full(media.FRAME, 128, np.uint8)
+        here = samples[k * media.HOP : k * media.HOP + media.FRAME]
+        part[: len(here)] = here
+        x = (part.astype(np.float32) - np.float32(128)) * np.hanning(media.FRAME).astype(np.float32)
+        power.append(np.abs(np.fft.rfft(x)) ** 2)
+    width, peaks = (len(power[0]) - 1) // media.BANDS, []
+    for g in range(0, len(power), media.GROUP):
+        for band in range(media.BANDS):
+            cells = [(power[t][f], -t, -f) for t in range(g, min(g + media.GROUP, len(power))) for f in range(1 + band * width, 1 + (band + 1) * width)]
+            strongest = max(cells)
+            if strongest[0] > 0:
+                peaks.append((-strongest[1], -strongest[2]))
+    peaks.sort()
+    pairs = [(t, f << 21 | g << 12 | min(u - t, 4095)) for i, (t, f) in enumerate(peaks) for u, g in peaks[i + 1 : i + 1 + media.FAN]]
+    pairs.sort()
+    return [h for _, h in pairs], [t for t, _ in pairs]
+
+
 def test_packing(spark, texts, tokenizer):
     rows = queries.op3_best_fit_packing(spark, SF).collect()
     check_packing(rows, {d: tokenizer(t) for d, t in texts}, 4096)
@@ -207,6 +246,45 @@ def test_secret_linking(spark):
     assert spans == {1: ["ident", "weak", "endpoint"], 2: [], 3: [], 4: []}
 
 
+PARTS = {
+    "ident": re.compile(r"""(?i:client_?id|account_?id|access_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""),
+    "endpoint": re.compile(r"""(?i:https?|ftp|sftp|postgres|postgresql|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20"'<>]{4,}"""),
+}
+
+
+def reported(t, reach):
+    """All spans of a text by comparing every two."""
+    found = [(int(a), int(b), k) for k, a, b in (x.split(":") for x in base_spans(t))]
+    spans = [(a, b, k, {"assign": "secret", "hex": "secret", "access": "identifier"}[k]) for a, b, k in found]
+    spans += [(m.start(), m.end(), "weak", "secret") for m in ASSIGN.finditer(t) if 6 <= len(m[2]) < 12]
+    spans += [(m.start(), m.end(), k, {"ident": "identifier"}.get(k, k)) for k, p in PARTS.items() for m in p.finditer(t)]
+    ends = [m.start() for m in re.finditer(secret_spans.SCOPE, t)]
+    scope = lambda x: sum(e <= x[0] for e in ends)
+    near = lambda x, role, among: any(y is not x and y[3] == role and scope(x) == scope(y) and max(y[0] - x[1], x[0] - y[1]) <= reach for y in among)
+    kept = [x for x in spans if x[2] in ("assign", "access", "hex") or (x[2] == "ident" and near(x, "secret", spans)) or (x[2] == "weak" and near(x, "identifier", spans))]
+    kept += [x for x in spans if x[2] == "endpoint" and near(x, "secret", kept) and near(x, "identifier", kept)]
+    order = ("assign", "access", "hex", "ident", "weak", "endpoint")
+    return ",".join(f"{k}:{a}:{b}" for a, b, k, _ in sorted(kept, key=lambda x: (x[0], order.index(x[2]))))
+
+
+def test_secret_links_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    pieces = ["user=alice", "login: bob77", "password=hunter22", "token=x", "secret: " + "Z" * 14, "AKIA" + "Q" * 14, "https://h.example/x", "\n\n", "\n[prod]\n", "word", "é" * 7, "f" * 16, " \n \n"]
+    rows = [(i, " ".join(rng.choice(pieces, rng.integers(1, 30)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_spans.scan_secrets(df, reach=25).collect()}
+    for d, t in rows:
+        assert got[d].spans == reported(t, 25), t
+    for r in secret_spans.credential_spans(df, reach=25).collect():
+        weak = r.kind not in ("assign", "access", "hex")
+        assert not weak or (r.secret_at is not None and r.kind != "weak") or r.identifier_at is not None
+
+
+def test_secret_scopes(spark):
+    rows = spark.createDataFrame([(1, "user=alice1\n\npassword=hunter2"), (2, "user=alice1\npassword=hunter2"), (3, "[a]\nuser=alice1\n[b]\npassword=hunter2")], "doc_id long, text string")
+    assert {r.doc_id: (r.spans.count(":") // 2, r.links) for r in secret_spans.scan_secrets(rows).collect()} == {1: (0, ""), 2: (2, "0>12,12>0"), 3: (0, "")}
+
+
 def test_secret_edges(spark):
     got = secret_spans.scan_secrets(edge_docs(spark)).collect()
     assert len(got) == len(edge_rows()) and sum(r.n_access for r in got) == 1
@@ -240,6 +318,69 @@ def test_decontamination_templates(spark):
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+NAMES, MEASURES = ("Tom", "Ann", "Bob", "Zoe"), ("kg", "lb")
+
+
+def leaks_of(doc, item, window=8):
+    """Whether an item leaks into a document, by comparing all windows of both."""
+
+    def canon(words):
+        kinds = ["NUM" if w.isdigit() else "NAME" if w in NAMES else "UNIT" if w in MEASURES and i and words[i - 1].isdigit() else None for i, w in enumerate(words)]
+        return [(k or w, w if k else None) for k, w in zip(kinds, words, strict=True)]
+
+    a, b, x, y = canon(item), canon(doc), item, doc
+    size = min(window, len(item))
+    n, shifts = len(item) - size + 1, defaultdict(lambda: (set(), set()))
+    for p in range(n):
+        for q in range(len(doc) - size + 1):
+            u, v = a[p : p + size], b[q : q + size]
+            by_value = size < 5 or sum(k is None for _, k in u) < 2
+            if x[p : p + size] == y[q : q + size] if by_value else [t for t, _ in u] == [t for t, _ in v]:
+                places, slots = shifts[q - p]
+                places.add(p)
+                slots.update(() if by_value else ((c, d) for (_, c), (_, d) in zip(u, v, strict=True) if c is not None))
+    matched = set()
+    for places, slots in shifts.values():
+        stands = Counter(c for c, _ in slots)
+        if sum(k == 1 for k in stands.values()) >= 0.8 * len(stands):
+            matched |= places
+    return len(matched) if 2 * len(matched) >= n and matched else 0
+
+
+def test_decontamination_by_brute_force(spark):
+    """Random items and documents of few words, names, numbers and units, copies with other values among them."""
+    rng = np.random.default_rng(12)
+
+    def some(n):
+        out = []
+        for w in rng.choice(["has", "gives", "pears", "to", *NAMES, "#", "# kg", "# lb"], n):
+            out += w.replace("#", str(rng.integers(1, 6))).split()
+        return out
+
+    items = [["so", *some(rng.integers(1, 16))] for _ in range(30)]
+    items += [["so", "1", "2", "3", "4", "5", "6", "7", "8"], ["so", "has"]]
+    docs = []
+    for _ in range(120):
+        words = ["so", *some(rng.integers(5, 60))]
+        for i in rng.integers(0, len(items), 2):
+            swap = dict(zip([*NAMES, *"12345"], [*rng.permutation(NAMES), *rng.permutation(list("12345"))], strict=True))
+            copy = [swap.get(w, w) if rng.random() < 0.9 else w for w in items[i]]
+            at = rng.integers(1, len(words) + 1)
+            words[at:at] = copy
+        docs.append(words)
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    want = {(i, j, n) for i, w in enumerate(docs) for j, x in enumerate(items) if (n := leaks_of(w, x))}
+    whole = decontaminate.FILTER_WINDOWS
+    try:
+        for limit in (whole, -1):
+            decontaminate.FILTER_WINDOWS = limit
+            assert {(r.doc_id, r.item_id, r.n_matched) for r in decontaminate.find_leaks(d, b).collect()} == want
+    finally:
+        decontaminate.FILTER_WINDOWS = whole
+    assert 20 < len(want) < len(docs) * len(items) / 2
+
+
 def test_decontamination_judges_alignments(spark):
     """An inconsistent variant elsewhere in the document hides no exact copy."""
     item = "A farmer called Tom has 12 kg of apples. Then Tom gives 5 kg to Ann and eats 5 apples. How many are left?"
@@ -277,7 +418,7 @@ def test_lines_against_sql(spark):
 def test_lines_edges(spark):
     docs = edge_docs(spark).withColumn("text", F.when(F.col("text").isNull(), None).otherwise(F.concat("text", F.lit("\n  menu line "))))
     got = site_lines.drop_boilerplate(docs, counts=True)
-    assert got.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert got.columns == [*docs.columns, "n_lines_", "n_removed"]
     rows = got.collect()
     assert len(rows) == len(edge_rows()) and sum(r.text is None for r in rows) == 2
     assert all("menu line" not in r.text for r in rows if r.text is not None and r.source == "s")
@@ -287,6 +428,9 @@ def test_lines_edges(spark):
     finally:
         site_lines.BROADCAST_LINES = shuffled
     assert site_lines.drop_boilerplate(empty_docs(spark)).count() == 0
+    even = spark.createDataFrame([(i, f"own {i}" + ("\nmenu" if i < n else ""), s) for s, n in (("a", 5), ("b", 6)) for i in range(50)], "doc_id long, text string, source string")
+    cut = Counter(r.source for r in site_lines.drop_boilerplate(even).collect() if "menu" not in r.text)
+    assert cut == {"a": 45, "b": 50}  # five of fifty are exactly a tenth
     few = site_lines.drop_boilerplate(docs.limit(3), max_ratio=0.1, min_pages=5)
     assert all("menu line" in r.text for r in few.collect() if r.text)
 
@@ -359,6 +503,37 @@ def test_toxicity_word_breaks():
         assert all(w in found for w in words), spaced[:20]
 
 
+def test_toxicity_viterbi_by_enumeration():
+    """The decoded letters are the likeliest of all ways through the lattice."""
+    from itertools import product
+
+    channel = plain_reader(["stupid idiot clown loser people say that all ass"] * 50).channel
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        stretch = "".join(rng.choice(list("ilos1057$.- "), rng.integers(1, 8)))
+        for twice in (False, True):
+            best = max(sum(q for _, q in way) + channel.odds("".join(x for x, _ in way)) for way in product(*channel.lattice(stretch, twice)))
+            out = channel.decode(stretch, twice)
+            options = channel.lattice(stretch, twice)
+            reach = {"": 0.0}
+            for found in options:
+                after: dict = {}
+                for word, p in reach.items():
+                    for x, q in found:
+                        after[word + x] = max(after.get(word + x, -1e9), p + q)
+                reach = after
+            assert reach[out] + channel.odds(out) == pytest.approx(best)
+
+
+def test_toxicity_cut_words(spark):
+    """A space inside a word vanishes if the language model agrees, and plain neighbours stay apart."""
+    reader = plain_reader((["you are a stupid idiot and i say that people see what a loser this clown is"] + ["lo ser es lo que hay para ser lo mismo y no ser lo otro"] * 8) * 40)
+    lexicon = toxicity.Lexicon({w: (0, 20, 0, 20) for w in ("idiot", "stupid", "loser", "clow*")}, (0, 1), np.array([500, 50, 500, 50]))
+    toxic = lambda t: lexicon.document(t, reader)[0] > 0.5
+    assert all(map(toxic, ["you id iot", "such a stu pid man", "id. iot!", "1d iot", "i d iot", "clo wns here", "i" * 45 + "diot", "s.t.u.p.i.d" + "_" * 60]))
+    assert not any(map(toxic, ["lo ser es", "an id for it", "stu and pid", "plain words only"]))
+
+
 def test_toxicity_edges(spark):
     got = toxicity.score_toxicity(edge_docs(spark), labels(spark)).collect()
     assert len(got) == len(edge_rows()) and all(0 <= r.score <= 1 for r in got)
@@ -386,9 +561,57 @@ def test_quality_sites(spark):
     assert 0 < small.prior_mean < 0.5 and small.prior_strength >= 1
 
 
+def test_quality_by_brute_force(spark):
+    """Posteriors and scores against a plain computation, with sites broadcast and shuffled."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = spark.read.parquet(f"{SF}/labels.parquet")
+    few = quality.BROADCAST_SITES
+    try:
+        for limit in (few, -1):
+            quality.BROADCAST_SITES = limit
+            rows = quality.score_quality(docs, known).collect()
+            p = {id(r): 1 / (1 + np.exp(-r.own_logit)) for r in rows}
+            hosts, paths = defaultdict(list), defaultdict(list)
+            for r in rows:
+                hosts[r.source].append(p[id(r)])
+                paths[r.source, r.lang].append(p[id(r)])
+            mean = np.mean(list(p.values()))
+
+            def strength(groups, centres):
+                n = sum(map(len, groups))
+                between = sum(len(g) * (np.mean(g) - c) ** 2 for g, c in zip(groups, centres, strict=True))
+                noise = sum(c * (1 - c) for c in centres)
+                return min(1e6, max(1.0, mean * (1 - mean) / max(1e-6, (between - noise) / n)))
+
+            k = strength(list(hosts.values()), [mean] * len(hosts))
+            prior = {h: (sum(v) + k * mean) / (len(v) + k) for h, v in hosts.items()}
+            k = strength(list(paths.values()), [prior[h] for h, _ in paths])
+            base = quality.fit_classifier(docs, known).base
+            for r in rows:
+                site = paths[r.source, r.lang]
+                others = (sum(site) - p[id(r)] + k * prior[r.source]) / (len(site) - 1 + k)
+                want = 1 / (1 + np.exp(-(r.own_logit - base + np.log(others / (1 - others)))))
+                assert r.site_mean == pytest.approx(others) and r.quality == pytest.approx(want) and r.kept == (r.quality >= 0.5)
+    finally:
+        quality.BROADCAST_SITES = few
+
+
+def test_quality_without_both_classes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    none = labels(spark).limit(0)
+    for known in (none, spark.createDataFrame([(i, 1, 0) for i in range(40)], none.schema)):
+        rows = quality.score_quality(docs, known).collect()
+        assert len(rows) == 40 and len({r.own_logit for r in rows}) == 1
+
+
 def test_quality_edges(spark):
-    got = quality.score_quality(edge_docs(spark), labels(spark)).collect()
-    assert len(got) == len(edge_rows()) and all(0 <= r.quality <= 1 for r in got)
+    got = quality.score_quality(edge_docs(spark), labels(spark))
+    assert got.columns == [*edge_docs(spark).columns, "own_logit_", "site_mean", "quality_", "kept_"]
+    rows = got.collect()
+    assert len(rows) == len(edge_rows()) and all(0 <= r.quality_ <= 1 for r in rows)
+    tied = quality.score_quality(edge_docs(spark), labels(spark), threshold=rows[0].quality_).where("doc_id = 1 and kept_")
+    assert tied.count() == 1
+    assert quality.keep_quality(edge_docs(spark), labels(spark)).columns == edge_docs(spark).columns
     assert quality.score_quality(empty_docs(spark), labels(spark)).count() == 0
 
 
@@ -439,6 +662,30 @@ def test_near_duplicates_in_large_buckets(spark):
     assert got == components_of(rows, 3, 85)
 
 
+def template_docs(spark, n, rng):
+    """Texts of one template that share just less than the similarity asks for, with few links."""
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for d in range(n):
+        w = list(base)
+        for i in rng.choice(200, 7, replace=False):
+            w[i] = f"v{rng.integers(0, 2000)}"
+        rows.append((d, " ".join(w)))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """Texts just under the limit: right, and pairs that are compared do not explode."""
+    made = []
+    whole = near_dups.prefix_pairs
+    monkeypatch.setattr(near_dups, "prefix_pairs", lambda *a: (made.append(whole(*a).count()), whole(*a))[1])
+    for n in (150, 300):
+        rows, docs = template_docs(spark, n, np.random.default_rng(9))
+        got = {r.doc_id: tuple(r)[1:] for r in near_dups.near_duplicates(docs, 3, 85).collect()}
+        assert got == components_of(rows, 3, 85)
+    assert len(made) == 2 and made[1] <= 4 * made[0] + 40, made
+
+
 def test_near_duplicates_edges(spark):
     got = near_dups.near_duplicates(edge_docs(spark), 3, 85).collect()
     assert len(got) == len(edge_rows())
@@ -452,10 +699,13 @@ def test_near_duplicates_edges(spark):
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201)]
-    found = components.connected_components(spark.createDataFrame(chain, "u long, v long")).collect()
+    scratch = common.Scratch(spark)
+    found = components.connected_components(spark.createDataFrame(chain, "u long, v long"), scratch).collect()
     want = {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100), 200: 200, 201: 200}
     assert {r.node: r.component for r in found} == want
-    assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components.connected_components(spark.createDataFrame([], "u long, v long"), scratch).count() == 0
+    assert len(scratch.paths) == 2
+    scratch.drop()
 
 
 def test_pipeline(spark, tokenizer):
@@ -478,3 +728,67 @@ def test_pipeline(spark, tokenizer):
     check_packing(rows, {r.doc_id: tokenizer(r.text) for r in clean.collect()}, 4096)
     whole = p.run(spark, sf).collect()
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in whole} == {(r.doc_id, r.piece, r.ids_crc32) for r in rows}
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null ids and texts, repeats and clashing columns through all stages, and empty tables."""
+    import corpus_pipeline as p
+
+    bench = spark.createDataFrame([(1, "a question that nobody asks about seven apples and nine pears"), (2, None)], "item_id long, text string")
+    for name, docs in (("edges", edge_docs(spark)), ("empty", empty_docs(spark))):
+        sf = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{sf}/documents.parquet")
+        bench.write.parquet(f"{sf}/benchmark.parquet")
+        labels(spark).write.parquet(f"{sf}/labels.parquet")
+        stage = docs
+        for _, f in p.STAGES[:-1]:
+            stage = f(spark, stage, sf)
+            assert stage.columns == docs.columns and stage.dtypes == docs.dtypes
+        rows = p.run(spark, sf).collect()
+        assert bool(rows) == (name == "edges")
+
+
+def test_pipeline_first_stages_by_brute_force(spark):
+    """Stage 1 keeps what score_quality calls good, stage 2 what the SQL of line dedup leaves."""
+    import duckdb
+
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scored = quality.score_quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    good = p.quality_stage(spark, docs, SF)
+    assert sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in scored if r.quality >= 0.5)
+    con = duckdb.connect()
+    con.register("documents", good.toArrow())
+    want = {d: h for d, _, _, _, h in con.sql(queries.OP6_SQL).fetchall()}
+    lines = p.line_stage(spark, good, SF).collect()
+    assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in lines} == want and all(r.n_chars == len(r.text) for r in lines)
+
+
+def test_long_texts(spark):
+    """Texts of megabytes are read whole by every operator."""
+    docs, bench = long_docs(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    sizes = {d: len(t) for d, t in texts.items()}
+    assert {r.doc_id: r.n_bytes for r in media.media_features(docs).collect()} == {d: len(t.encode()) for d, t in texts.items()}
+    stored = {r.doc_id: r.n_tokens for r in token_store.token_store(docs).collect()}
+    pieces = packing.pack_documents(docs).collect()
+    assert {d: sum(r.length for r in pieces if r.doc_id == d) for d in sizes} == stored and stored[3] > stored[1] > 100_000
+    assert [r.spans for r in secret_spans.scan_secrets(docs).collect()] == [""] * 3
+    assert decontaminate.find_leaks(docs, bench).count() == 0
+    cut = {r.doc_id: r for r in substrings.remove_repeats(docs).collect()}
+    assert cut[1].n_removed == cut[1].n_words == cut[3].n_removed and cut[3].n_words == cut[1].n_words + 1 and cut[2].n_removed == 0
+    assert site_lines.drop_boilerplate(docs).count() == 3
+    assert all(0 <= r.score <= 1 for r in toxicity.score_toxicity(docs, labels(spark)).collect())
+    assert quality.score_quality(docs, labels(spark)).count() == 3
+    assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_scratch_is_removed_and_settings_stay(spark):
+    import os
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, batches = set(os.listdir(root)), spark.conf.get(name)
+    near_dups.near_duplicates(edge_docs(spark)).count()
+    assert {x.split("-")[0] for x in set(os.listdir(root)) - before} == {"groups"} and spark.conf.get(name) == batches
