@@ -22,7 +22,7 @@ def large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour."""
     both = edges.select(F.col("u").alias("node"), F.col("v").alias("near")).unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("near")))
     found = _to_minimum(both).where("near > node")
-    return found.select(F.col("near").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
+    return found.select(F.col("near").alias("u"), F.col("least").alias("v")).where("u <> v")
 
 
 def small_star(edges: DataFrame) -> DataFrame:
@@ -34,21 +34,25 @@ def small_star(edges: DataFrame) -> DataFrame:
     return near.unionByName(own).where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: common.Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component is the smallest node reachable.
 
     ``edges`` has columns u and v; loops, repeats and nulls are ignored.  Each round
-    is written to the shared folder; rounds end when the edges no longer change.
+    is written to the shared folder and the one before it removed; rounds end when the
+    edges no longer change.  The result reads tables of ``scratch``.
     """
-    edges = edges.where("u <> v").select("u", "v").distinct()
-    before = None
+    rounds, before = common.Scratch(scratch.spark), None
+    # stored first: a round reads its edges several times
+    edges = rounds.table(edges.where("u <> v").select("u", "v"), "edges")
     for _ in range(max_rounds):
-        edges = common.materialize(small_star(large_star(edges)), "stars")
+        edges = rounds.table(small_star(large_star(edges)), "stars")
+        rounds.drop(last=1)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    scratch.paths += rounds.paths
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -4,8 +4,9 @@ Documents with equal shingle sets form a class; one document stands for it.  Ban
 of minima put classes into buckets.  A small bucket is compared pair by pair, a large
 one with a centre: the class that shares most buckets with others.  Classes that a
 centre does not link are joined exactly with all classes of their buckets by prefixes
-of their sets in order of rarity.  So a bucket of any size costs in proportion to it,
-and no pair that a bucket holds is left undecided.
+of their sets in order of rarity, so no pair that a bucket holds is left undecided.
+A bucket whose classes are copies of its centre, or texts of one template that differ
+by more than the similarity allows, costs in proportion to its size.
 """
 
 from __future__ import annotations
@@ -186,10 +187,11 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, node, size, place): the rarest shingles of each set that a similar set must share one of.
+    """(token, node, size, place, shorter): the rarest shingles of each set that a similar set must share one of.
 
     Sets are ordered by how many sets hold a shingle.  Shingles of one set alone come
-    first and are left out, but count for the places of the others.
+    first and are left out, but count for the places of the others.  ``shorter`` marks the
+    places that suffice where the partner is at least as large as the set itself.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,22 +206,37 @@ def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     spread = held.groupBy("token").agg(F.count("*").alias("spread")).where("spread > 1")
     shared = held.join(spread, "token").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("spread", "token"))).alias("tokens"))
     alone = F.col("size") - F.size("tokens")
-    # a similar set holds percent of this one at least, so one of the first size - percent + 1 places
+    # any similar set holds percent of this one at least; one as large as this one holds 2 percent / (100 + percent) of it
     places = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - alone
+    fewer = F.col("size") - F.ceil(F.col("size") * 2 * percent / (100 + percent)) + 1
     first = shared.where(places > 0).select("node", "size", alone.alias("alone"), F.posexplode(F.slice("tokens", F.lit(1), places.cast("int"))).alias("i", "t"))
-    return first.select("t.token", "node", "size", (F.col("alone") + F.col("i")).alias("place"))
+    return first.select("t.token", "node", "size", (F.col("alone") + F.col("i")).alias("place")).withColumn("shorter", F.col("place") < fewer)
 
 
-def prefix_pairs(sets: DataFrame, outliers: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of an outlier and a set of another group that can reach the similarity."""
-    first = common.materialize(_with_group(rare_prefixes(sets, percent), groups), "prefixes")
-    left = first.join(outliers, "node", "left_semi").alias("l")
-    right = first.alias("r")
-    # what stands after a shared shingle in either set bounds the intersection
-    needed = percent * (F.col("l.size") + F.col("r.size"))
-    fits = (100 + percent) * F.least(F.col("l.size") - F.col("l.place"), F.col("r.size") - F.col("r.place")) >= needed
-    pairs = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("l.group") != F.col("r.group")) & fits)
-    return pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+def prefix_pairs(prefixes: DataFrame, outliers: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of an outlier and a set of another group that can reach the similarity.
+
+    ``prefixes`` are ``rare_prefixes`` with the group of each set.  The smaller set of a
+    pair shares one of its ``shorter`` places; what stands after a shared shingle in
+    either set bounds the intersection, and so does the number of shingles shared up to the last one.
+    A shingle that a whole template has stands behind the shorter places of sets that are
+    too different to be linked, so these never meet through it.
+    """
+    marked = prefixes.join(outliers.withColumn("outlier", F.lit(True)), "node", "left").withColumn("outlier", F.coalesce("outlier", F.lit(False)))
+
+    def meet(smaller: DataFrame, larger: DataFrame) -> DataFrame:
+        x, y = (side.select("token", *[F.col(c).alias(f"{c}_{n}") for c in ("node", "size", "place", "group")]) for side, n in ((smaller, "x"), (larger, "y")))
+        ordered = (F.col("size_x") < F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("node_x") < F.col("node_y")))
+        alike = (100 * F.col("size_x") >= percent * F.col("size_y")) & (F.col("group_x") != F.col("group_y"))
+        rest = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y"))
+        fits = (100 + percent) * rest >= percent * (F.col("size_x") + F.col("size_y"))
+        return x.join(y, "token").where(ordered & alike & fits)
+
+    shorter = marked.where("shorter")
+    met = meet(shorter.where("outlier"), marked).unionByName(meet(shorter.where("not outlier"), marked.where("outlier")))
+    pairs = met.groupBy("node_x", "node_y", "size_x", "size_y").agg(F.count("*").alias("n"), F.max("place_x").alias("x"), F.max("place_y").alias("y"))
+    most = F.col("n") + F.least(F.col("size_x") - F.col("x"), F.col("size_y") - F.col("y")) - 1
+    return pairs.where((100 + percent) * most >= percent * (F.col("size_x") + F.col("size_y"))).select(*_ordered("node_x", "node_y"))
 
 
 def _with_group(rows: DataFrame, groups: DataFrame, node: str = "node", group: str = "group") -> DataFrame:
@@ -228,32 +245,38 @@ def _with_group(rows: DataFrame, groups: DataFrame, node: str = "node", group: s
     return rows.join(named, node, "left").withColumn(group, F.coalesce("_found", node)).drop("_found")
 
 
-def verified_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified_groups(scratch: common.Scratch, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) by all pairs of classes that share a bucket and reach the similarity.
 
-    A pair of a bucket that could join two groups has a class outside the group of the
-    bucket's centre, so only these outliers are looked at again.
+    ``placed`` has key, node and n, the size of the bucket.  A pair of a bucket that could
+    join two groups has a class outside the group of the bucket's centre, so only these
+    outliers are looked at again; what they add links groups, not classes.
     """
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"))
-    placed = common.materialize(members.join(buckets, "key"), "buckets")
     small = placed.where(F.col("n") <= SMALL_BUCKET).select("key", "node")
     other = small.select("key", F.col("node").alias("other"))
     near = small.join(other, "key").where("node < other").select(*_ordered("node", "other"))
     large = placed.where(F.col("n") > SMALL_BUCKET)
     popular = placed.groupBy("node").agg(F.sum("n").alias("met"))
-    centres = large.join(popular, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("c")).select("key", (-F.col("c.minus")).alias("centre"))
-    spokes = common.materialize(large.join(centres, "key").where("node <> centre").select("key", "node", "centre", *_ordered("node", "centre")), "spokes")
+    best = large.join(popular, "node").groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("minus"))).alias("c"))
+    # stored, so that the join with a hot bucket's members is a plain one that can be split
+    centres = scratch.table(best.select("key", (-F.col("c.minus")).alias("centre")), "centres")
+    spokes = scratch.table(large.join(centres, "key").where("node <> centre").select("key", "node", "centre", *_ordered("node", "centre")), "spokes")
     found = compare(near.unionByName(spokes.select("a", "b")).distinct(), sets, percent).where("linked")
-    groups = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    groups = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     grouped = _with_group(_with_group(spokes, groups), groups, "centre", "centre_group")
-    undecided = common.materialize(grouped.where(F.col("group") != F.col("centre_group")).select("key", "node"), "undecided")
+    undecided = scratch.table(grouped.where(F.col("group") != F.col("centre_group")).select("key", "node"), "undecided")
     if undecided.isEmpty():
         return groups
     outliers = undecided.select("node").distinct()
     crowd = placed.join(undecided.select("key").distinct(), "key", "left_semi").select("node").distinct()
-    more = compare(prefix_pairs(sets.join(crowd, "node", "left_semi"), outliers, groups, percent).distinct(), sets, percent).where("linked")
-    edges = more.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return connected_components(groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(edges))
+    prefixes = scratch.table(_with_group(rare_prefixes(sets.join(crowd, "node", "left_semi"), percent), groups), "prefixes")
+    more = scratch.table(compare(prefix_pairs(prefixes, outliers, percent), sets, percent).where("linked").select("a", "b"), "more")
+    if more.isEmpty():
+        return groups
+    ends = _with_group(_with_group(more, groups, "a", "u"), groups, "b", "v").select("u", "v").distinct()
+    merged = connected_components(ends, scratch).select(F.col("node").alias("group"), F.col("component").alias("merged"))
+    every = groups.select("node", F.col("component").alias("group")).unionByName(merged.select(F.col("group").alias("node"), "group")).distinct()
+    return every.join(merged, "group", "left").groupBy("node").agg(F.min(F.coalesce("merged", "group")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 30, rows: int = 6) -> DataFrame:
@@ -261,31 +284,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their sets
     of ``shingle``-word shingles; component_id is the smallest doc_id reachable and
-    kept says that it is the document's own.  Null and word-free texts are linked with
-    nothing.  A row without doc_id is its own group (component_id null) and kept.  Rows
-    that repeat a doc_id count as one document.  Other columns are ignored.
+    kept says that it is the document's own.  Null, empty and word-free texts are linked
+    with nothing; long texts are read whole.  A row without doc_id is its own group
+    (component_id null) and kept.  Rows that repeat a doc_id count as one document and
+    each get a row; an empty table gives none.  Only doc_id and text are read, so other
+    columns may have any name.
+
+    Shingles of two sets are compared by 48 bits of their hashes: that two different ones
+    of sets of n and m shingles are taken for one has a chance of n * m / 2^48, about
+    4e-9 for texts of a thousand words each.
     """
-    common.small_batches(docs.sparkSession)
-    signed = common.materialize(sign(docs, shingle, bands, rows), "signed")
-    full = signed.where("h1 is not null and doc_id is not null")
-    classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    own = classes.groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("h")).select("node", "h.h1", "h.h2")
-    keyed = full.join(own, (full.doc_id == own.node) & (full.h1 == own.h1) & (full.h2 == own.h2)).select("node", "signature").dropDuplicates(["node"])
-    members = common.materialize(band_members(keyed, bands, rows), "bands")
-    crowded = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = common.materialize(members.join(crowded, "key"), "crowded")
-    nodes = common.materialize(own.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1"), "nodes")
-    sets = common.materialize(class_sets(docs, nodes, shingle, bands, rows), "sets", **{"parquet.block.size": 16 << 20})
-    groups = verified_groups(members, sets, percent)
-    placed = classes.join(groups, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
-    by_set = signed.select("doc_id", "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return by_set.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    with common.scratch(docs.sparkSession) as scratch, common.small_batches(docs.sparkSession):
+        signed = scratch.table(sign(docs, shingle, bands, rows), "signed")
+        full = signed.where("h1 is not null and doc_id is not null")
+        classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
+        own = classes.groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("h")).select("node", "h.h1", "h.h2")
+        keyed = full.join(own, (full.doc_id == own.node) & (full.h1 == own.h1) & (full.h2 == own.h2)).select("node", "signature").dropDuplicates(["node"])
+        every = scratch.table(band_members(keyed, bands, rows), "bands")
+        crowded = scratch.table(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
+        members = scratch.table(every.join(crowded, "key"), "members")
+        nodes = scratch.table(own.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1"), "nodes")
+        sets = scratch.table(class_sets(docs, nodes, shingle, bands, rows), "sets", **{"parquet.block.size": 16 << 20})
+        groups = verified_groups(scratch, members, sets, percent)
+        placed = classes.join(groups, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
+        by_set = signed.select("doc_id", "n_shingles", "h1", "h2").join(placed, ["h1", "h2"], "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        return common.materialize(by_set.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "groups")
 
 
 def drop_near_duplicates(docs: DataFrame, **options: int) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group left; columns as they are."""
-    gone = common.materialize(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    """``docs`` with one document of each near-duplicate group left, with exactly their columns.
+
+    Texts are read as in ``near_duplicates``: rows without doc_id and those without words
+    stay, repeated rows of a kept doc_id too, and columns of ``docs`` may have any name.
+    """
+    of = common.fresh("gone", docs.columns)
+    gone = common.materialize(near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias(of)).distinct(), "gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(of), "left_anti")

@@ -78,7 +78,7 @@ def layout(size: int, tasks: int) -> tuple[int, int]:
 
     Batches times ranges is the number of rows between them, which grows with the square of
     the input while both keep their size.  So beyond some 40 GB both grow, within what a
-    task can hold, for rows of ``ROW_HASHES`` hashes: at 1 TB a row still holds 100,
+    task can hold, for rows of ``ROW_HASHES`` hashes: at 1 TB a row still holds 50,
     at 100 TB about four.
     """
     windows = size / WORD_BYTES
