@@ -87,7 +87,8 @@ def _logit_column(model: Logistic) -> Column:
         parts = [model.logit(_features(texts.iloc[i : i + 512])) for i in range(0, len(texts), 512)]
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return logit(common.text_bytes())
+    # never null: else a filter on what follows would add a null test, and the texts go to Python twice
+    return F.coalesce(logit(common.text_bytes()), F.lit(0.0))
 
 
 def _probabilities(texts: DataFrame, model: Logistic) -> DataFrame:
