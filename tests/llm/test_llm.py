@@ -314,6 +314,12 @@ def test_decontamination_templates(spark):
     finally:
         decontaminate.FILTER_WINDOWS = whole
     assert decontaminate.drop_leaks(edge_docs(spark), bench).count() == len(edge_rows())
+    few = decontaminate.BROADCAST_LEAKS
+    decontaminate.BROADCAST_LEAKS = -1
+    try:
+        assert [r.doc_id for r in decontaminate.drop_leaks(docs, bench).orderBy("doc_id").collect()] == [2, 3, 5, 6]
+    finally:
+        decontaminate.BROADCAST_LEAKS = few
     assert decontaminate.find_leaks(empty_docs(spark), bench).count() == 0
     assert decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
 
@@ -453,6 +459,18 @@ def test_substrings(spark, texts):
     assert sorted(map(tuple, queries.op7_substring_dedup(spark, SF).collect())) == sorted(repeats(texts, 35))
 
 
+def test_substrings_spread_equal_rows_and_layout(spark):
+    """Equal rows lie in several batches; batches and ranges keep within a task at every size."""
+    rows = [(1, " ".join(f"w{i}" for i in range(60)))] * 400
+    cut = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(cut) == 400 and all(r.n_removed == 60 for r in cut)
+    for size in (0, 10**6, 10**9, 10**11, 10**12, 10**14):
+        batches, bits = substrings.layout(size, 200)
+        windows = size / substrings.WORD_BYTES
+        assert size / batches <= substrings.MOST_BATCH_BYTES and windows / 2**bits <= substrings.MOST_RANGE_WINDOWS
+        assert windows < 10**9 or batches * 2**bits <= windows / 3
+
+
 def test_substrings_edges(spark):
     rows = [(d, t or "") for d, t, *_ in edge_rows()]
     for window in (1, 5, 35):
@@ -645,8 +663,8 @@ def test_near_duplicates(spark, texts):
     assert got == components_of(texts, 3, 85)
 
 
-def test_near_duplicates_in_large_buckets(spark):
-    """Many variants of one text, some linked to few others, and many texts that share a passage."""
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """Many variants of one text, some linked to few others, and many texts that share a passage; by either plan."""
     rng = np.random.default_rng(8)
     base = [f"w{i}" for i in range(170)]
     rows = []
@@ -658,8 +676,13 @@ def test_near_duplicates_in_large_buckets(spark):
     for d in range(160, 260):
         rows.append((d, " ".join(base[:60] + [f"u{d}_{i}" for i in range(60)])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in near_dups.near_duplicates(docs, 3, 85).collect()}
-    assert got == components_of(rows, 3, 85)
+    want = components_of(rows, 3, 85)
+    for ids, bucket in ((near_dups.BROADCAST_IDS, near_dups.SMALL_BUCKET), (-1, 2)):
+        monkeypatch.setattr(near_dups, "BROADCAST_IDS", ids)
+        monkeypatch.setattr(near_dups, "SMALL_BUCKET", bucket)
+        assert {r.doc_id: tuple(r)[1:] for r in near_dups.near_duplicates(docs, 3, 85).collect()} == want
+    left = near_dups.drop_near_duplicates(docs, shingle=3, percent=85)
+    assert {r.doc_id for r in left.collect()} == {d for d, (_, _, kept) in want.items() if kept}
 
 
 def template_docs(spark, n, rng):
