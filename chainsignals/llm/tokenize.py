@@ -2,9 +2,9 @@
 
 White space and the vocabulary's splitting rule cut a normalized text into pieces
 (letter runs, single digits, runs of other signs) that are encoded one by one.
-Words and pieces repeat, so each worker keeps two caches, from space-free word and
-from piece to ids, and hands only new pieces to the tokenizers library.  The caches are
-bounded in bytes, as a worker lives through many tasks beside the executor's JVM.
+Pieces repeat, so each worker keeps a cache from piece to ids and hands only new pieces
+to the tokenizers library.  The cache is bounded in bytes, as a worker lives through
+many tasks beside the executor's JVM.
 A text with any character outside the plain Latin range, or with what may be a
 special token, goes to the library as a whole.
 """
@@ -19,8 +19,8 @@ import numpy as np
 END_ID = 1
 #: Latin-1 characters for which normalizing is lower-casing alone.
 _PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *(x for x in range(0xC0, 0x100) if x not in (0xD7, 0xF7))])
-#: The vocabulary's splitting pattern, narrowed to those characters (fixed value).
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+#: The vocabulary's splitting pattern, narrowed to those characters, letters first (fixed value).
+_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^\\sa-z0-9ß-öø-ÿ]+")
 
 
 class Generations:
@@ -38,23 +38,17 @@ class Generations:
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def missing(self, keys: set[str]) -> set[str]:
-        """Those of ``keys`` that neither dictionary holds; the others are in the newer one after it."""
-        known = {k: v for k in keys if (v := self.old.get(k)) is not None}
-        self.add(known)
-        return keys - known.keys() - self.new.keys()
-
     def add(self, found: dict[str, bytes]) -> None:
         if self.size > self.half:
             self.old, self.new, self.size = self.new, {}, 0
         self.new.update(found)
-        self.size += sum(map(len, found)) + sum(map(len, found.values())) + self.ENTRY * len(found)
+        self.size += len("".join(found)) + len(b"".join(found.values())) + self.ENTRY * len(found)
 
 
 class PieceEncoder:
     """Encodes whole texts (UTF-8 bytes) to ids as little-endian bytes."""
 
-    def __init__(self, path: str | None = None, dtype: str = "<u4", cache_bytes: int = 80 << 20):
+    def __init__(self, path: str | None = None, dtype: str = "<u4", cache_bytes: int = 96 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -64,47 +58,30 @@ class PieceEncoder:
             path = public_tokenizers.path("word_bpe_49k.json")
         self.whole = Tokenizer.from_file(path)
         #: The same model for pieces that are already normalized and split; ASCII bytes stand for themselves.
-        self.ascii, self.latin = Tokenizer(self.whole.model), Tokenizer(self.whole.model)
-        self.ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.model, self.latin = self.whole.model, Tokenizer(self.whole.model)
         self.latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = np.dtype(dtype)
         vocab = self.whole.get_vocab()
         if max(vocab.values()) > np.iinfo(self.dtype).max:
             raise ValueError(f"ids of {path} do not fit {dtype}")
-        self.ends_piece = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends_piece[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words, self.pieces = Generations(cache_bytes * 2 // 3), Generations(cache_bytes // 3)
+        width, every = self.dtype.itemsize, np.arange(max(vocab.values()) + 1, dtype=self.dtype).tobytes()
+        self.raw = [every[i : i + width] for i in range(0, len(every), width)]
+        self.pieces = Generations(cache_bytes)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _encode_pieces(self, by, pieces: list[str]) -> dict[str, bytes]:
-        width, found = self.dtype.itemsize, {}
-        for at in range(0, len(pieces), 1024):
-            part = pieces[at : at + 1024]
-            ids = np.array(by.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
-            ends = ((np.flatnonzero(self.ends_piece[ids]) + 1) * width).tolist()
-            if len(ends) == len(part):
-                raw = ids.tobytes()
-                found.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=False))
-            else:
-                found.update((p, self._whole(p)) for p in part)
-        return found
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of each word, from the caches where they are there."""
-        new = self.words.missing(words)
-        cut = {w: _PIECES.findall(w) for w in new}
-        pieces = {p for ps in cut.values() for p in ps}
-        unknown = self.pieces.missing(pieces)
-        found = self._encode_pieces(self.ascii, [p for p in unknown if p.isascii()])
-        found |= self._encode_pieces(self.latin, [p for p in unknown if not p.isascii()])
-        known = {p: found[p] if p in found else self.pieces.new[p] for p in pieces}
-        self.pieces.add(found)
-        learned = {w: known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for w, ps in cut.items()}
-        known_words = {w: self.words.new[w] for w in words - new}
-        self.words.add(learned)
-        return known_words | learned
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that the newer cache does not hold."""
+        old, tokenize, raw, learned = self.pieces.old.get, self.model.tokenize, self.raw, {}
+        for p in pieces:
+            ids = old(p)
+            if ids is None:
+                found = [t.id for t in tokenize(p)] if p.isascii() else self.latin.encode(p, add_special_tokens=False).ids
+                ids = b"".join([raw[i] for i in found])
+            learned[p] = ids
+        self.pieces.add(learned)
+        return learned
 
     @staticmethod
     def _plain(text: str) -> bool:
@@ -123,18 +100,18 @@ class PieceEncoder:
             while at < len(texts) and (not group or size + len(texts[at]) <= 2_000_000):
                 text = texts[at].decode("utf-8", "replace")
                 if self._plain(text):
-                    words = text.lower().split()
-                    ids = list(map(self.words.new.get, words))
-                    group.append((ids, [(i, words[i]) for i, x in enumerate(ids) if x is None]))
+                    pieces = _PIECES.findall(text.lower())
+                    ids = list(map(self.pieces.new.get, pieces))
+                    group.append((ids, [(i, pieces[i]) for i, x in enumerate(ids) if x is None]))
                 else:
                     group.append(([self._whole(text)], []))
                 size += len(text)
                 at += 1
-            new = {w for _, gaps in group for _, w in gaps}
+            new = {p for _, gaps in group for _, p in gaps}
             learned = self._learn(new) if new else {}
             for ids, gaps in group:
-                for i, w in gaps:
-                    ids[i] = learned[w]
+                for i, p in gaps:
+                    ids[i] = learned[p]
                 out.append(b"".join(ids))
         return out
 
