@@ -629,7 +629,9 @@ def test_quality_edges(spark):
     assert len(rows) == len(edge_rows()) and all(0 <= r.quality_ <= 1 for r in rows)
     tied = quality.score_quality(edge_docs(spark), labels(spark), threshold=rows[0].quality_).where("doc_id = 1 and kept_")
     assert tied.count() == 1
-    assert quality.keep_quality(edge_docs(spark), labels(spark)).columns == edge_docs(spark).columns
+    left = quality.keep_quality(edge_docs(spark), labels(spark))
+    assert left.columns == edge_docs(spark).columns
+    assert left._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert quality.score_quality(empty_docs(spark), labels(spark)).count() == 0
 
 
