@@ -432,16 +432,17 @@ class Lexicon:
         A space may vanish at the channel's cost for a separator, if the language model
         finds the word clearly likelier than the pieces as words of their own.
         """
-        word, channel = self.token(tokens[i], reader)[1], reader.channel
-        apart = channel.odds(word)
+        known, channel = self.tokens.get, reader.channel
+        word = (known(tokens[i]) or self.token(tokens[i], reader))[1]
         for n, token in enumerate(tokens[i + 1 : i + _PIECES], start=1):
-            piece = self.token(token, reader)[1]
+            piece = (known(token) or self.token(token, reader))[1]
             if not piece:
                 return ""
-            word, apart = word + piece, apart + _BREAK + channel.odds(piece)
+            word += piece
             if self.weight(word) > 0.5:
-                stretch = " ".join(map(_piece, tokens[i : i + n + 1]))
-                whole = channel.decode(stretch)
+                pieces = [_piece(t) for t in tokens[i : i + n + 1]]
+                whole = channel.decode(" ".join(pieces))
+                apart = sum(channel.odds(p.translate(_LIKELY)) for p in pieces) + n * _BREAK
                 if self.weight(whole) > 0.5 and channel.odds(whole) + n * _SKIP >= apart + _JOIN_MARGIN:
                     return whole
             if word not in self.starts:
