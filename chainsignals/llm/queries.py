@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, media, near_dups, packing, quality, secret_spans, site_lines, substrings, token_store, toxicity
+from . import alignment, common, decontaminate, media, near_dups, packing, quality, secret_spans, site_lines, substrings, token_store, toxicity
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(common.table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
     return dict(sorted(found.items()))
