@@ -32,10 +32,10 @@ class Rule(NamedTuple):
 
 
 RULES = (
-    Rule("word_length", "word_chars", "n_words", 400, low=True),
+    Rule("word_length", "word_chars", "n_words", 500, low=True),
     Rule("symbols", "n_symbols", "n_words", 25),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", 100),
-    Rule("repeats", "n_repeat_words", "n_words", 45),
+    Rule("repeats", "n_repeat_words", "n_words", 50),
 )
 #: A cutoff lies so many spreads (between quartile and median) beyond the quartile.
 REACH = 4

@@ -178,7 +178,7 @@ WITH w AS (
 ), b AS (
     SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
 ), shares AS (
-    SELECT doc_id, lang, source, base_failed, unnest(['word_length', 'symbols', 'duplicate_lines', 'repeats']) AS rule, unnest([400, 25, 100, 45]) AS slack,
+    SELECT doc_id, lang, source, base_failed, unnest(['word_length', 'symbols', 'duplicate_lines', 'repeats']) AS rule, unnest([500, 25, 100, 50]) AS slack,
            unnest([coalesce(1000 * word_chars // nullif(n_words, 0), 0), coalesce(1000 * n_symbols // nullif(n_words, 0), 0),
                    coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0), coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0)]) AS v FROM b
 ), sketch AS (
