@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import payloads, words
 from ..functions.addresses import padded_topic
 from ..operators import decoding
-from ..sources import dims, tables
+from ..sources import dims, io, log_store, tables
 from .registry import query
 
 USDC, WETH, WBTC = "0x" + "1" * 40, "0x" + "2" * 40, "0x" + "3" * 40
@@ -126,8 +126,11 @@ def dec_exact_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RAW} SELECT '0xtx' || CAST(event_id AS VARCHAR) AS tx_hash FROM ev_raw WHERE event_id % 11 <> 0 AND event_id // 10 BETWEEN 20 AND 70 AND chain IN ('mantle', 'ethereum')")
 def src1_flt4_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of blocks of two chains, read from the log store; only their folders and row groups are read."""
+    path = io.scratch_path(spark, "logs")
+    log_store.append_logs(raw_logs(spark, sf_dir), path, span=25)
     chains = decoding.enabled_chains(["mantle", "nowhere", "ethereum"])
-    return decoding.scan_logs(raw_logs(spark, sf_dir), pools(spark), 20, 70, chains).select("tx_hash")
+    return log_store.scan_range(spark, path, pools(spark), 20, 70, chains, span=25).select("tx_hash")
 
 
 @query(f"WITH {RAW}, {LOGS} SELECT chain, count(*) AS n, round(sum(round(units / 1e6, 4)), 4) AS usd FROM logs WHERE block BETWEEN 10 AND 80 AND event_type <> 'error' AND round(units / 1e6, 4) >= 50 GROUP BY chain")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,6 +11,14 @@ from pyspark.sql.types import StructType
 from . import schemas
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in ``spark.checkpoint.dir``, the folder that driver and executors share."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, path: str, schema: str, form: str = "parquet", **options: str) -> DataFrame:
     """A stored table with its fixed schema; ``form`` is any of Spark's sources."""
     return spark.read.format(form).options(**options).schema(schema).load(path)

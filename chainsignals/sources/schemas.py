@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 RAW_LOGS = "chain string, address string, topics array<string>, data string, block_number string, tx_hash string, log_index string"
+#: As ``log_store`` lays raw logs out: numbers are numbers, and a span of blocks is a folder.
+LOG_STORE = "chain string, span bigint, block bigint, address string, topics array<string>, data string, tx_hash string, log_index int"
 EVENTS = "chain string, block bigint, tx string, log_index int, protocol string, pool string, wallet string, type string, usd double, ts timestamp"
 #: Queue payload of an event; short fields stand in for missing full ones.
 EVENT_PAYLOAD = "chain string, block bigint, tx string, tx_full string, protocol string, pool string, pool_full string, wallet string, wallet_full string, type string, usd double, ts string"
