@@ -50,6 +50,20 @@ def rolling_baseline(hourly: DataFrame, key: tuple[str, ...] = KEY, hours: int =
     return parts.select(*key, "hour", "volume", "n", "nonzero_hours", mean.alias("baseline_mean"), F.when(ready, F.sqrt(variance)).alias("baseline_std"))
 
 
+def open_state(hourly: DataFrame, key: tuple[str, ...] = KEY, hours: int = 336) -> DataFrame:
+    """What a stream needs to go on after a history: one row for each key.
+
+    first is the key's first hour, hour its newest one, which is still open, volume what
+    that hour has so far; hours and volumes list the completed hours that may still count,
+    at most ``hours`` of them.
+    """
+    ends = hourly.groupBy(*key).agg(F.min("hour").alias("first"), F.max("hour").alias("open_hour"))
+    recent = hourly.join(ends, list(key)).where(F.col("hour") >= F.col("open_hour") - hours)
+    past = F.col("hour") < F.col("open_hour")
+    rows = recent.groupBy(*key, "first", "open_hour").agg(F.max(F.when(~past, F.col("volume"))).alias("volume"), F.sort_array(F.collect_list(F.when(past, F.struct("hour", "volume")))).alias("done"))
+    return rows.select(*key, "first", F.col("open_hour").alias("hour"), "volume", F.col("done.hour").alias("hours"), F.col("done.volume").alias("volumes"))
+
+
 def threshold(default: float = 2.5, overrides: dict[str, float] | None = None) -> Column:
     """z-score threshold of the row's chain."""
     return dims.lookup(overrides, F.col("chain"), F.lit(default)) if overrides else F.lit(default)

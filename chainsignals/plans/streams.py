@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +12,7 @@ from .registry import query
 
 
 def _scratch(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return io.scratch_path(spark, "stream")
 
 
 def event_stream(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
@@ -54,7 +49,7 @@ def stm5_cooldown_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large events of a wallet and pool, at most one a day, from state."""
     path = _scratch(spark)
     stream = event_stream(spark, sf_dir, path).where("usd >= 60")
-    return jobs.run_once(jobs.cooldown(stream, ("wallet", "pool"), 86_400_000_000, ["event_id", "us"]), f"{path}/out", f"{path}/checkpoint")
+    return jobs.run_once(jobs.cooldown(stream, ("wallet", "pool"), 86_400_000_000, ["event_id", "us"], late="2 hours"), f"{path}/out", f"{path}/checkpoint")
 
 
 def _score_sql() -> str:
@@ -72,6 +67,38 @@ def stm3_scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.round(F.when(~F.isnan("z"), F.col("z")), 6).alias("z"))
 
 
+HALF = 1_705_276_800_000_000
+
+
+def _seeded_sql() -> str:
+    from .detection import BASE
+
+    return tables.with_ctes("ev", f"SELECT event_id, round(z, 6) AS z FROM scored WHERE us >= {HALF}", BASE)
+
+
+@query(_seeded_sql())
+def src5_seeded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that begins at half time, seeded with the batch baseline of what was before, scores as the batch job does."""
+    path = _scratch(spark)
+    ev = tables.events(spark, sf_dir).select("chain", "pool", "type", "event_id", "us", "usd")
+    ev.where(f"us >= {HALF}").write.parquet(f"{path}/in")
+    live = spark.readStream.schema(ev.schema).parquet(f"{path}/in")
+    rows = jobs.run_once(jobs.seeded_score(ev.where(f"us < {HALF}"), live), f"{path}/out", f"{path}/checkpoint")
+    return rows.select("event_id", F.round(F.when(~F.isnan("z"), F.col("z")), 6).alias("z"))
+
+
+@query(tables.with_ctes("ev", "SELECT chain, pool, type, us // 3600000000 * 3600000000 AS hour_us, round(sum(usd), 4) AS volume FROM ev GROUP BY ALL"))
+def stm7_reopened_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the events comes after the rest and reopens its hours; the newest versions are those of a batch run."""
+    path = _scratch(spark)
+    ev = tables.events(spark, sf_dir)
+    for part in ("event_id % 10 <> 0", "event_id % 10 = 0"):
+        ev.where(part).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(ev.schema).parquet(f"{path}/in")
+        jobs.hour_versions(stream, f"{path}/hours", f"{path}/checkpoint", late="60 days").awaitTermination()
+    return jobs.current_hours(jobs.read_versions(spark, f"{path}/hours")).select("chain", "pool", "type", "hour_us", F.round("volume", 4).alias("volume"))
+
+
 @query(tables.with_ctes("ev", "SELECT sink, count(*) AS n, round(sum(usd), 2) AS usd FROM (SELECT unnest(CASE WHEN usd >= 50 THEN ['all', 'large'] ELSE ['all'] END) AS sink, usd FROM ev) GROUP BY sink"))
 def src7_stm1_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stream to two sinks."""
@@ -92,8 +119,8 @@ def _group_sql() -> str:
 def stm4_wallet_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of wallets that act together, from state; the gates and results of the batch job."""
     path = _scratch(spark)
-    stream = event_stream(spark, sf_dir, path).select("chain", "pool", "type", "event_id", "us", "wallet", "usd")
-    rows = jobs.run_once(jobs.wallet_alerts(stream, min_usd=250.0, limit=0.5), f"{path}/out", f"{path}/checkpoint")
+    stream = event_stream(spark, sf_dir, path).select("chain", "pool", "type", "event_id", "ts", "us", "wallet", "usd")
+    rows = jobs.run_once(jobs.wallet_alerts(stream, min_usd=250.0, limit=0.5, late="2 hours"), f"{path}/out", f"{path}/checkpoint")
     return rows.withColumn("window_usd", F.round("window_usd", 4))
 
 
