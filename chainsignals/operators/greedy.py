@@ -1,10 +1,11 @@
 """Operators whose answer depends on what was emitted before: cooldowns, dedup, budgets.
 
-Rows that pass every other test are few.  They are walked in order, partition by
-partition, in Arrow batches with a small state between them: no group becomes a frame of
-its own, however many small ones there are, and none is held whole, however large it is.
-A gap as long as the cooldown makes the next row independent of all before, so keys are
-cut into chunks at gaps and the chunks dealt over the tasks.
+Plain cooldowns and budgets are worked off in blocks of time (``blocks``), so that a key
+with most of the rows is dealt over all tasks.  Rules with a memory of more than a number
+are walked in order, partition by partition, in Arrow batches with a small state between
+them: no group becomes a frame of its own and none is held whole.  A gap as long as
+the cooldown makes the next row independent of all before, so their keys are cut into
+chunks at gaps and the chunks dealt over the tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 
 def chunked(rows: DataFrame, key: tuple[str, ...], gap_us: int, order: tuple[str, ...] = ("us",)) -> DataFrame:
     """``rows`` with the number of their independent chunk within the key, and starts_chunk, 1 for its first row."""
@@ -41,27 +44,26 @@ def emit_with_cooldown(rows: DataFrame, key: tuple[str, ...], cooldown_us: int,
     A row exactly the cooldown later is emitted, unless ``signature`` (a column, arrays
     too) was emitted within ``memory_us`` (inclusive) before.
     """
+    if signature is None:
+        return blocks.cooldown(rows, key, cooldown_us, order)
     memory = cooldown_us if memory_us is None else memory_us
-    dealt = chunked(rows, key, max(cooldown_us, memory), order)
-    mark = F.to_json(F.struct(signature)) if signature else F.lit("")
-    dealt = dealt.withColumn("_mark", mark)
+    dealt = chunked(rows, key, max(cooldown_us, memory), order).withColumn("_mark", F.to_json(F.struct(signature)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, seen = None, {}
         for batch in batches:
             starts, us = batch["starts_chunk"].to_numpy(), batch["us"].to_numpy()
-            marks = batch["_mark"].to_pylist() if signature else None
+            marks = batch["_mark"].to_pylist()
             keep = np.zeros(len(us), bool)
             for i, (first, t) in enumerate(zip(starts.tolist(), us.tolist(), strict=True)):
                 if first:
                     last, seen = None, {}
                 if last is not None and t - last < cooldown_us:
                     continue
-                if signature:
-                    if marks[i] in seen and seen[marks[i]] >= t - memory:
-                        continue
-                    seen = {m: at for m, at in seen.items() if at >= t - memory}
-                    seen[marks[i]] = t
+                if marks[i] in seen and seen[marks[i]] >= t - memory:
+                    continue
+                seen = {m: at for m, at in seen.items() if at >= t - memory}
+                seen[marks[i]] = t
                 last, keep[i] = t, True
             yield batch.filter(pa.array(keep))
 
@@ -77,30 +79,9 @@ def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key:
     """``rows`` with allowed: spent so far plus ``amount`` stays within ``budget``.
 
     Only allowed rows for which ``spends`` is true add to what the key has spent.  A row
-    without an amount is refused.  The walk carries one number for each key.
+    without an amount is refused.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
-    starts = rows.withColumn("_starts", (F.row_number().over(w) == 1).cast("int"))
-    result = rows.withColumn("allowed", F.lit(True)).withColumn("spent_before", F.lit(0.0))
-    names = rows.columns
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spent = 0.0
-        for batch in batches:
-            allowed, before = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows)
-            values = zip(batch["_starts"].to_pylist(), batch[amount].to_pylist(), batch[spends].to_pylist(), strict=True)
-            for i, (first, value, counts) in enumerate(values):
-                if first:
-                    spent = 0.0
-                before[i] = spent
-                if value is not None and spent + value <= budget:
-                    allowed[i] = True
-                    if counts:
-                        spent += value
-            kept = [batch[c] for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(allowed), pa.array(before)], [*names, "allowed", "spent_before"])
-
-    return _walked(starts, key, order, walk, _ddl(result))
+    return blocks.within_budget(rows, amount, spends, budget, key, order)
 
 
 def anchor_clusters(events: DataFrame, key: tuple[str, ...] = ("chain", "pool", "type"), window_us: int = 1_800_000_000, min_wallets: int = 2, whale_z: float = 4.0, order: tuple[str, ...] = ("us", "event_id")) -> DataFrame:

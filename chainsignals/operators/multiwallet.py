@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .baseline import KEY
 
 MINUTE_US = 60_000_000
@@ -20,27 +25,78 @@ def _blocks(events: DataFrame, window_us: int, block_us: int) -> DataFrame:
     return events.withColumn("own_block", block).withColumn("block", F.explode(copies))
 
 
-def wallet_windows(scored: DataFrame, key: tuple[str, ...] = KEY, window_us: int = 30 * MINUTE_US, block_us: int = 360 * MINUTE_US) -> DataFrame:
+def distinct_active(us: np.ndarray, wallet: np.ndarray, window_us: int) -> np.ndarray:
+    """For each row of sorted ``us`` how many wallets have a row in the window up to it.
+
+    A wallet counts from a row that follows none of its own within the window until a
+    window after one that none of its own follows, so two sorted lists of such ends give
+    all counts.  Wallets are codes; negative ones do not count.
+    """
+    by_wallet = np.argsort(wallet, kind="stable")
+    by_wallet = by_wallet[wallet[by_wallet] >= 0]
+    own, at = wallet[by_wallet], us[by_wallet]
+    apart = (own[1:] != own[:-1]) | (at[1:] - at[:-1] > window_us)
+    begins, ends = at[np.append(True, apart)[: len(at)]], at[np.append(apart, True)[-len(at) :] if len(at) else []] + window_us
+    return np.searchsorted(np.sort(begins), us, "right") - np.searchsorted(np.sort(ends), us, "left")
+
+
+def _listed(us: np.ndarray, wallets: list, window_us: int, wanted: np.ndarray) -> list[list[str] | None]:
+    """The wallets in the window up to each wanted row, sorted; rows of one instant see each other."""
+    inside: dict[str, int] = {}
+    lo = hi = 0
+    found: list[list[str] | None] = [None] * len(us)
+    for i in np.flatnonzero(wanted).tolist():
+        end, start = int(np.searchsorted(us, us[i], "right")), int(np.searchsorted(us, us[i] - window_us))
+        for w in wallets[hi:end]:
+            inside[w] = inside.get(w, 0) + 1
+        for w in wallets[lo : min(start, end)]:
+            inside[w] -= 1
+            if not inside[w]:
+                del inside[w]
+        lo, hi = start, end
+        found[i] = sorted(w for w in inside if w is not None)
+    return found
+
+
+def wallet_windows(scored: DataFrame, key: tuple[str, ...] = KEY, window_us: int = 30 * MINUTE_US, block_us: int = 360 * MINUTE_US, listed: int | None = None) -> DataFrame:
     """For each scorable event the scorable events of its key in the window before it.
 
     Adds wallets (sorted), n_wallets, window_usd, n_events, first_us, last_us and z_window.
     Rows of one instant see each other.  A key is cut into blocks of time with a halo of
-    one window, so that no task grows with a pool's share of all events.
+    one window, so that no task grows with a pool's share of all events.  Counts and sums
+    take time in proportion to the events, however many a window holds; wallets are listed
+    only where they are at most ``listed`` (all if None), and null elsewhere.
     """
     if block_us < window_us:
         raise ValueError("a block must be as long as the window")
     rows = _blocks(scored.where("z is not null"), window_us, block_us)
-    frame = Window.partitionBy(*key, "block").orderBy("us").rangeBetween(-window_us, 0)
-    seen = rows.select(
-        "*",
-        F.sort_array(F.collect_set("wallet").over(frame)).alias("wallets"),
-        F.sum("usd").over(frame).alias("window_usd"),
-        F.count("*").over(frame).alias("n_events"),
-        F.min("us").over(frame).alias("first_us"),
-        F.max("us").over(frame).alias("last_us"),
-    ).where("block = own_block")
+    group = (*key, "block")
+    schema = blocks.ddl(rows) + ", wallets array<string>, n_wallets int, window_usd double, n_events long, first_us long, last_us long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in blocks.whole_groups(batches, group):
+            every, usd = table["us"].to_numpy(), np.nan_to_num(table["usd"].to_numpy().astype(np.longdouble))
+            names = table["wallet"].combine_chunks()
+            codes = np.asarray(names.dictionary_encode().indices.fill_null(-1), np.int64)
+            wallets: list = []
+            found: list[list[np.ndarray]] = []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                us, before = every[a:b], np.concatenate([[0], np.cumsum(usd[a:b])])
+                lo, hi = np.searchsorted(us, us - window_us), np.searchsorted(us, us, "right")
+                n = distinct_active(us, codes[a:b], window_us)
+                found.append([n, (before[hi] - before[lo]).astype(float), hi - lo, us[lo], us])
+                wallets += _listed(us, names[a:b].to_pylist(), window_us, n <= (len(us) if listed is None else listed))
+            columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+            types = [pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+            out = table.append_column("wallets", pa.array(wallets, pa.list_(pa.string())))
+            for name, x, t in zip(("n_wallets", "window_usd", "n_events", "first_us", "last_us"), columns, types, strict=True):
+                out = out.append_column(name, pa.array(x, t))
+            own = pc.equal(table["block"], table["own_block"])
+            yield from out.filter(own).to_batches()
+
+    seen = blocks.dealt(rows, group, ("us",)).mapInArrow(run, schema)
     z = (F.col("window_usd") - F.col("baseline_mean")) / F.col("baseline_std")
-    return seen.drop("block", "own_block").withColumn("n_wallets", F.size("wallets")).withColumn("z_window", z)
+    return seen.drop("block", "own_block").withColumn("z_window", z)
 
 
 def exact_wallet_windows(scored: DataFrame, key: tuple[str, ...] = KEY, order: tuple[str, ...] = ("us", "block_number", "log_index"), window_us: int = 30 * MINUTE_US, block_us: int = 360 * MINUTE_US, cap: int = 500) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import baseline, classify, greedy, multiwallet, reports
+from ..operators import baseline, classify, greedy, multiwallet, reports, sketches
 from ..sources import tables
 from .registry import query
 
@@ -51,7 +51,7 @@ def solo_emitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = multiwallet.wallet_windows(scored_events(spark, sf_dir))
+    windows = multiwallet.wallet_windows(scored_events(spark, sf_dir), listed=15)
     return multiwallet.coordinated(windows, GROUP_USD, 0.5)
 
 
@@ -254,6 +254,17 @@ def agg15_scoring_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.scoring_stats(scored_events(spark, sf_dir))
 
 
+@query(tables.with_ctes("ev", "SELECT chain, us // 86400000000 AS day, count(DISTINCT wallet) AS wallets, true AS within FROM ev GROUP BY ALL"))
+def agg18_merged_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct wallets of a day from its hours' sketches, against the exact count."""
+    ev = tables.events(spark, sf_dir)
+    hours = sketches.hourly_sketches(ev, "wallet", ("chain",))
+    days = sketches.merged(hours, "chain", F.floor(F.col("hour") / 24).alias("day"))
+    exact = ev.groupBy("chain", F.floor(F.col("us") / 86_400_000_000).alias("day")).agg(F.countDistinct("wallet").alias("wallets"))
+    near = F.abs(F.col("distinct") - F.col("wallets")) <= 3 * sketches.standard_error() * F.col("wallets")
+    return exact.join(days, ["chain", "day"]).select("chain", "day", "wallets", near.alias("within"))
+
+
 @query(tables.with_ctes("ev", "SELECT count(DISTINCT (chain, pool, type)) AS baseline_keys, count(DISTINCT pool) AS pools FROM ev"))
 def agg18_distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.events(spark, sf_dir).agg(F.countDistinct("chain", "pool", "type").alias("baseline_keys"), F.countDistinct("pool").alias("pools"))
