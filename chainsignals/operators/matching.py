@@ -73,15 +73,20 @@ def entitled(is_pro: Column, expires_us: Column, now_us: Column) -> Column:
 def cap_free_tier(matches: DataFrame, per_day: int = 3) -> DataFrame:
     """Matches that are delivered: all of pro accounts, the first ``per_day`` a UTC day of the others.
 
-    Matches of pro accounts need no rank.  Of the others only the first of a day are
-    ranked: each task keeps ``per_day`` rows of a subscriber and day before the shuffle.
-    Accounts that are pro for good have no others.
+    What an account is decides how its matches are judged, so each goes one way only, and
+    the tests of the account reach its table before it is joined: accounts that are pro for
+    good need no rank; of those never pro each task keeps ``per_day`` rows of an account
+    and day before the shuffle; those that end are ranked in full, as matches before the
+    end count too.
     """
     w = Window.partitionBy("sub_id", F.floor(F.col("detected_us") / DAY_US)).orderBy("detected_us", "id")
-    pro = F.coalesce(entitled(F.col("is_pro"), F.unix_micros("pro_expires_at"), F.col("detected_us")), F.lit(False))
-    always = F.coalesce(F.col("is_pro") & F.col("pro_expires_at").isNull(), F.lit(False))
-    first = matches.where(~always).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_day).drop("nth")
-    return matches.where(pro).withColumn("pro", F.lit(True)).unionByName(first.where(~pro).withColumn("pro", F.lit(False)))
+    is_pro, ends = F.coalesce("is_pro", F.lit(False)), F.col("pro_expires_at").isNotNull()
+    always, never, ending = matches.where(is_pro & ~ends), matches.where(~is_pro), matches.where(is_pro & ends)
+    first = never.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per_day)
+    pro = entitled(F.col("is_pro"), F.unix_micros("pro_expires_at"), F.col("detected_us"))
+    ranked = ending.withColumn("nth", F.row_number().over(w)).withColumn("pro", pro).where(F.col("pro") | (F.col("nth") <= per_day))
+    capped = first.withColumn("pro", F.lit(False)).unionByName(ranked).drop("nth")
+    return always.withColumn("pro", F.lit(True)).unionByName(capped)
 
 
 def expire(subscriptions: DataFrame, now_us: int) -> DataFrame:
