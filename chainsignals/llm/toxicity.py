@@ -3,7 +3,7 @@
 A character language model (trigrams of all documents, counted in Spark) and a channel
 of leetspeak, spacing and repetition span a lattice over each suspicious stretch of
 text; Viterbi decoding restores the likeliest plain word.  Restored texts are then
-scored by what the labelled documents say about their words and word beginnings.
+scored by what the labelled documents say about their words, with or without an ending.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ _THRICE = re.compile(r"([^\W\d_])\1\1")
 #: Punctuation at the edges of a token; some of it may stand for letters.
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…¿¡·•–—€£"
 _PLAIN_EDGE = "".join(c for c in _EDGE if c not in LEET)
-#: Runs of edge signs next to a word that are tried as its letters one by one; besides, all of them together are.
+#: Runs of edge signs next to a word of which every reading is decoded; among more, Viterbi decoding picks where the word begins and ends.
 _EDGE_RUNS = 4
 _SIGNS, _JOINT_SIGNS = frozenset(LEET), frozenset(_SEPARATORS)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -53,12 +53,13 @@ _HEAD = re.compile(f"{_SINGLES.pattern}(?=[{re.escape(_SEPARATORS)}])")
 _SPACED = re.compile(f"(?<![^\\W_])(?:{_SINGLE}{_GAP}){{2,}}{_SINGLE}(?![^\\W_])")
 #: Log probability of a word's end at a gap of a run of single signs, and how far below the best a way may be.
 _BREAK, _MARGIN = -1.0, 7.0
-#: Letters of a word between breaks, at most, and signs that are looked at together.
-_LONGEST, _STRETCH = 20, 80
+#: Signs of a run that are looked at together, with half of them shared by neighbours.
+_STRETCH = 80
 #: Longer tokens are not kept in caches.
 _CACHED = 64
 _STATES = 28
-_PREFIXES = (4, 5, 6)
+#: Endings of inflected words (fixed values), and how many letters must be left of a word.
+ENDINGS, _STEM = ("s", "es", "ed", "er", "ers", "ing", "ly", "ally", "ish", "ic", "ness"), 4
 
 
 def _class_table() -> np.ndarray:
@@ -145,11 +146,15 @@ class Deobfuscator:
             a, b = b, c
         return total + self.log[a][b][0]
 
-    def decode(self, stretch: str, twice: bool = False) -> str:
-        if (known := self.cache.get((stretch, twice))) is not None:
+    def decode(self, stretch: str, twice: bool = False, edges: tuple[int, int] = (0, 0)) -> str:
+        """The likeliest letters; of ``edges``, so many signs at either end, any outer ones may be no part of it."""
+        if (known := self.cache.get((stretch, twice, edges))) is not None:
             return known
         log, best = self.log, {(0, 0): (0.0, None)}
-        for options in self.lattice(stretch, twice):
+        last = len(stretch) - edges[1]
+        for i, options in enumerate(self.lattice(stretch, twice)):
+            if i < edges[0] or i >= last:
+                options = [*options, ("", 0.0)]
             after: dict = {}
             for (a, b), (p, path) in best.items():
                 for letter, q in options:
@@ -171,7 +176,7 @@ class Deobfuscator:
             return out
         if len(self.cache) >= self.max_entries:
             self.cache.clear()
-        self.cache[stretch, twice] = out
+        self.cache[stretch, twice, edges] = out
         return out
 
     def spaced(self, run: str) -> set[str]:
@@ -205,7 +210,7 @@ class Deobfuscator:
         for i in range(n):
             for before, score in head[i].items():
                 states = {(before, 0): (0.0, "")}
-                for j in range(i, min(n, i + _LONGEST)):
+                for j in range(i, n):
                     after: dict = {}
                     gap = _SKIP if j > i else 0.0
                     for (a, b), (p, word) in states.items():
@@ -240,8 +245,9 @@ class Deobfuscator:
         if _SIGNS.isdisjoint(core) and not _THRICE.search(core):
             found = {self.decode(core)}  # nothing but joints to pass over
         else:
-            stretches = {x for part in {core, *_JOINTS.split(core)} for x in readings(part)}
-            found = {self.decode(x, twice) for x in stretches for twice in ((False, True) if _TWICE.search(x) else (False,))}
+            parts = {core, *_JOINTS.split(core)}
+            stretches = {(x, (0, 0)) for part in parts for x in readings(part)} | {e for part in parts for e in with_edges(part)}
+            found = {self.decode(x, twice, edges) for x, edges in stretches for twice in ((False, True) if _TWICE.search(x) else (False,))}
         if len(core) > 4:
             found.update(w for m in _SPACED.finditer(core) for w in self.spaced(m[0]))
         return {w for w in found if len(w) > 2}
@@ -251,16 +257,27 @@ def _run_starts(signs: str) -> list[int]:
     return [i for i, c in enumerate(signs) if c in LEET and (not i or signs[i - 1] != c)]
 
 
+def _parted(part: str) -> tuple[str, str, str]:
+    """Signs before a part's core, the core, and signs after it, with long repeats cut to three."""
+    whole = _LONG_RUN.sub(r"\1\1\1", part.strip(_PLAIN_EDGE))
+    inner = whole.lstrip(_EDGE)
+    core = inner.rstrip(_EDGE)
+    return whole[: len(whole) - len(inner)], core, inner[len(core) :]
+
+
+def with_edges(part: str) -> list[tuple[str, tuple[int, int]]]:
+    """A part with more runs of edge signs than ``readings`` tries, as what to decode with how many edge signs."""
+    left, core, right = _parted(part)
+    if max(len(_run_starts(left)), len(_run_starts(right))) <= _EDGE_RUNS or not any(map(str.isalpha, core)):
+        return []
+    return [(left + core + right, (len(left), len(right)))]
+
+
 def readings(part: str) -> set[str]:
     """The suspicious stretches that a part of a token may be, with edge signs read as letters or stripped."""
-    whole = part.strip(_PLAIN_EDGE)
-    core = whole.strip(_EDGE)
+    left, core, right = _parted(part)
     if not any(map(str.isalpha, core)):
         return set()
-    whole = _LONG_RUN.sub(r"\1\1\1", whole)
-    inner = whole.lstrip(_EDGE)
-    left, core = whole[: len(whole) - len(inner)], inner.rstrip(_EDGE)
-    right = inner[len(core) :]
     starts = {0, len(left), *_run_starts(left)[-_EDGE_RUNS:]}
     ends = {0, len(right), *(len(right) - i for i in _run_starts(right[::-1])[-_EDGE_RUNS:])}
     found = {left[i:] + core + right[:j] for i in starts for j in ends}
@@ -274,7 +291,7 @@ class Spacing(dict):
         self.max_entries = max_entries
 
     def __missing__(self, token: str) -> int:
-        core = token.strip(_EDGE)
+        core = token if len(token) > 1 and token.isalpha() else token.strip(_EDGE)
         if len(token) == 1 or not core:
             kind = 1
         elif len(core) > 1 and (core.isalpha() or _JOINT_SIGNS.isdisjoint(core)):
@@ -349,16 +366,22 @@ class Reader:
 
 
 def features_of(word: str) -> list[str]:
-    """A word, and its beginnings for inflected and compound forms."""
-    return [word, *(f"{word[:k]}*" for k in _PREFIXES if len(word) > k)]
+    """A word, and what is left of it without an ending."""
+    if not word.endswith(ENDINGS):
+        return [word]
+    return [word, *(word[: -len(e)] for e in ENDINGS if len(word) >= len(e) + _STEM and word.endswith(e))]
 
 
 def _decode(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
-def word_evidence(sample: DataFrame, counts: np.ndarray, min_docs: int = 4) -> dict[str, tuple]:
-    """Per feature the documents by fold and label that hold it, of features that toxic documents have often."""
+def word_evidence(sample: DataFrame, counts: np.ndarray, min_docs: int = 4, min_share: float = 0.5) -> dict[str, tuple]:
+    """Per feature the documents by fold and label that hold it, of features that speak for toxicity.
+
+    Most of the documents that hold a feature must be toxic, beyond chance: the lower end
+    of the Wilson interval (two standard errors) of their share is above ``min_share``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(Deobfuscator(CharacterModel(counts)))
@@ -374,8 +397,11 @@ def word_evidence(sample: DataFrame, counts: np.ndarray, min_docs: int = 4) -> d
 
     sums = [F.sum(c).alias(c) for c in ("n0", "t0", "n1", "t1")]
     rows = sample.mapInArrow(run, "feature string, n0 long, t0 long, n1 long, t1 long").groupBy("feature").agg(*sums)
-    # features over-represented in toxic documents only; their number is bounded by the sample
-    kept = rows.where((F.col("t0") + F.col("t1") >= min_docs) & (F.col("t0") + F.col("t1") >= 0.2 * (F.col("n0") + F.col("n1"))))
+    # their number is bounded by the sample
+    toxic, n = F.col("t0") + F.col("t1"), F.col("t0") + F.col("t1") + F.col("n0") + F.col("n1")
+    share, z2 = toxic / n, 4.0
+    least = (share + z2 / (2 * n) - 2 * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    kept = rows.where((toxic >= min_docs) & (least >= min_share))
     return {r.feature: (r.n0, r.t0, r.n1, r.t1) for r in kept.collect()}
 
 
@@ -386,8 +412,8 @@ def _evidence_rows(total: dict[str, list[int]]) -> pa.RecordBatch:
 
 #: Each sign as its likeliest letter, to see whether pieces of a word may be joined at all.
 _LIKELY = str.maketrans({sign: letters[0] for sign, letters in LEET.items()})
-#: Pieces of one word, at most, and by how much the joined word must be likelier than the pieces as words.
-_PIECES, _JOIN_MARGIN = 6, 3.0
+#: By how much a joined word must be likelier than its pieces as words.
+_JOIN_MARGIN = 3.0
 
 
 def _piece(token: str) -> str:
@@ -407,18 +433,26 @@ class Lexicon:
             self.odds[f] = math.log((t + 0.5 * toxic / (toxic + clean)) / (n + 0.5 * clean / (toxic + clean)) * clean / toxic) if t > 1 else 0.0
         self.tokens: dict[str, tuple] = {}
         telling = [f for f, x in self.odds.items() if x > 0.5]
-        #: What telling words and beginnings of words begin with, as far as a space may cut them.
-        self.starts = {f[:k] for f in telling for k in range(1, len(f))}
+        #: What telling words begin with, as far as a space may cut them.
+        self.starts = {f[:k] for f in telling for k in range(1, len(f) + 1)}
+        #: The first letters of telling words; other words need no look.
+        self.heads = {f[:_STEM] for f in telling}
 
     def weight(self, word: str) -> float:
-        odds = self.odds
-        return max([odds.get(f, 0.0) for f in features_of(word)])
+        """The greatest log odds of a word's features; 0 if none is telling."""
+        if word[:_STEM] not in self.heads:
+            return 0.0
+        return max([self.odds.get(f, 0.0) for f in features_of(word)])
 
     def token(self, token: str, reader: Reader) -> tuple:
         """(word, weight) of each telling word of a token, and its letters if it may be a piece of a word."""
-        telling = tuple((w, x) for w in reader.token(token) if (x := self.weight(w)) > 0.5)
-        piece = _piece(token).translate(_LIKELY)
-        got = telling, piece if piece.isalpha() and len(piece) <= _LONGEST else ""
+        core = token.strip(_PLAIN_EDGE)
+        if core.isalpha() and core[:_STEM] not in self.heads and not _THRICE.search(core):
+            got = (), core  # a plain word, maybe with punctuation, that disguises nothing
+        else:
+            telling = tuple((w, x) for w in reader.token(token) if (x := self.weight(w)) > 0.5)
+            piece = _piece(token).translate(_LIKELY)
+            got = telling, piece if piece.isalpha() else ""
         if len(token) > _CACHED:
             return got
         if len(self.tokens) >= 200_000:
@@ -430,12 +464,13 @@ class Lexicon:
         """The telling word that a space cut at token ``i``, or none.
 
         A space may vanish at the channel's cost for a separator, if the language model
-        finds the word clearly likelier than the pieces as words of their own.
+        finds the word clearly likelier than the pieces as words of their own.  Pieces are
+        added as long as they are the beginning of a telling word.
         """
         known, channel = self.tokens.get, reader.channel
         word = (known(tokens[i]) or self.token(tokens[i], reader))[1]
-        for n, token in enumerate(tokens[i + 1 : i + _PIECES], start=1):
-            piece = (known(token) or self.token(token, reader))[1]
+        for n, at in enumerate(range(i + 1, len(tokens)), start=1):
+            piece = (known(tokens[at]) or self.token(tokens[at], reader))[1]
             if not piece:
                 return ""
             word += piece

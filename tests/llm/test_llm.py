@@ -43,10 +43,12 @@ def test_elias_fano():
         coded = elias_fano.EliasFano(elias_fano.encode(values))
         assert (coded.values() == values).all()
         assert [coded.select(i) for i in range(n)] == values.tolist()
+        some = rng.integers(0, n, 70) if n else np.zeros(0, int)
+        assert (coded.select_many(some) == values[some]).all() and (coded.select_many(np.arange(n)) == values).all()
         assert [coded.rank(x) for x in (-6, 0, 3, top)] == np.searchsorted(values, [-6, 0, 3, top]).tolist()
     far = np.array([-(2**63), -(2**62) - 9, 0, 2**62 + 9, 2**63 - 1])
     coded = elias_fano.EliasFano(elias_fano.encode(far))
-    assert coded.values().tolist() == far.tolist() == [coded.select(i) for i in range(5)]
+    assert coded.values().tolist() == far.tolist() == [coded.select(i) for i in range(5)] == coded.select_many(np.arange(5)).tolist()
     with pytest.raises(ValueError):
         elias_fano.encode(np.array([3, 2]))
     dense = elias_fano.encode(np.cumsum(rng.integers(1, 2000, 10_000)))
@@ -479,6 +481,20 @@ def test_substrings_edges(spark):
     assert substrings.remove_repeats(empty_docs(spark)).count() == 0
 
 
+def test_substring_deal_is_stored_or_repeatable(spark, monkeypatch):
+    """Equal rows dealt out and stored, rows dealt by their hash, and rows in another order give one result."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id % 9 = 0"))
+    rows = lambda df: Counter((r.doc_id, r.n_removed, bytes(r.kept_text)) for r in substrings.remove_repeats(df).collect())
+    want = rows(docs)
+    assert rows(docs.repartition(5)) == want
+    stored = []
+    materialize = common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, name, *a, **k: stored.append(name) or materialize(df, name, *a, **k))
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 5_000)
+    assert rows(docs) == want and stored == ["dealt"]
+
+
 def test_toxicity(spark):
     known = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rows = queries.op8_toxicity(spark, "/root/testdata/sf0.01").join(known, "doc_id").collect()
@@ -545,11 +561,91 @@ def test_toxicity_viterbi_by_enumeration():
 
 def test_toxicity_cut_words(spark):
     """A space inside a word vanishes if the language model agrees, and plain neighbours stay apart."""
-    reader = plain_reader((["you are a stupid idiot and i say that people see what a loser this clown is"] + ["lo ser es lo que hay para ser lo mismo y no ser lo otro"] * 8) * 40)
-    lexicon = toxicity.Lexicon({w: (0, 20, 0, 20) for w in ("idiot", "stupid", "loser", "clow*")}, (0, 1), np.array([500, 50, 500, 50]))
+    reader = plain_reader((["you are a stupid idiot and i say that people see what a loser this clown is"] + ["lo ser es lo que hay para ser lo mismo y no ser lo otro"] * 8 + ["worthless and pathetic people", "the trash of worthless idiots is pathetic"]) * 40)
+    lexicon = toxicity.Lexicon({w: (0, 20, 0, 20) for w in ("idiot", "stupid", "loser", "clown", "worthless", "pathetic", "trash")}, (0, 1), np.array([500, 50, 500, 50]))
     toxic = lambda t: lexicon.document(t, reader)[0] > 0.5
     assert all(map(toxic, ["you id iot", "such a stu pid man", "id. iot!", "1d iot", "i d iot", "clo wns here", "i" * 45 + "diot", "s.t.u.p.i.d" + "_" * 60]))
-    assert not any(map(toxic, ["lo ser es", "an id for it", "stu and pid", "plain words only"]))
+    assert all(map(toxic, ["p a th e t i c", "pa t h et i c!", "i d io ts"]))
+    # a word between more runs of signs than all readings are tried of
+    assert toxic("!$!(!$!(!$!1d1ot!$!(!$!(!$!(!")
+    assert not any(map(toxic, ["lo ser es", "an id for it", "stu and pid", "plain words only", "the pathology report names a pathway", "a worthwhile trashcan"]))
+
+
+def test_toxicity_joined_by_brute_force():
+    """``joined`` finds a word from a place exactly if some number of pieces passes its tests, whatever their number."""
+    reader = plain_reader(["you are a stupid idiot and i say that people see what a loser this clown is"] * 60)
+    lexicon = toxicity.Lexicon({w: (0, 20, 0, 20) for w in ("idiot", "stupid", "loser")}, (0, 1), np.array([500, 50, 500, 50]))
+    channel, rng = reader.channel, np.random.default_rng(6)
+    texts = []
+    for _ in range(300):
+        word = rng.choice(["idiot", "stupid", "loser", "people", "idiots"])
+        ends = [0, *sorted(rng.choice(np.arange(1, len(word)), rng.integers(1, len(word)), replace=False).tolist()), len(word)]
+        cut = [word[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        texts.append([*rng.choice(["you", "a", "st", "lo"], 2), *cut, *rng.choice(["is", "er", "what"], 2)])
+    found = 0
+    for tokens in texts:
+        for i in range(len(tokens)):
+            want = ""
+            for j in range(i + 2, len(tokens) + 1):
+                pieces = [t.translate(toxicity._LIKELY) for t in tokens[i:j]]
+                begun = all(any(w.startswith("".join(pieces[:k])) for w in ("idiot", "stupid", "loser")) for k in range(2, len(pieces)))
+                whole = channel.decode(" ".join(tokens[i:j]))
+                apart = sum(map(channel.odds, pieces)) + (len(pieces) - 1) * toxicity._BREAK
+                likely = channel.odds(whole) + (len(pieces) - 1) * toxicity._SKIP >= apart + toxicity._JOIN_MARGIN
+                if begun and lexicon.weight("".join(pieces)) > 0.5 and lexicon.weight(whole) > 0.5 and likely:
+                    want = whole
+                    break
+            assert lexicon.joined(tokens, i, reader) == want, (tokens, i)
+            found += bool(want)
+    assert found > 50
+
+
+def test_toxicity_spaced_by_enumeration():
+    """Words of a run of single signs are those on some way within the margin of the best, among all ways to cut it."""
+    from itertools import product
+
+    channel = plain_reader(["you are a stupid idiot and i say that people see what a loser this clown is"] * 60).channel
+    rng = np.random.default_rng(8)
+
+    def sentence(words):
+        """Log probability of words, each after the last letter of the one before and a boundary."""
+        before, total = 0, 0.0
+        for word in words:
+            a, b = before, 0
+            for c in map(channel._class, word):
+                total += channel.log[a][b][c]
+                a, b = b, c
+            total += channel.log[a][b][0]
+            before = b
+        return total
+
+    for _ in range(60):
+        signs = rng.choice(list("idotaswhe01"), rng.integers(3, 8)).tolist()
+        run = " ".join(signs)
+        options = [o for o in channel.lattice(run) if o != [("", toxicity._SKIP)]]
+        ways = []  # (score, words) of each choice of letters and breaks
+        for letters in product(*options):
+            for breaks in product((False, True), repeat=len(letters) - 1):
+                words, score = [[]], 0.0
+                for k, (x, q) in enumerate(letters):
+                    if k and breaks[k - 1]:
+                        words.append([])
+                        score += toxicity._BREAK
+                    elif k:
+                        score += toxicity._SKIP
+                    words[-1].append(x)
+                    score += q
+                spelt = ["".join(w) for w in words]
+                if all(spelt):
+                    ways.append((score + sentence(spelt), spelt))
+        best = max(w for w, _ in ways)
+        near = {word for w, spelt in ways for word in spelt if w >= best - toxicity._MARGIN + 1e-9 and len(word) > 2}
+        far = {word for w, spelt in ways for word in spelt if len(word) > 2} - {word for w, spelt in ways for word in spelt if w >= best - toxicity._MARGIN - 1e-9}
+        found = channel.spaced(run)
+        # one word of equal ends, the likeliest letters, stands for all of a stretch
+        assert found <= near | {channel.decode(run)} and not (found - {channel.decode(run)}) & far
+        top = max(ways)[1]
+        assert {w for w in top if len(w) > 2} <= found, (run, top, found)
 
 
 def test_toxicity_edges(spark):
