@@ -73,6 +73,28 @@ class EliasFano:
             low = (int.from_bytes(self.lows[bit // 8 : end], "little") >> (bit % 8)) & ((1 << self.low) - 1)
         return self.base + ((place - i) << self.low | low)
 
+    def select_many(self, at: np.ndarray) -> np.ndarray:
+        """``select`` of many places: each sample's stretch of the bit vector is read if one of them lies in it."""
+        at = np.asarray(at, np.int64)
+        if not len(at):
+            return np.zeros(0, np.int64)
+        if not 0 <= at.min() <= at.max() < self.n:
+            raise IndexError(at)
+        upper, lows = np.frombuffer(self.upper, np.uint8), np.frombuffer(self.lows, np.uint8)
+        block, place = at // SAMPLE, np.empty(len(at), np.int64)
+        order = np.argsort(block, kind="stable")
+        used, first = np.unique(block[order], return_index=True)
+        for b, mine in zip(used.tolist(), np.split(order, first[1:]), strict=True):
+            begin = int(self.samples[b])
+            end = int(self.samples[b + 1]) if b + 1 < len(self.samples) else 8 * len(upper)
+            ones = np.flatnonzero(np.unpackbits(upper[begin // 8 : -(-end // 8)], bitorder="little")[begin % 8 :])
+            place[mine] = begin + ones[at[mine] - b * SAMPLE]
+        v = (place - at).astype(np.uint64) << np.uint64(self.low)
+        for bit in range(self.low):
+            where = at * self.low + bit
+            v |= (lows[where // 8] >> (where % 8).astype(np.uint8) & 1).astype(np.uint64) << np.uint64(bit)
+        return (v + np.uint64(self.base % 2**64)).view(np.int64)
+
     def rank(self, value: int) -> int:
         """How many values are smaller, by binary search over ``select``."""
         at, end = 0, self.n

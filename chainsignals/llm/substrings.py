@@ -102,9 +102,14 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_bytes().alias("text"))
-    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_batches, bits = layout(size, common.shuffle_partitions(spark))
-    dealt = texts.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n_batches)))
+    row = F.xxhash64("doc_id", "text")
+    held = texts.groupBy(row.alias("row")).agg(F.sum(F.length("text")).alias("bytes")).agg(F.sum("bytes").alias("size"), F.max("bytes").alias("most")).first()
+    n_batches, bits = layout(held.size or 0, common.shuffle_partitions(spark))
+    # the deal is read twice, so a row's batch must come out the same when its task runs again
+    dealt = texts.withColumn("batch", F.pmod(row, F.lit(n_batches)))
+    if (held.most or 0) > BATCH_BYTES:
+        # equal rows that would fill a batch are dealt out, and the deal is stored
+        dealt = common.materialize(texts.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n_batches))), "dealt")
 
     def distinct_hashes(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_counts=True)

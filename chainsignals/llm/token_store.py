@@ -120,10 +120,10 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
         for batch in batches:
             for part, number, payload in zip(*(batch[c].to_pylist() for c in ("part", "segment", "payload")), strict=True):
                 segment = Segment(payload)
-                bounds = segment.bounds.values()
+                bounds = segment.bounds.select_many(np.arange(segment.n + 1))
                 raw = segment.ids.astype("<u4").tobytes()
                 each = [raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                doc_ids = [None] * segment.nulls + segment.doc_ids.values().tolist()
+                doc_ids = [None] * segment.nulls + segment.doc_ids.select_many(np.arange(segment.n - segment.nulls)).tolist()
                 columns = [pa.array([part] * segment.n, pa.int32()), pa.array([number] * segment.n, pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array([zlib.crc32(x) for x in each], pa.int64())]
                 names = ["part", "segment", "doc_id", "within", "n_tokens", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(each, pa.binary())] * with_ids, names + ["ids"] * with_ids)
