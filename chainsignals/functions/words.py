@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Hexadecimal digits in order (fixed value).
+HEX = "0123456789abcdef"
+
+
 def hex_data(data: Column) -> Column:
     """Lower-case hex digits of log data, with or without 0x."""
     return F.lower(F.regexp_replace(data, "^0[xX]", ""))
@@ -33,40 +36,25 @@ def flexible_int(x: Column) -> Column:
     return F.when(text.rlike("^0[xX]"), F.conv(F.substring(text, 3, 64), 16, 10).cast("bigint")).otherwise(text.cast("bigint"))
 
 
-def limbs(words: pd.Series) -> np.ndarray:
-    """Four unsigned 64-bit limbs of each 64-digit word, highest first."""
-    raw = np.frombuffer("".join(words).encode(), np.uint8).reshape(len(words), 64)
-    nibble = np.where(raw >= 97, raw - 87, raw - 48).astype(np.uint64)
-    shifts = np.arange(60, -1, -4, dtype=np.uint64)
-    return (nibble.reshape(len(words), 4, 16) << shifts).sum(axis=2, dtype=np.uint64)
-
-
-def _as_double(words: pd.Series, signed: pd.Series) -> pd.Series:
-    ok = words.notna() & (words.str.len() == 64)
-    out = np.full(len(words), np.nan)
-    if ok.any():
-        four = limbs(words[ok])
-        negative = (four[:, 0] >> np.uint64(63)).astype(bool) & signed[ok].to_numpy(bool)
-        # two's complement: invert and add one, with carries from the lowest limb
-        flipped = ~four
-        carry = np.ones(len(four), bool)
-        for k in (3, 2, 1, 0):
-            flipped[:, k] += carry.astype(np.uint64)
-            carry &= flipped[:, k] == 0
-        size = np.where(negative[:, None], flipped, four).astype(np.float64) @ np.array([2.0**192, 2.0**128, 2.0**64, 1.0])
-        out[ok.to_numpy()] = np.where(negative, -size, size)
-    return pd.Series(out)
+def _limb(digits: Column, k: int) -> Column:
+    """The k-th unsigned 64-bit limb, highest first, as decimal text; most limbs are zero."""
+    part = F.substring(digits, 1 + 16 * k, 16)
+    return F.when(part == "0" * 16, F.lit("0")).otherwise(F.conv(part, 16, 10))
 
 
 def to_double(w: Column, signed: Column) -> Column:
-    """The value of a word as a double; null words and words cut short give null."""
-
-    @F.pandas_udf("double")
-    def convert(words: pd.Series, signs: pd.Series) -> pd.Series:
-        return _as_double(words, signs)
-
-    value = convert(w, signed)
-    return F.when(~F.isnan(value), value)
+    """The value of a word as a double; null words and words cut short give null.
+
+    A negative word is minus its complement and one more: the one is added to the lowest
+    limb, before it is rounded.
+    """
+    negative = signed & (F.substring(w, 1, 1) >= "8")
+    digits = F.when(negative, F.translate(w, HEX, HEX[::-1])).otherwise(w)
+    low = F.when(negative, (_limb(digits, 3).cast("decimal(20,0)") + 1).cast("double")).otherwise(_limb(digits, 3).cast("double"))
+    size = low
+    for k, scale in ((2, 2.0**64), (1, 2.0**128), (0, 2.0**192)):
+        size = size + _limb(digits, k).cast("double") * scale
+    return F.when(F.length(w) == 64, F.when(negative, -size).otherwise(size))
 
 
 def to_decimal_text(w: Column, signed: bool = False) -> Column:

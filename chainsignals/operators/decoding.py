@@ -31,8 +31,9 @@ def route(logs: DataFrame, pools: DataFrame) -> DataFrame:
     """Attach pool data and the kind of event; logs of other pools, topics or lengths drop out."""
     registry = pools.select(F.col("chain"), F.lower("pool").alias("pool"), "protocol", "token0", "token1")
     topics = F.broadcast(dims.topics(logs.sparkSession))
-    rows = logs.where(F.size("topics") > 0).withColumn("pool", F.lower("address")).withColumn("topic0", F.lower(F.col("topics")[0])).withColumn("digits", hex_data(F.col("data")))
-    found = rows.join(registry, ["chain", "pool"]).join(topics, "topic0")
+    rows = logs.where(F.size("topics") > 0).withColumn("pool", F.lower("address")).withColumn("topic0", F.lower(F.col("topics")[0]))
+    # data is looked at only where the topic and the pool are known
+    found = rows.join(topics, "topic0").join(registry, ["chain", "pool"]).withColumn("digits", hex_data(F.col("data")))
     enough_topics = F.size("topics") >= F.when(F.col("kind") == "transfer", 3).when(F.col("kind").startswith("gmx"), 1).otherwise(2)
     return found.where((F.length("digits") >= 64 * F.col("words")) & enough_topics & F.col("digits").rlike("^[0-9a-f]*$"))
 

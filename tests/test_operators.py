@@ -128,7 +128,7 @@ def test_zero_entry_price_completes_without_change(spark):
 
 
 def test_words(spark):
-    values = [0, 1, 2**63, 2**128 + 2**64, 2**256 - 1, -1, -(2**130)]
+    values = [0, 1, 2**63, 2**128 + 2**64, 2**256 - 1, -1, -(2**64), -(2**64) + 1, -(2**130), -(2**255)]
     rows = spark.createDataFrame([(str(v), f"{v % 2**256:064x}", v < 0) for v in values], "v string, w string, s boolean")
     for r in rows.select("v", words.to_double(F.col("w"), F.col("s")).alias("d"), F.when(F.col("s"), words.to_decimal_text(F.col("w"), True)).otherwise(words.to_decimal_text(F.col("w"))).alias("t")).collect():
         assert r.d == pytest.approx(float(int(r.v)), rel=1e-15)
