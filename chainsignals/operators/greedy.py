@@ -10,7 +10,7 @@ chunks at gaps and the chunks dealt over the tasks.
 
 from __future__ import annotations
 
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch_path
 from . import blocks
 
 
@@ -84,6 +85,30 @@ def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key:
     return blocks.within_budget(rows, amount, spends, budget, key, order)
 
 
+def _clusters(us: list, wallets: list, usd: list, z: list, before: list, window_us: int, min_wallets: int) -> Iterator[tuple]:
+    """Clusters of a chunk's events in order: wallets, volume, greatest z, events, first and last time.
+
+    The window of each anchor is judged as it ends; every event is looked at once as it
+    enters the window and once as it leaves.
+    """
+    new: Counter = Counter()  # wallets of the window that are in no cluster yet
+    known: set = set()
+    end = 0
+    for first in range(len(us)):
+        while end < len(us) and us[end] <= us[first] + window_us:
+            if not before[end] and wallets[end] not in known:
+                new[wallets[end]] += 1
+            end += 1
+        if len(new) >= min_wallets:
+            yield sorted(new), float(sum(usd[first:end])), max(z[first:end]), end - first, us[first], us[end - 1]
+            known.update(new)
+            new.clear()
+        if wallets[first] in new:
+            new[wallets[first]] -= 1
+            if not new[wallets[first]]:
+                del new[wallets[first]]
+
+
 def anchor_clusters(events: DataFrame, key: tuple[str, ...] = ("chain", "pool", "type"), window_us: int = 1_800_000_000, min_wallets: int = 2, whale_z: float = 4.0, order: tuple[str, ...] = ("us", "event_id")) -> DataFrame:
     """Batch clusters: anchored windows of new wallets, then lone whales.
 
@@ -92,60 +117,53 @@ def anchor_clusters(events: DataFrame, key: tuple[str, ...] = ("chain", "pool",
     the volume of all the window's events.  Events of ``whale_z`` and more whose wallet is in no cluster of
     several wallets give a cluster each; keys count in the order of their first event.
 
-    The input must be the flagged events only: the walk holds the events of a window and
-    the wallets that the key has clustered, and looks at each event once as it enters and once as it leaves.
+    The input must be the flagged events only.  Windows end at gaps longer than
+    ``window_us``, so a key is cut into chunks there, which are walked in parallel and
+    depend on each other through the wallets clustered before alone.  Each round walks
+    all chunks with what the round before found of that; a chunk is right once all before
+    it are, so what no longer changes is the result of a walk in order.  A walk holds the
+    events of a window and the wallets that its chunk has clustered.
     """
-    columns = [*key, *dict.fromkeys((*order, "us", "wallet", "usd", "z"))]
-    w = Window.partitionBy(*key).orderBy(*order)
-    rows = events.select(*columns).withColumn("_starts", (F.row_number().over(w) == 1).cast("int"))
+    spark, path = events.sparkSession, scratch_path(events.sparkSession, "clusters")
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{path}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{path}/{name}")
+
     types = dict(events.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in key), "wallets array<string>", "total_volume_usd double", "z_score double", "event_count long", "first_us long", "last_us long"])
-    names = [*key, "wallets", "total_volume_usd", "z_score", "event_count", "first_us", "last_us"]
+    group = (*key, "chunk")
+    columns = [*key, *dict.fromkeys((*order, "us", "wallet", "usd", "z"))]
+    rows = stored(chunked(events.select(*columns), key, window_us, order).drop("starts_chunk"), "events")
+    names = [*group, "wallets", "total_volume_usd", "z_score", "event_count", "first_us", "last_us"]
+    schema = ", ".join([*(f"{k} {types[k]}" for k in key), "chunk long, wallets array<string>, total_volume_usd double, z_score double, event_count long, first_us long, last_us long"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: deque = deque()  # (us, wallet, usd, z) of the events from the anchor on
-        new: Counter = Counter()  # their wallets that are in no cluster yet
-        known: set[str] = set()
-        of: list = []
-        found: list[list] = []
-
-        def leave(until: int | None) -> None:
-            """Judge the anchors whose windows end before ``until``."""
-            while window and (until is None or window[0][0] + window_us < until):
-                if len(new) >= min_wallets:
-                    us, _, usd, z = zip(*window, strict=True)
-                    found.append([*of, sorted(new), float(sum(usd)), max(z), len(window), us[0], us[-1]])
-                    known.update(new)
-                    new.clear()
-                _, wallet, _, _ = window.popleft()
-                if wallet in new:
-                    new[wallet] -= 1
-                    if not new[wallet]:
-                        del new[wallet]
-
-        def rows_found() -> pa.RecordBatch:
-            out = list(zip(*found, strict=True)) or [[]] * len(names)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, arrow, strict=True)], names)
-
-        arrow = [pa.string() if types[k] == "string" else pa.int64() for k in key] + [pa.list_(pa.string()), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-        for batch in batches:
-            values = [batch[c].to_pylist() for c in ("_starts", "us", "wallet", "usd", "z")]
-            at = [batch[k] for k in key]
-            for i, (first, us, wallet, usd, z) in enumerate(zip(*values, strict=True)):
-                if first:
-                    leave(None)
-                    known, of = set(), [x[i].as_py() for x in at]
-                    new.clear()
-                leave(us)
-                window.append((us, wallet, usd, z))
-                if wallet not in known:
-                    new[wallet] += 1
-            yield rows_found()
-        leave(None)
-        yield rows_found()
-
-    multi = _walked(rows, key, order, walk, schema)
+        for table, starts in blocks.whole_groups(batches, group):
+            values = [table[c].to_pylist() for c in ("us", "wallet", "usd", "z", "before")]
+            at, found = [], []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                for cluster in _clusters(*[v[a:b] for v in values], window_us, min_wallets):
+                    at.append(a)
+                    found.append(cluster)
+            out = table.select(list(group)).take(pa.array(at, pa.int64()))
+            kinds = (pa.list_(pa.string()), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            for name, x, t in zip(names[len(group) :], list(zip(*found, strict=True)) or [[]] * 6, kinds, strict=True):
+                out = out.append_column(name, pa.array(x, t))
+            yield from out.to_batches()
+
+    firsts, before, number = None, None, 0
+    while True:
+        known = rows.withColumn("before", F.lit(False))
+        if firsts is not None:
+            same = blocks.same((*key, "wallet"))
+            known = rows.join(blocks.prefixed(firsts, (*key, "wallet")), same, "left").withColumn("before", F.coalesce(F.col("first_chunk") < F.col("chunk"), F.lit(False))).select(*rows.columns, "before")
+        multi = stored(blocks.dealt(known, group, order).mapInArrow(walk, schema), f"round{number}")
+        firsts = multi.select(*key, "chunk", F.explode("wallets").alias("wallet")).groupBy(*key, "wallet").agg(F.min("chunk").alias("first_chunk"))
+        now = tuple(firsts.agg(F.count("*"), F.sum(F.xxhash64(*key, "wallet", "first_chunk").cast("decimal(20,0)"))).first())
+        if now == before:
+            break
+        before, number = now, number + 1
+    multi = multi.drop("chunk")
     firsts = events.groupBy(*key).agg(F.min("us").alias("key_first"))
     placed = multi.join(firsts, list(key)).select(F.explode("wallets").alias("wallet"), "key_first").groupBy("wallet").agg(F.min("key_first").alias("clustered_from"))
     whales = events.where(F.col("z") >= whale_z).join(firsts, list(key)).join(placed, "wallet", "left").where("clustered_from is null or clustered_from > key_first")
