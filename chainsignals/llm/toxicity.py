@@ -323,10 +323,8 @@ def singles(token: str, kind: int) -> str:
 _RUN = re.compile(b"[\2\4]?\1+|[\2\4](?=[\3\4])")
 
 
-def tokens_of(text: str, spacing: Spacing) -> tuple[list[str], list[str]]:
-    """Space-free tokens of the lower-cased text, and runs over tokens of three single signs or more put together."""
-    tokens = text.lower().split()
-    kinds = bytes(map(spacing.__getitem__, tokens))
+def runs_of(tokens: list[str], kinds: bytes) -> list[str]:
+    """Runs over tokens of three single signs or more put together; ``kinds`` are those of ``Spacing``."""
     spaced = []
     for m in _RUN.finditer(kinds):
         i, j = m.span()
@@ -336,7 +334,7 @@ def tokens_of(text: str, spacing: Spacing) -> tuple[list[str], list[str]]:
             run += [singles(tokens[j], 3)] if after else []
             if sum(c.isalnum() or c in LEET for part in run for c in part) > 2:
                 spaced.append(" ".join(run))
-    return tokens, spaced
+    return spaced
 
 
 class Reader:
@@ -359,9 +357,9 @@ class Reader:
         return got
 
     def words(self, text: str) -> set[str]:
-        tokens, spaced = tokens_of(text, self.spacing)
+        tokens = text.lower().split()
         found = {w for t in set(tokens) for w in self.token(t)}
-        found.update(w for run in spaced for w in self.channel.spaced(run))
+        found.update(w for run in runs_of(tokens, bytes(map(self.spacing.__getitem__, tokens))) for w in self.channel.spaced(run))
         return found
 
 
@@ -414,6 +412,8 @@ def _evidence_rows(total: dict[str, list[int]]) -> pa.RecordBatch:
 _LIKELY = str.maketrans({sign: letters[0] for sign, letters in LEET.items()})
 #: By how much a joined word must be likelier than its pieces as words.
 _JOIN_MARGIN = 3.0
+#: Bytes of an entry of a lexicon's facts besides the token's letters, and of all at most.
+_FACT, _FACTS = 170, 96 << 20
 
 
 def _piece(token: str) -> str:
@@ -431,12 +431,12 @@ class Lexicon:
         for f, row in evidence.items():
             t, n = sum(row[2 * k + 1] for k in folds), sum(row[2 * k] for k in folds)
             self.odds[f] = math.log((t + 0.5 * toxic / (toxic + clean)) / (n + 0.5 * clean / (toxic + clean)) * clean / toxic) if t > 1 else 0.0
-        self.tokens: dict[str, tuple] = {}
         telling = [f for f, x in self.odds.items() if x > 0.5]
         #: What telling words begin with, as far as a space may cut them.
         self.starts = {f[:k] for f in telling for k in range(1, len(f) + 1)}
         #: The first letters of telling words; other words need no look.
         self.heads = {f[:_STEM] for f in telling}
+        self.forget()
 
     def weight(self, word: str) -> float:
         """The greatest log odds of a word's features; 0 if none is telling."""
@@ -444,21 +444,33 @@ class Lexicon:
             return 0.0
         return max([self.odds.get(f, 0.0) for f in features_of(word)])
 
-    def token(self, token: str, reader: Reader) -> tuple:
-        """(word, weight) of each telling word of a token, and its letters if it may be a piece of a word."""
+    def forget(self) -> None:
+        #: A token to its kind of ``Spacing``, and from bit 3 on the place of what else is to say of it, 0 for nothing.
+        self.facts: dict[str, int] = {}
+        #: (word, weight) of each telling word of a token, and its letters if it may be a piece of a word.
+        self.details: list[tuple[tuple, str]] = [((), "")]
+        self.size = 0
+
+    def fact(self, token: str, reader: Reader) -> int:
+        """What is to say of a token that is not known yet."""
         core = token.strip(_PLAIN_EDGE)
-        if core.isalpha() and core[:_STEM] not in self.heads and not _THRICE.search(core):
-            got = (), core  # a plain word, maybe with punctuation, that disguises nothing
-        else:
+        fact = 0
+        # a plain word, maybe with punctuation, disguises nothing and begins nothing
+        if not core.isalpha() or len(core) < 2 or core[:_STEM] in self.heads or core in self.starts or _THRICE.search(core):
+            fact = reader.spacing[token]
             telling = tuple((w, x) for w in reader.token(token) if (x := self.weight(w)) > 0.5)
             piece = _piece(token).translate(_LIKELY)
-            got = telling, piece if piece.isalpha() else ""
-        if len(token) > _CACHED:
-            return got
-        if len(self.tokens) >= 200_000:
-            self.tokens.clear()
-        self.tokens[token] = got
-        return got
+            if telling or piece != core or piece in self.starts:
+                fact |= len(self.details) << 3
+                self.details.append((telling, piece if piece.isalpha() else ""))
+                self.size += _FACT
+        self.facts[token] = fact
+        self.size += _FACT + len(token)
+        return fact
+
+    def piece(self, token: str) -> str:
+        place = self.facts[token] >> 3
+        return self.details[place][1] if place else token.strip(_PLAIN_EDGE)
 
     def joined(self, tokens: list[str], i: int, reader: Reader) -> str:
         """The telling word that a space cut at token ``i``, or none.
@@ -467,11 +479,11 @@ class Lexicon:
         finds the word clearly likelier than the pieces as words of their own.  Pieces are
         added as long as they are the beginning of a telling word.
         """
-        known, channel = self.tokens.get, reader.channel
-        word = (known(tokens[i]) or self.token(tokens[i], reader))[1]
+        channel = reader.channel
+        word = self.piece(tokens[i])
         for n, at in enumerate(range(i + 1, len(tokens)), start=1):
-            piece = (known(tokens[at]) or self.token(tokens[at], reader))[1]
-            if not piece:
+            piece = self.piece(tokens[at])
+            if not piece.isalpha():
                 return ""
             word += piece
             if self.weight(word) > 0.5:
@@ -486,21 +498,25 @@ class Lexicon:
 
     def document(self, text: str, reader: Reader) -> tuple[float, ...]:
         """Weights of the two most telling words, how many tell much, and the length."""
-        tokens, spaced = tokens_of(text, reader.spacing)
-        get, found, begins = self.tokens.get, {}, set()
-        for t in set(tokens):
-            got = get(t)
-            if got is None:
-                got = self.token(t, reader)
-            telling, piece = got
-            if telling:
-                found.update(telling)
-            elif piece in self.starts:
-                begins.add(t)
-        for run in spaced:
+        if self.size > _FACTS:
+            self.forget()
+        tokens = text.lower().split()
+        facts = list(map(self.facts.get, tokens))
+        if None in facts:
+            known = self.facts
+            facts = [(known[t] if t in known else self.fact(t, reader)) if f is None else f for t, f in zip(tokens, facts, strict=True)]
+        facts = np.array(facts, np.int64)
+        places, found = facts >> 3, {}
+        begins = set()
+        for place in np.unique(places[places > 0]).tolist():
+            telling, piece = self.details[place]
+            found.update(telling)
+            if not telling and piece in self.starts:
+                begins.add(place)
+        for run in runs_of(tokens, (facts & 7).astype(np.uint8).tobytes()):
             found.update((w, x) for w in reader.channel.spaced(run) if (x := self.weight(w)) > 0.5)
         if begins:
-            for i in [i for i, t in enumerate(tokens) if t in begins]:
+            for i in np.flatnonzero(np.isin(places, list(begins))).tolist():
                 if w := self.joined(tokens, i, reader):
                     found[w] = self.weight(w)
         top = [*sorted(found.values(), reverse=True)[:2], 0.0, 0.0]

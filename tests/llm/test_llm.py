@@ -584,6 +584,7 @@ def test_toxicity_joined_by_brute_force():
         texts.append([*rng.choice(["you", "a", "st", "lo"], 2), *cut, *rng.choice(["is", "er", "what"], 2)])
     found = 0
     for tokens in texts:
+        lexicon.document(" ".join(tokens), reader)
         for i in range(len(tokens)):
             want = ""
             for j in range(i + 2, len(tokens) + 1):
