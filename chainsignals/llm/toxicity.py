@@ -436,6 +436,7 @@ class Lexicon:
         self.starts = {f[:k] for f in telling for k in range(1, len(f) + 1)}
         #: The first letters of telling words; other words need no look.
         self.heads = {f[:_STEM] for f in telling}
+        self.letters = [frozenset(h) for h in self.heads]
         self.forget()
 
     def weight(self, word: str) -> float:
@@ -458,7 +459,11 @@ class Lexicon:
         # a plain word, maybe with punctuation, disguises nothing and begins nothing
         if not core.isalpha() or len(core) < 2 or core[:_STEM] in self.heads or core in self.starts or _THRICE.search(core):
             fact = reader.spacing[token]
-            telling = tuple((w, x) for w in reader.token(token) if (x := self.weight(w)) > 0.5)
+            telling = ()
+            # no reading of a token has other letters than its signs can stand for
+            letters = {x for c in set(token) for x in LEET.get(c, c)}
+            if any(map(letters.issuperset, self.letters)):
+                telling = tuple((w, x) for w in reader.token(token) if (x := self.weight(w)) > 0.5)
             piece = _piece(token).translate(_LIKELY)
             if telling or piece != core or piece in self.starts:
                 fact |= len(self.details) << 3
