@@ -40,21 +40,24 @@ def distinct_active(us: np.ndarray, wallet: np.ndarray, window_us: int) -> np.nd
     return np.searchsorted(np.sort(begins), us, "right") - np.searchsorted(np.sort(ends), us, "left")
 
 
-def _listed(us: np.ndarray, wallets: list, window_us: int, wanted: np.ndarray) -> list[list[str] | None]:
-    """The wallets in the window up to each wanted row, sorted; rows of one instant see each other."""
+def _listed(lo: np.ndarray, hi: np.ndarray, wallets: list, wanted: np.ndarray) -> list[list[str] | None]:
+    """The wallets from ``lo`` to ``hi`` of each wanted row, sorted; both only grow."""
     inside: dict[str, int] = {}
-    lo = hi = 0
-    found: list[list[str] | None] = [None] * len(us)
-    for i in np.flatnonzero(wanted).tolist():
-        end, start = int(np.searchsorted(us, us[i], "right")), int(np.searchsorted(us, us[i] - window_us))
-        for w in wallets[hi:end]:
-            inside[w] = inside.get(w, 0) + 1
-        for w in wallets[lo : min(start, end)]:
-            inside[w] -= 1
-            if not inside[w]:
-                del inside[w]
-        lo, hi = start, end
-        found[i] = sorted(w for w in inside if w is not None)
+    begin = end = 0
+    found: list[list[str] | None] = [None] * len(lo)
+    rows = np.flatnonzero(wanted)
+    for i, start, stop in zip(rows.tolist(), lo[rows].tolist(), hi[rows].tolist(), strict=True):
+        for w in wallets[end:stop]:
+            if w is not None:
+                inside[w] = inside.get(w, 0) + 1
+        for w in wallets[begin:start]:
+            if w is not None:
+                if inside[w] == 1:
+                    del inside[w]
+                else:
+                    inside[w] -= 1
+        begin, end = start, stop
+        found[i] = sorted(inside)
     return found
 
 
@@ -77,6 +80,7 @@ def wallet_windows(scored: DataFrame, key: tuple[str, ...] = KEY, window_us: int
         for table, starts in blocks.whole_groups(batches, group):
             every, usd = table["us"].to_numpy(), np.nan_to_num(table["usd"].to_numpy().astype(np.longdouble))
             names = table["wallet"].combine_chunks()
+            every_wallet = names.to_pylist()
             codes = np.asarray(names.dictionary_encode().indices.fill_null(-1), np.int64)
             wallets: list = []
             found: list[list[np.ndarray]] = []
@@ -85,7 +89,7 @@ def wallet_windows(scored: DataFrame, key: tuple[str, ...] = KEY, window_us: int
                 lo, hi = np.searchsorted(us, us - window_us), np.searchsorted(us, us, "right")
                 n = distinct_active(us, codes[a:b], window_us)
                 found.append([n, (before[hi] - before[lo]).astype(float), hi - lo, us[lo], us])
-                wallets += _listed(us, names[a:b].to_pylist(), window_us, n <= (len(us) if listed is None else listed))
+                wallets += _listed(lo, hi, every_wallet[a:b], n <= (len(us) if listed is None else listed))
             columns = [np.concatenate(x) for x in zip(*found, strict=True)]
             types = [pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             out = table.append_column("wallets", pa.array(wallets, pa.list_(pa.string())))
