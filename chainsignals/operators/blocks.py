@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch_path
+
 
 def changes(rows: pa.Table | pa.RecordBatch, names: tuple[str, ...]) -> np.ndarray:
     """Whether each row but the first differs from the one before in one of ``names``; nulls are equal."""
@@ -168,39 +170,77 @@ def cooldown(rows: DataFrame, key: tuple[str, ...], cooldown_us: int, order: tup
 _STEPS = 30
 
 
-def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key: tuple[str, ...], order: tuple[str, ...] = ("us",), block_us: int = 900_000_000) -> DataFrame:
+def _spend(amounts: np.ndarray, counts: np.ndarray, spent: float, budget: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(allowed, spent before) of requests in order, and what is spent at the end; between two spends all are judged at once."""
+    n = len(amounts)
+    allowed, before, i = np.zeros(n, bool), np.zeros(n), 0
+    while i < n:
+        fits = spent + amounts[i:] <= budget
+        spends = fits & counts[i:]
+        j = int(spends.argmax())
+        end = i + j + 1 if spends[j] else n
+        allowed[i:end], before[i:end] = fits[: end - i], spent
+        if spends[j]:
+            spent += float(amounts[end - 1])
+        i = end
+    return allowed, before, spent
+
+
+def _segments(batches: Iterator[pa.RecordBatch], group: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, bool]]]]:
+    """Batches of sorted input with their runs of one group: begin, end, and whether the group begins there."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = last is None or bool(changes(pa.Table.from_batches([last, batch.slice(0, 1)]), group)[0])
+        last = batch.slice(batch.num_rows - 1)
+        starts = [0, *(np.flatnonzero(changes(batch, group)) + 1).tolist()]
+        yield batch, [(a, b, a > 0 or first) for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True)]
+
+
+def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key: tuple[str, ...], order: tuple[str, ...] = ("us",), block_us: int = 900_000_000, steps: tuple[float, ...] = ()) -> DataFrame:
     """``rows`` with allowed and spent_before, as ``greedy.within_budget`` says.
 
     For every m, a key that was asked for T in amounts up to m has spent all of T, or has
     refused one of them and so has less than m left.  That bounds, for each block and
-    before any walk, what can be left; amounts above it are refused for certain.  Only
-    the other requests are walked in order, to find what was spent before each block; then
-    the blocks are worked off at once.  Ties in ``order`` are broken by the rows' hashes.
+    before any walk, what can be left; amounts above it are refused for certain.  ``steps``
+    are further m, best the least amounts that occur.  Only the other requests are walked
+    in order, to find what was spent before each block.  In a block without a spend that
+    number judges every row where it is; only rows of blocks that spend are sorted and
+    walked again.  The table of blocks is stored; rows are read four times.  Ties in
+    ``order`` are broken by the rows' hashes.
     """
     if budget < 0:
         return rows.withColumn("allowed", F.lit(False)).withColumn("spent_before", F.lit(0.0))
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "budget")
+
+    def stored(table: DataFrame, name: str) -> DataFrame:
+        table.write.parquet(f"{path}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{path}/{name}")
+
     blocked = rows.withColumn("_block", F.floor(F.col("us") / block_us)).withColumn("_tie", F.xxhash64(*rows.columns))
-    group, sorting, names = (*key, "_block"), (*order, "_tie"), rows.columns
-    asked = blocked.where(F.col(spends) & (F.col(amount) <= budget)).select(*group, *dict.fromkeys(c for c in sorting if c not in group), F.col(amount).cast("double").alias("_amount"))
-    levels = [budget / 2.0**j for j in range(_STEPS)]
-    sums = asked.groupBy(*group).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("_amount") <= m, F.col("_amount"))), F.lit(0.0)) for m in levels]).alias("sums"), F.min("_amount").alias("least"))
+    group, sorting = (*key, "_block"), (*order, "_tie")
+    asks = F.coalesce(F.col(spends) & (F.col(amount) <= budget), F.lit(False))
+    asked = blocked.where(asks).select(*group, *dict.fromkeys(c for c in sorting if c not in group), F.col(amount).cast("double").alias("_amount"))
+    levels = [budget / 2.0**j for j in range(_STEPS)] + [float(m) for m in steps]
+    value = F.when(asks, F.col(amount).cast("double"))
+    sums = stored(blocked.groupBy(*group).agg(F.array(*[F.coalesce(F.sum(F.when(value <= m, value)), F.lit(0.0)) for m in levels]).alias("sums"), F.min(value).alias("least")), "sums")
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = np.array(levels)
-        total, negative = np.zeros(_STEPS), False
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.concatenate([[last is None or bool(changes(pa.Table.from_batches([last, batch.slice(0, 1)]), key)[0])], changes(batch, key)])
-            last = batch.slice(batch.num_rows - 1)
+        total, negative = np.zeros(len(levels)), False
+        for batch, runs in _segments(batches, key):
             left = []
-            for first, own, least in zip(new.tolist(), batch["sums"].to_pylist(), batch["least"].to_pylist(), strict=True):
-                if first:
-                    total, negative = np.zeros(_STEPS), False
-                negative |= least < 0
+            begins = {a for a, _, first in runs if first}
+            for i, (own, least) in enumerate(zip(batch["sums"].to_pylist(), batch["least"].to_pylist(), strict=True)):
+                if i in begins:
+                    total, negative = np.zeros(len(levels)), False
+                negative |= least is not None and least < 0
                 # what is left before the block, with room for rounding; negative amounts give money back
-                left.append(float("inf") if negative else (budget - np.minimum(total, budget - steps).max()) * (1 + 1e-9) + 1e-9 * budget)
+                some = np.maximum(budget - total, steps) * (1 + 1e-9) + 1e-9 * budget
+                # more than can be spent was asked for, so one of these was refused and all as large are
+                some = np.where(total > budget * (1 + 1e-9), np.nextafter(steps, -np.inf), some)
+                left.append(float("inf") if negative else float(some.min()))
                 total = total + np.array(own)
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in group], pa.array(left, pa.float64())], [*group, "left"])
 
@@ -208,60 +248,60 @@ def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key:
     able = asked.join(prefixed(bound, group), same(group)).where(F.col("_amount") <= F.col("left")).select(*asked.columns)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What is spent after each block that spends."""
-        spent, last = 0.0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = np.concatenate([[last is None or bool(changes(pa.Table.from_batches([last, batch.slice(0, 1)]), key)[0])], changes(batch, key)])
-            last = batch.slice(batch.num_rows - 1)
-            keep, after = [], []
-            for i, (first, value) in enumerate(zip(new.tolist(), batch["_amount"].to_pylist(), strict=True)):
-                spent = 0.0 if first else spent
-                if spent + value <= budget:
-                    spent += value
-                    keep.append(i)
-                    after.append(spent)
-            taken = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[taken[c] for c in group], pa.array(keep, pa.int64()), pa.array(after, pa.float64())], [*group, "_nth", "spent"])
+        """What is spent after each request that spends."""
+        spent = 0.0
+        for batch, runs in _segments(batches, key):
+            amounts, keep, after = batch["_amount"].to_numpy(), [], []
+            for a, b, first in runs:
+                allowed, before, spent = _spend(amounts[a:b], np.ones(b - a, bool), 0.0 if first else spent, budget)
+                at = np.flatnonzero(allowed)
+                keep.append(at + a)
+                after.append(before[at] + amounts[a:b][at])
+            taken = batch.take(pa.array(np.concatenate(keep)))
+            yield pa.RecordBatch.from_arrays([*[taken[c] for c in group], pa.array(np.concatenate(keep), pa.int64()), pa.array(np.concatenate(after), pa.float64())], [*group, "_nth", "spent"])
 
     # amounts may be negative, so the newest sum of a block is found by its place among the walked
     walked = dealt(able, key, sorting).mapInArrow(_numbered(walk), f"{ddl(asked, *group)}, _nth long, spent double")
     after = walked.groupBy(*group).agg(F.max_by("spent", "_nth").alias("spent"))
-    every = blocked.select(*group).distinct().withColumn("spent", F.lit(None).cast("double")).withColumn("_is", F.lit(0))
+    every = sums.select(*group).withColumn("spent", F.lit(None).cast("double")).withColumn("_is", F.lit(0))
     marks = after.select(*group, "spent").withColumn("_is", F.lit(1)).unionByName(every)
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What was spent before each block: the newest sum of an earlier one."""
+        """What was spent before each block, the newest sum of an earlier one, and whether the block itself spends."""
         for table, starts in whole_groups(batches, key):
-            begins, keep, before, spent = set(starts.tolist()), [], [], 0.0
-            for i, (kind, value) in enumerate(zip(table["_is"].to_pylist(), table["spent"].to_pylist(), strict=True)):
+            begins, keep, before, moves, spent = set(starts.tolist()), [], [], [], 0.0
+            kinds = table["_is"].to_pylist()
+            for i, (kind, value) in enumerate(zip(kinds, table["spent"].to_pylist(), strict=True)):
                 spent = 0.0 if i in begins else spent
                 if kind:
                     spent = value
                 else:
                     keep.append(i)
                     before.append(spent)
-            yield from table.select(list(group)).take(pa.array(keep, pa.int64())).append_column("_spent", pa.array(before, pa.float64())).to_batches()
+                    moves.append(i + 1 < len(kinds) and i + 1 not in begins and kinds[i + 1] == 1)
+            found = table.select(list(group)).take(pa.array(keep, pa.int64()))
+            yield from found.append_column("_spent", pa.array(before, pa.float64())).append_column("_moves", pa.array(moves, pa.bool_())).to_batches()
 
-    given = dealt(marks, key, ("_block", "_is")).mapInArrow(carry, f"{ddl(asked, *group)}, _spent double")
-    joined = blocked.join(prefixed(given, group), same(group)).drop(*[f"_r_{c}" for c in group])
-    result = rows.withColumn("allowed", F.lit(True)).withColumn("spent_before", F.lit(0.0))
+    given = stored(dealt(marks, key, ("_block", "_is")).mapInArrow(carry, f"{ddl(asked, *group)}, _spent double, _moves boolean"), "given")
+    joined = lambda blocks: blocked.join(prefixed(blocks, group), same(group)).drop(*[f"_r_{c}" for c in group])
+    fits = F.coalesce(F.col("_spent") + F.col(amount).cast("double") <= budget, F.lit(False))
+    still = joined(given.where("not _moves")).select(*rows.columns, fits.alias("allowed"), F.col("_spent").alias("spent_before"))
+    names = still.columns
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, group):
-            begins, given = set(starts.tolist()), table["_spent"].to_pylist()
-            allowed, before, spent = np.zeros(table.num_rows, bool), np.zeros(table.num_rows), 0.0
-            for i, (value, counts) in enumerate(zip(table[amount].to_pylist(), table[spends].to_pylist(), strict=True)):
-                spent = given[i] if i in begins else spent
-                before[i] = spent
-                if value is not None and spent + value <= budget:
-                    allowed[i] = True
-                    if counts:
-                        spent += value
-            yield from table.select(names).append_column("allowed", pa.array(allowed)).append_column("spent_before", pa.array(before)).to_batches()
-
-    return dealt(joined, group, sorting).mapInArrow(decide, ddl(result))
+        spent = 0.0
+        for batch, runs in _segments(batches, group):
+            amounts = batch["_value"].fill_null(float("nan")).to_numpy(zero_copy_only=False)
+            counts = batch[spends].fill_null(False).to_numpy(zero_copy_only=False)
+            found = []
+            for a, b, first in runs:
+                *parts, spent = _spend(amounts[a:b], counts[a:b], batch["_spent"][a].as_py() if first else spent, budget)
+                found.append(parts)
+            allowed, before = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names[:-2]], pa.array(allowed), pa.array(before)], names)
+
+    moving = joined(given.where("_moves")).withColumn("_value", F.col(amount).cast("double"))
+    return still.unionByName(dealt(moving, group, sorting).mapInArrow(decide, ddl(still)))
 
 
 def _numbered(walk):

@@ -50,3 +50,27 @@ def test_delivered_totals_are_those_of_the_pairs(spark):
 def test_delivered_totals_without_ten_billion_pairs(spark):
     found = matching.delivered_totals(signals(spark, 200_000), subscriptions(spark, 100_000))
     assert found.agg(F.sum("delivered")).first()[0] > 1e8
+
+
+def acting(spark, n_signals, n_agents):
+    i = F.col("id")
+    sig = signals(spark, n_signals).withColumns({"pool": F.concat(F.lit("P"), i % 9), "z_score": i % 37 / 10})
+    some = lambda k, v: F.when(i % k != 0, v)
+    rules = F.struct(some(3, (i % 10 * 10).cast("int")).alias("min_confidence"), some(4, F.array(F.lit("a"), F.lit("b"))).alias("signal_types"), some(2, F.array(F.lit("x"))).alias("protocols"), some(5, i % 40 / 10).alias("min_z_score"), F.lit("swap").alias("action"), some(7, (i % 70 + 10).cast("double")).alias("amount_usd"), some(2, i % 3 / 50).alias("max_slippage"), some(6, (i % 4).cast("double")).alias("max_position_pct"))
+    agents = spark.range(n_agents).select((i - (i % 50 == 49).cast("int")).alias("agent_id"), (i % 10 != 9).alias("active"), (i % 90 * 100).cast("double").alias("balance_usd"), rules.alias("rules"))
+    return sig, agents, spark.createDataFrame([("p3",), ("P5",)], "pool string")
+
+
+def test_guard_totals_are_those_of_the_requests(spark):
+    sig, agents, bad = acting(spark, 900, 150)
+    rows = matching.guard(matching.execution_requests(sig, agents), bad)
+    want = rows.groupBy("agent_id", F.coalesce("guard_failed", F.lit("passed")).alias("guard")).agg(F.count("*").alias("n"))
+    assert want.select("guard").distinct().count() == 5
+    same(matching.guard_totals(sig, agents, bad), want)
+    passed = rows.where("guard_failed is null").drop("guard_failed")
+    assert passed.count() > 100
+    same(matching.passed_requests(sig, agents, bad).na.fill("-"), passed.na.fill("-"))
+
+
+def test_guard_totals_without_ten_billion_pairs(spark):
+    assert matching.guard_totals(*acting(spark, 200_000, 100_000)).agg(F.sum("n")).first()[0] > 1e8
