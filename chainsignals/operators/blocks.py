@@ -168,6 +168,8 @@ def cooldown(rows: DataFrame, key: tuple[str, ...], cooldown_us: int, order: tup
 
 #: Shares of the budget at which amounts are summed, to bound what a key can have left.
 _STEPS = 30
+#: A table of up to so many blocks is broadcast to the rows.
+_SMALL = 200_000
 
 
 def _spend(amounts: np.ndarray, counts: np.ndarray, spent: float, budget: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -218,13 +220,19 @@ def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key:
         table.write.parquet(f"{path}/{name}")
         return spark.read.schema(table.schema).parquet(f"{path}/{name}")
 
-    blocked = rows.withColumn("_block", F.floor(F.col("us") / block_us)).withColumn("_tie", F.xxhash64(*rows.columns))
+    blocked = rows.withColumn("_block", F.floor(F.col("us") / block_us))
     group, sorting = (*key, "_block"), (*order, "_tie")
     asks = F.coalesce(F.col(spends) & (F.col(amount) <= budget), F.lit(False))
-    asked = blocked.where(asks).select(*group, *dict.fromkeys(c for c in sorting if c not in group), F.col(amount).cast("double").alias("_amount"))
-    levels = [budget / 2.0**j for j in range(_STEPS)] + [float(m) for m in steps]
-    value = F.when(asks, F.col(amount).cast("double"))
-    sums = stored(blocked.groupBy(*group).agg(F.array(*[F.coalesce(F.sum(F.when(value <= m, value)), F.lit(0.0)) for m in levels]).alias("sums"), F.min(value).alias("least")), "sums")
+    value = F.col(amount).cast("double")
+    levels = sorted({budget / 2.0**j for j in range(_STEPS)} | {float(m) for m in steps if m <= budget})
+    # the least level that an amount is within; most amounts are large, so from above
+    level = F.when(~asks, None)
+    for i, below in reversed(list(enumerate(levels[:-1], 1))):
+        level = level.when(value > below, i)
+    by_level = blocked.groupBy(*group, level.otherwise(0).alias("_level")).agg(F.sum(value).alias("sum"), F.min(F.when(asks, value)).alias("least"))
+    asked_of = F.when(F.col("_level").isNotNull(), F.struct("_level", "sum"))
+    sums = stored(by_level.groupBy(*group).agg(F.collect_list(asked_of).alias("sums"), F.min("least").alias("least")), "sums")
+    types = ddl(sums, *group)
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = np.array(levels)
@@ -241,11 +249,21 @@ def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key:
                 # more than can be spent was asked for, so one of these was refused and all as large are
                 some = np.where(total > budget * (1 + 1e-9), np.nextafter(steps, -np.inf), some)
                 left.append(float("inf") if negative else float(some.min()))
-                total = total + np.array(own)
+                more = np.zeros(len(levels))
+                for x in own:
+                    more[x["_level"]] += x["sum"]
+                total = total + np.cumsum(more)
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in group], pa.array(left, pa.float64())], [*group, "left"])
 
-    bound = dealt(sums, key, ("_block",)).mapInArrow(bounds, f"{ddl(asked, *group)}, left double")
-    able = asked.join(prefixed(bound, group), same(group)).where(F.col("_amount") <= F.col("left")).select(*asked.columns)
+    def joined(table: DataFrame) -> DataFrame:
+        """Rows with what ``table`` has of their block."""
+        small = table.limit(_SMALL + 1).count() <= _SMALL
+        of = prefixed(table, group)
+        return blocked.join(F.broadcast(of) if small else of, same(group)).drop(*[f"_r_{c}" for c in group])
+
+    tie = F.xxhash64(*rows.columns).alias("_tie")
+    bound = stored(dealt(sums, key, ("_block",)).mapInArrow(bounds, f"{types}, left double"), "bound")
+    able = joined(bound).where(asks & (value <= F.col("left"))).select(*dict.fromkeys((*group, *order)), tie, value.alias("_amount"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What is spent after each request that spends."""
@@ -261,7 +279,7 @@ def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key:
             yield pa.RecordBatch.from_arrays([*[taken[c] for c in group], pa.array(np.concatenate(keep), pa.int64()), pa.array(np.concatenate(after), pa.float64())], [*group, "_nth", "spent"])
 
     # amounts may be negative, so the newest sum of a block is found by its place among the walked
-    walked = dealt(able, key, sorting).mapInArrow(_numbered(walk), f"{ddl(asked, *group)}, _nth long, spent double")
+    walked = dealt(able, key, sorting).mapInArrow(_numbered(walk), f"{types}, _nth long, spent double")
     after = walked.groupBy(*group).agg(F.max_by("spent", "_nth").alias("spent"))
     every = sums.select(*group).withColumn("spent", F.lit(None).cast("double")).withColumn("_is", F.lit(0))
     marks = after.select(*group, "spent").withColumn("_is", F.lit(1)).unionByName(every)
@@ -282,9 +300,8 @@ def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key:
             found = table.select(list(group)).take(pa.array(keep, pa.int64()))
             yield from found.append_column("_spent", pa.array(before, pa.float64())).append_column("_moves", pa.array(moves, pa.bool_())).to_batches()
 
-    given = stored(dealt(marks, key, ("_block", "_is")).mapInArrow(carry, f"{ddl(asked, *group)}, _spent double, _moves boolean"), "given")
-    joined = lambda blocks: blocked.join(prefixed(blocks, group), same(group)).drop(*[f"_r_{c}" for c in group])
-    fits = F.coalesce(F.col("_spent") + F.col(amount).cast("double") <= budget, F.lit(False))
+    given = stored(dealt(marks, key, ("_block", "_is")).mapInArrow(carry, f"{types}, _spent double, _moves boolean"), "given")
+    fits = F.coalesce(F.col("_spent") + value <= budget, F.lit(False))
     still = joined(given.where("not _moves")).select(*rows.columns, fits.alias("allowed"), F.col("_spent").alias("spent_before"))
     names = still.columns
 
@@ -300,7 +317,7 @@ def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key:
             allowed, before = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in names[:-2]], pa.array(allowed), pa.array(before)], names)
 
-    moving = joined(given.where("_moves")).withColumn("_value", F.col(amount).cast("double"))
+    moving = joined(given.where("_moves")).select("*", value.alias("_value"), tie)
     return still.unionByName(dealt(moving, group, sorting).mapInArrow(decide, ddl(still)))
 
 
