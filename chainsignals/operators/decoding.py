@@ -97,15 +97,21 @@ def with_block_times(events: DataFrame, blocks: DataFrame, processing_us: int) -
     return events.join(times, ["chain", "block"], "left").withColumn("us", F.coalesce("_us", F.lit(processing_us))).drop("_us")
 
 
-def resolve_wallets(events: DataFrame, transactions: DataFrame, proxies: tuple[str, ...] = dims.PROXIES) -> DataFrame:
+def resolve_wallets(events: DataFrame, transactions: DataFrame, proxies: tuple[str, ...] | DataFrame = dims.PROXIES) -> DataFrame:
     """The sender of the transaction in place of a proxy; unknown transactions keep the proxy.
 
-    Only proxied rows take part in the join.
+    ``proxies`` are listed, or the column wallet of a table of any size.  Only proxied rows
+    take part in the join with the transactions.
     """
-    proxied = F.coalesce(F.col("wallet").isin(*proxies), F.lit(False))
-    plain = events.where(~proxied)
+    columns = events.columns
+    if isinstance(proxies, DataFrame):
+        events = events.join(proxies.select(F.col("wallet").alias("_proxy")).distinct(), F.col("wallet") == F.col("_proxy"), "left")
+        proxied = F.col("_proxy").isNotNull()
+    else:
+        proxied = F.coalesce(F.col("wallet").isin(*proxies), F.lit(False))
+    plain = events.where(~proxied).select(*columns)
     origin = transactions.select("chain", "tx_hash", F.lower("from_address").alias("_from"))
-    swapped = events.where(proxied).join(origin, ["chain", "tx_hash"], "left").withColumn("wallet", F.coalesce("_from", "wallet")).select(*events.columns)
+    swapped = events.where(proxied).join(origin, ["chain", "tx_hash"], "left").withColumn("wallet", F.coalesce("_from", "wallet")).select(*columns)
     return plain.unionByName(swapped)
 
 
