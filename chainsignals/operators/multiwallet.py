@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from . import blocks
 from .baseline import KEY
 
 MINUTE_US = 60_000_000
+#: Rows and listed wallets that a task gives back at a time.
+PART_WALLETS = 100_000
 
 
 def _blocks(events: DataFrame, window_us: int, block_us: int) -> DataFrame:
@@ -40,13 +43,15 @@ def distinct_active(us: np.ndarray, wallet: np.ndarray, window_us: int) -> np.nd
     return np.searchsorted(np.sort(begins), us, "right") - np.searchsorted(np.sort(ends), us, "left")
 
 
-def _listed(lo: np.ndarray, hi: np.ndarray, wallets: list, wanted: np.ndarray) -> list[list[str] | None]:
-    """The wallets from ``lo`` to ``hi`` of each wanted row, sorted; both only grow."""
+def _listed(lo: np.ndarray, hi: np.ndarray, names: pa.ChunkedArray, wanted: np.ndarray) -> Iterator[list[str] | None]:
+    """The wallets from ``lo`` to ``hi`` of each row, sorted, or None if it is not wanted; both only grow."""
+    wallets = names.to_pylist()
     inside: dict[str, int] = {}
     begin = end = 0
-    found: list[list[str] | None] = [None] * len(lo)
-    rows = np.flatnonzero(wanted)
-    for i, start, stop in zip(rows.tolist(), lo[rows].tolist(), hi[rows].tolist(), strict=True):
+    for start, stop, want in zip(lo.tolist(), hi.tolist(), wanted.tolist(), strict=True):
+        if not want:
+            yield None
+            continue
         for w in wallets[end:stop]:
             if w is not None:
                 inside[w] = inside.get(w, 0) + 1
@@ -57,8 +62,17 @@ def _listed(lo: np.ndarray, hi: np.ndarray, wallets: list, wanted: np.ndarray) -
                 else:
                     inside[w] -= 1
         begin, end = start, stop
-        found[i] = sorted(inside)
-    return found
+        yield sorted(inside)
+
+
+def _parts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes sum to ``most`` at most, or of one row."""
+    sums, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        before = sums[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sums, before + most, "right")))
+        yield begin, end
+        begin = end
 
 
 def wallet_windows(scored: DataFrame, key: tuple[str, ...] = KEY, window_us: int = 30 * MINUTE_US, block_us: int = 360 * MINUTE_US, listed: int | None = None) -> DataFrame:
@@ -77,26 +91,30 @@ def wallet_windows(scored: DataFrame, key: tuple[str, ...] = KEY, window_us: int
     schema = blocks.ddl(rows) + ", wallets array<string>, n_wallets int, window_usd double, n_events long, first_us long, last_us long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
         for table, starts in blocks.whole_groups(batches, group):
+            table = table.combine_chunks()
             every, usd = table["us"].to_numpy(), np.nan_to_num(table["usd"].to_numpy().astype(np.longdouble))
-            names = table["wallet"].combine_chunks()
-            every_wallet = names.to_pylist()
-            codes = np.asarray(names.dictionary_encode().indices.fill_null(-1), np.int64)
-            wallets: list = []
-            found: list[list[np.ndarray]] = []
+            codes = np.asarray(table["wallet"].combine_chunks().dictionary_encode().indices.fill_null(-1), np.int64)
+            own = pc.equal(table["block"], table["own_block"]).to_numpy()
+            found, lists = [], []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 us, before = every[a:b], np.concatenate([[0], np.cumsum(usd[a:b])])
                 lo, hi = np.searchsorted(us, us - window_us), np.searchsorted(us, us, "right")
                 n = distinct_active(us, codes[a:b], window_us)
-                found.append([n, (before[hi] - before[lo]).astype(float), hi - lo, us[lo], us])
-                wallets += _listed(lo, hi, every_wallet[a:b], n <= (len(us) if listed is None else listed))
-            columns = [np.concatenate(x) for x in zip(*found, strict=True)]
-            types = [pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-            out = table.append_column("wallets", pa.array(wallets, pa.list_(pa.string())))
-            for name, x, t in zip(("n_wallets", "window_usd", "n_events", "first_us", "last_us"), columns, types, strict=True):
-                out = out.append_column(name, pa.array(x, t))
-            own = pc.equal(table["block"], table["own_block"])
-            yield from out.filter(own).to_batches()
+                wanted = own[a:b] & (n <= (len(us) if listed is None else listed))
+                found.append([np.where(wanted, n, 0), n, (before[hi] - before[lo]).astype(float), hi - lo, us[lo], us])
+                lists.append(_listed(lo, hi, table["wallet"].slice(a, b - a), wanted))
+            sizes, *columns = (np.concatenate(x) for x in zip(*found, strict=True))
+            every_list = chain.from_iterable(lists)
+            # the wallets of all rows are far more than the rows, so they leave in parts
+            for i, j in _parts(sizes + 1, PART_WALLETS):
+                at = np.flatnonzero(own[i:j])
+                wallets = [x for x, mine in zip(islice(every_list, j - i), own[i:j].tolist(), strict=True) if mine]
+                out = table.slice(i, j - i).take(pa.array(at)).append_column("wallets", pa.array(wallets, pa.list_(pa.string())))
+                for name, x, t in zip(("n_wallets", "window_usd", "n_events", "first_us", "last_us"), columns, types, strict=True):
+                    out = out.append_column(name, pa.array(x[i:j][at], t))
+                yield from out.to_batches()
 
     seen = blocks.dealt(rows, group, ("us",)).mapInArrow(run, schema)
     z = (F.col("window_usd") - F.col("baseline_mean")) / F.col("baseline_std")

@@ -296,3 +296,22 @@ def test_streams_leave_the_session_as_it_was(spark):
     with jobs.rocksdb_state(spark):
         assert spark.conf.get(name) == jobs.ROCKSDB
     assert spark.conf.get(name) == before
+
+
+def test_proxies_from_a_table_of_any_size(spark):
+    from chainsignals.plans import ingestion
+
+    rows = [(7, 2010, 1), (8, 2010, 2), (9, 1990, 3), (10, 2011, 4)]
+    frame = spark.createDataFrame(rows, "event_id long, user_id long, k int").selectExpr("event_id", "timestamp'2024-01-01' as ts", "user_id", "'click' as event_type", "1.0D as value")
+    path = __import__("tempfile").mkdtemp()
+    frame.write.parquet(f"{path}/events.parquet")
+    found = {r.event_id: r.wallet for r in ingestion.jn2_wallet_attribution(spark, path).collect()}
+    assert found == {7: "0xorigin2010", 8: "0xorigin2010", 9: "0x" + "1990".zfill(40), 10: "0x" + "2011".zfill(40)}
+
+
+def test_lists_of_wallets_leave_in_parts(monkeypatch):
+    import numpy as np
+
+    parts = list(multiwallet._parts(np.array([3, 3, 20, 1, 1, 9]), 7))
+    assert parts == [(0, 2), (2, 3), (3, 5), (5, 6)]
+    assert list(multiwallet._parts(np.array([], int), 7)) == []
