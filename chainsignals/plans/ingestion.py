@@ -128,9 +128,11 @@ def dec_exact_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src1_flt4_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range of blocks of two chains, read from the log store; only their folders and row groups are read."""
     path = io.scratch_path(spark, "logs")
-    log_store.append_logs(raw_logs(spark, sf_dir), path, span=25)
+    logs = raw_logs(spark, sf_dir)
+    span = log_store.span_for(logs, 25)
+    log_store.append_logs(logs, path, span=span)
     chains = decoding.enabled_chains(["mantle", "nowhere", "ethereum"])
-    return log_store.scan_range(spark, path, pools(spark), 20, 70, chains, span=25).select("tx_hash")
+    return log_store.scan_range(spark, path, pools(spark), 20, 70, chains, span=span).select("tx_hash")
 
 
 @query(f"WITH {RAW}, {LOGS} SELECT chain, count(*) AS n, round(sum(round(units / 1e6, 4)), 4) AS usd FROM logs WHERE block BETWEEN 10 AND 80 AND event_type <> 'error' AND round(units / 1e6, 4) >= 50 GROUP BY chain")
@@ -151,9 +153,9 @@ def jn1_block_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(tables.with_ctes("ev", "SELECT event_id, CASE WHEN user_id % 10 = 0 AND event_id % 3 <> 0 THEN '0xorigin' || CAST(user_id AS VARCHAR) ELSE wallet END AS wallet FROM ev"))
 def jn2_wallet_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sender in place of a proxy; transactions of every third event are unknown."""
+    """The sender in place of a proxy, which every tenth user is; transactions of every third event are unknown."""
     ev = tables.events(spark, sf_dir).withColumn("tx_hash", F.col("tx"))
-    proxies = tuple("0x" + str(u).rjust(40, "0") for u in range(0, 2000, 10))
+    proxies = ev.where("user_id % 10 = 0").select("wallet")
     transactions = ev.where("event_id % 3 <> 0").select("chain", "tx_hash", F.concat(F.lit("0xORIGIN"), F.col("user_id").cast("string")).alias("from_address"))
     return decoding.resolve_wallets(ev, transactions, proxies).select("event_id", "wallet")
 

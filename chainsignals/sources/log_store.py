@@ -18,6 +18,8 @@ from . import schemas
 
 #: Blocks of a folder: about a day of a chain with a block every few seconds.
 SPAN = 20_000
+#: Folders of a chain in a store that is written at once.
+FOLDERS = 64
 #: Up to so many addresses are tested one by one, so that Bloom filters apply; more by a join alone.
 LISTED = 200
 
@@ -41,6 +43,20 @@ def prepared(logs: DataFrame, span: int = SPAN) -> DataFrame:
     )
 
 
+def span_for(logs: DataFrame, least: int, folders: int = FOLDERS) -> int:
+    """A span, ``least`` times a power of two, with which the blocks of ``logs`` fill at most ``folders`` folders of a chain.
+
+    A fixed span gives a folder, and a file, for every few rows once a table has many
+    blocks; one table is read here for its first and last block.
+    """
+    block = flexible_int(F.col("block_number"))
+    first, last = logs.agg(F.min(block), F.max(block)).first()
+    span = least
+    while first is not None and last // span - first // span >= folders:
+        span *= 2
+    return span
+
+
 def append_logs(logs: DataFrame, path: str, span: int = SPAN, addresses_per_group: int = 10_000, row_group_bytes: int = 32 << 20) -> None:
     """Append raw logs to the store at ``path``.
 

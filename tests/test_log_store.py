@@ -98,3 +98,11 @@ def test_query_scans_the_store(spark):
 
     want = decoding.scan_logs(ingestion.raw_logs(spark, SF), ingestion.pools(spark), 20, 70, ["mantle", "ethereum"])
     assert sorted(ingestion.src1_flt4_log_scan(spark, SF).collect()) == sorted(want.select("tx_hash").collect())
+
+
+def test_span_follows_the_blocks(spark):
+    assert log_store.span_for(raw(spark), 1000) == 1000
+    many = spark.range(2).select(F.when(F.col("id") == 0, "0x10").otherwise("4000000").alias("block_number"))
+    span = log_store.span_for(many, 25)
+    assert 4_000_000 // span < log_store.FOLDERS <= 8_000_000 // span
+    assert log_store.span_for(many.where("false"), 25) == 25
