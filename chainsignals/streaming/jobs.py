@@ -51,10 +51,10 @@ class Expiring(StatefulProcessor):
 
     timers = False
 
-    def move_timer(self, us: int) -> None:
-        """Let the key's timer fire once event time has passed ``us``."""
+    def move_timer(self, us: int, new: bool = False) -> None:
+        """Let the key's timer fire once event time has passed ``us``; a ``new`` key has no timer to remove, which saves asking for one."""
         if self.timers:
-            for at in list(self.handle.listTimers()):
+            for at in [] if new else list(self.handle.listTimers()):
                 self.handle.deleteTimer(at)
             self.handle.registerTimer(us // 1000 + 1)
 
@@ -77,8 +77,11 @@ class Cooldown(Expiring):
         self.last = handle.getValueState("last", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        frame = pd.concat(list(rows)).sort_values("us", kind="stable")
+        known = self.last.get()
+        last = None if known is None else known[0]
+        parts = list(rows)
+        frame = parts[0] if len(parts) == 1 else pd.concat(parts)
+        frame = frame if len(frame) == 1 else frame.sort_values("us", kind="stable")
         us = frame["us"].to_numpy()
         keep, at = [], 0 if last is None else int(np.searchsorted(us, last + self.cooldown_us))
         # from one emission to the first row that is a cooldown later
@@ -88,7 +91,7 @@ class Cooldown(Expiring):
             at = max(at + 1, int(np.searchsorted(us, last + self.cooldown_us)))
         if keep:
             self.last.update((last,))
-            self.move_timer(last + self.cooldown_us)
+            self.move_timer(last + self.cooldown_us, new=known is None)
             yield frame.iloc[keep][self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

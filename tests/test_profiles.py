@@ -74,3 +74,41 @@ def test_guard_totals_are_those_of_the_requests(spark):
 
 def test_guard_totals_without_ten_billion_pairs(spark):
     assert matching.guard_totals(*acting(spark, 200_000, 100_000)).agg(F.sum("n")).first()[0] > 1e8
+
+
+def test_a_new_key_of_a_cooldown_asks_state_once():
+    import pandas as pd
+
+    from chainsignals.streaming import jobs
+
+    calls = []
+
+    class Value:
+        last = None
+
+        def get(self):
+            calls.append("get")
+            return self.last
+
+        def update(self, value):
+            self.last = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return Value()
+
+        def listTimers(self):
+            calls.append("list")
+            return iter([5])
+
+        def registerTimer(self, ms):
+            calls.append(("register", ms))
+
+        def deleteTimer(self, ms):
+            calls.append(("delete", ms))
+
+    rule = jobs.Cooldown(1_000_000, ["us"], True)
+    rule.init(Handle())
+    run = lambda *us: [u for f in rule.handleInputRows(("k",), iter([pd.DataFrame({"us": list(us)})]), None) for u in f["us"]]
+    assert run(7_000_000) == [7_000_000] and calls == ["get", ("register", 8001)]
+    assert run(7_500_000, 8_000_000) == [8_000_000] and calls[2:] == ["get", "list", ("delete", 5), ("register", 9001)]
