@@ -8,7 +8,7 @@ worked off from the number that it gets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -168,6 +168,8 @@ def cooldown(rows: DataFrame, key: tuple[str, ...], cooldown_us: int, order: tup
 
 #: Shares of the budget at which amounts are summed, to bound what a key can have left.
 _STEPS = 30
+#: Length of a block.
+BLOCK_US = 900_000_000
 #: A table of up to so many blocks is broadcast to the rows.
 _SMALL = 200_000
 
@@ -200,7 +202,19 @@ def _segments(batches: Iterator[pa.RecordBatch], group: tuple[str, ...]) -> Iter
         yield batch, [(a, b, a > 0 or first) for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True)]
 
 
-def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key: tuple[str, ...], order: tuple[str, ...] = ("us",), block_us: int = 900_000_000, steps: tuple[float, ...] = ()) -> DataFrame:
+def asking(amount: str, spends: str, budget: float) -> Column:
+    """Whether a request can spend at all."""
+    return F.coalesce(F.col(spends) & (F.col(amount) <= budget), F.lit(False))
+
+
+def of_blocks(rows: DataFrame, table: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """Rows with what ``table`` has of their block."""
+    small = table.limit(_SMALL + 1).count() <= _SMALL
+    of = prefixed(table, group)
+    return rows.join(F.broadcast(of) if small else of, same(group)).drop(*[f"_r_{c}" for c in group])
+
+
+def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key: tuple[str, ...], order: tuple[str, ...] = ("us",), block_us: int = BLOCK_US, steps: tuple[float, ...] = (), joined: Callable[[DataFrame], DataFrame] | None = None, summed: Callable[[Column], DataFrame] | None = None) -> DataFrame:
     """``rows`` with allowed and spent_before, as ``greedy.within_budget`` says.
 
     For every m, a key that was asked for T in amounts up to m has spent all of T, or has
@@ -211,6 +225,11 @@ def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key:
     number judges every row where it is; only rows of blocks that spend are sorted and
     walked again.  The table of blocks is stored; rows are read four times.  Ties in
     ``order`` are broken by the rows' hashes.
+
+    Two functions can do without rows what is done to all of them: ``joined`` makes the rows
+    of a table's blocks, with _block and what the table has of it; ``summed`` adds up
+    amounts by key, _block and the given level, as sum and least.  Rows are then made for
+    blocks that may spend, and once for the result.
     """
     if budget < 0:
         return rows.withColumn("allowed", F.lit(False)).withColumn("spent_before", F.lit(0.0))
@@ -222,14 +241,14 @@ def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key:
 
     blocked = rows.withColumn("_block", F.floor(F.col("us") / block_us))
     group, sorting = (*key, "_block"), (*order, "_tie")
-    asks = F.coalesce(F.col(spends) & (F.col(amount) <= budget), F.lit(False))
-    value = F.col(amount).cast("double")
+    asks, value = asking(amount, spends, budget), F.col(amount).cast("double")
     levels = sorted({budget / 2.0**j for j in range(_STEPS)} | {float(m) for m in steps if m <= budget})
     # the least level that an amount is within; most amounts are large, so from above
     level = F.when(~asks, None)
     for i, below in reversed(list(enumerate(levels[:-1], 1))):
         level = level.when(value > below, i)
-    by_level = blocked.groupBy(*group, level.otherwise(0).alias("_level")).agg(F.sum(value).alias("sum"), F.min(F.when(asks, value)).alias("least"))
+    level = level.otherwise(0).alias("_level")
+    by_level = summed(level) if summed else blocked.groupBy(*group, level).agg(F.sum(value).alias("sum"), F.min(F.when(asks, value)).alias("least"))
     asked_of = F.when(F.col("_level").isNotNull(), F.struct("_level", "sum"))
     sums = stored(by_level.groupBy(*group).agg(F.collect_list(asked_of).alias("sums"), F.min("least").alias("least")), "sums")
     types = ddl(sums, *group)
@@ -248,22 +267,18 @@ def within_budget(rows: DataFrame, amount: str, spends: str, budget: float, key:
                 some = np.maximum(budget - total, steps) * (1 + 1e-9) + 1e-9 * budget
                 # more than can be spent was asked for, so one of these was refused and all as large are
                 some = np.where(total > budget * (1 + 1e-9), np.nextafter(steps, -np.inf), some)
-                left.append(float("inf") if negative else float(some.min()))
+                most = float("inf") if negative else float(some.min())
+                left.append(most if least is not None and least <= most else None)
                 more = np.zeros(len(levels))
                 for x in own:
                     more[x["_level"]] += x["sum"]
                 total = total + np.cumsum(more)
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in group], pa.array(left, pa.float64())], [*group, "left"])
 
-    def joined(table: DataFrame) -> DataFrame:
-        """Rows with what ``table`` has of their block."""
-        small = table.limit(_SMALL + 1).count() <= _SMALL
-        of = prefixed(table, group)
-        return blocked.join(F.broadcast(of) if small else of, same(group)).drop(*[f"_r_{c}" for c in group])
-
+    joined = joined or (lambda table: of_blocks(blocked, table, group))
     tie = F.xxhash64(*rows.columns).alias("_tie")
     bound = stored(dealt(sums, key, ("_block",)).mapInArrow(bounds, f"{types}, left double"), "bound")
-    able = joined(bound).where(asks & (value <= F.col("left"))).select(*dict.fromkeys((*group, *order)), tie, value.alias("_amount"))
+    able = joined(bound.where("left is not null")).where(asks & (value <= F.col("left"))).select(*dict.fromkeys((*group, *order)), tie, value.alias("_amount"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What is spent after each request that spends."""

@@ -108,6 +108,25 @@ def test_requests_are_the_same_however_signals_are_cut(spark, monkeypatch):
         assert sum(parts, []) == list(range(n)) and all(0 < len(x) <= 16 for x in parts) and all(len(x) % 8 == 0 for x in parts[:-1])
 
 
+def test_budgeted_requests_are_those_of_the_rows(spark, monkeypatch):
+    """Equal to the walk over all rows, of which few blocks are made for it; times of an agent differ."""
+    from chainsignals.operators import blocks, greedy
+
+    of_blocks, made = blocks.of_blocks, []
+    sig, agents, bad = acting(spark, 900, 150)
+    sig, agents = sig.withColumn("detected_us", F.col("detected_us") + F.col("id")), agents.dropDuplicates(["agent_id"])
+    rows = matching.passed_requests(sig, agents, bad).select("agent_id", "signal_id", "us", "amount_usd", F.floor(F.col("us") / DAY).alias("day"), (F.col("agent_id") % 5 != 0).alias("succeeds"))
+    for budget in (-1.0, 5.0, 95.0):
+        want = greedy.within_budget(rows, "amount_usd", "succeeds", budget, order=("us", "agent_id")).select("agent_id", "signal_id", "allowed", "spent_before")
+        found = matching.budgeted_requests(sig, agents, bad, F.col("agent_id") % 5 != 0, budget, (10.0, 20.0))
+        assert want.where("allowed").count() > 0 or budget < 10
+        same(found, want)
+    monkeypatch.setattr(blocks, "of_blocks", lambda rows, table, group: made.append(table.count()) or of_blocks(rows, table, group))
+    matching.budgeted_requests(sig, agents, bad, F.col("agent_id") % 5 != 0, 95.0, (10.0, 20.0))
+    walked, still, moving = made
+    assert 0 < moving < still / 5 and moving < walked < still
+
+
 def test_stored_requests_are_small(spark, tmp_path):
     """A list of signals repeats for all orders of a profile, so rows take a fraction of a byte."""
     sig, agents, _ = acting(spark, 9000, 6000)
